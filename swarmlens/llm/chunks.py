@@ -56,6 +56,12 @@ def unpack(blob: bytes) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
+def rows_of(batch: pa.RecordBatch):
+    """A batch's rows as dicts, one at a time: a chunk is a few MB."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def edges(buckets: int, bits: int) -> np.ndarray:
     """Lower bounds of the equal ranges of [0, 2**bits), for contiguous slices of sorted values."""
     return np.array([-(-(b << bits) // buckets) for b in range(buckets)], np.uint64)

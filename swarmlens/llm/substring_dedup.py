@@ -141,7 +141,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW,
 
     def windows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in C.rows_of(batch):
                 _, _, _, _, first, words = words_of(C.unpack(row["blob"]).column(text))
                 _, one, two, new = _windows(first, words, block, window, C.verdict_bits(row["anchors"]))
                 starts = np.flatnonzero(new)
@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW,
 
     def finish(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in C.rows_of(batch):
                 part = C.unpack(row["blob"])
                 data, offsets, starts, ends, first, words = words_of(part.column(text))
                 where, _, _, new = _windows(first, words, block, window, C.verdict_bits(row["anchors"]))

@@ -71,12 +71,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    up, down = _BYTE_POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_TABLE[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each byte span (spans in order, none overlapping), a block of bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), block)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        a, b = starts[i], ends[j - 1]
+        up, down = _BYTE_POWERS.get(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE_TABLE[data[a:b]] * up[:-1], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int, at: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
