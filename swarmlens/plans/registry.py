@@ -1,7 +1,7 @@
-"""All queries of the reference's operators and their SQL."""
+"""All queries of the engine's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from swarmlens.plans import detection_queries, similarity_queries  # noqa: F401
+from swarmlens.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
