@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from swarmlens.llm.text_arrays import slices
 
-#: Pieces kept per Python worker; the cache starts anew when it is full.
-CACHE_PIECES = 1 << 20
+#: Pieces kept during a task; the cache starts anew when it is full.
+CACHE_PIECES = 3 << 17
 #: Pieces of more characters than this do not stay in it.
 CACHE_BYTES = 256
 
@@ -117,6 +117,7 @@ def encode_documents(docs: DataFrame, text: str = "text", with_offsets: bool = F
                 if with_offsets:
                     out.append(pa.array([bpe.offsets(x, d) for x, d in zip(ids, decoded)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=names)
+        bpe.cache.clear()  # the worker may serve other stages next
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 

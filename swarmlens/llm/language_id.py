@@ -42,11 +42,19 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = np.array([0x00, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x3040, 0x3400, 0xAC00, 0xD7B0])
 
 
-def _unique(texts: list[list[str]]):
-    words = list(set().union(*texts)) if texts else []
-    place = dict(zip(words, range(len(words))))
-    ids = [np.fromiter(map(place.__getitem__, t), np.int32, len(t)) for t in texts]
-    return words, ids
+class _Index(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _unique(texts):
+    """The distinct words of an iterable of word lists, and each list as their numbers; no list is kept."""
+    index = _Index()
+    ids = [np.fromiter(map(index.__getitem__, t), np.int32, len(t)) for t in texts]
+    return list(index), ids
 
 
 def _grams(words: list[str], slots: int):
@@ -80,7 +88,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
         for batch in batches:
             for part in slices(batch, text, 4 << 20):
                 langs = part.column(lang).to_pylist()
-                words, ids = _unique([_WORDS.findall(t or "") for t in part.column(text).to_pylist()])
+                words, ids = _unique(_WORDS.findall(t or "") for t in part.column(text).to_pylist())
                 if not words:
                     for name in set(langs):
                         held.setdefault(name, np.zeros(size))
@@ -188,8 +196,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", switch: flo
 
     def label(part):
         model, texts = shared.value, [t or "" for t in part.column(text).to_pylist()]
-        cut = [_WORDS.findall(t) for t in texts] if model else [[] for _ in texts]
-        words, ids = _unique(cut)
+        words, ids = _unique(_WORDS.findall(t) if model else [] for t in texts)
         letters = np.array([len(w) for w in words])
         pred, score, spans = [], [], []
         for t, x, y in zip(texts, ids, viterbi(word_scores(model, words) if model else np.zeros((0, 1)), ids, switch)):
