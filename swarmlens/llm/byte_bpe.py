@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from swarmlens.llm.text_arrays import slices
+from swarmlens.llm.text_arrays import slices, tidy
 
 #: Pieces kept during a task; the cache starts anew when it is full.
 CACHE_PIECES = 3 << 17
@@ -119,7 +119,7 @@ def encode_documents(docs: DataFrame, text: str = "text", with_offsets: bool = F
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=names)
         bpe.cache.clear()  # the worker may serve other stages next
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:

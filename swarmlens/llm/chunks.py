@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swarmlens.llm.text_arrays import slices
+from swarmlens.llm.text_arrays import slices, tidy
 
 CHUNK_BYTES = 4 << 20
 
@@ -48,7 +48,7 @@ def pack(docs: DataFrame, text: str, chunk_bytes: int, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "chunk bigint, blob binary").repartition(parts, "chunk")
+    return docs.mapInArrow(tidy(run), "chunk bigint, blob binary").repartition(parts, "chunk")
 
 
 def unpack(blob: bytes) -> pa.RecordBatch:

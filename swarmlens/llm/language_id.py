@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swarmlens.llm.text_arrays import mix, slices
+from swarmlens.llm.text_arrays import mix, slices, tidy
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 15
@@ -112,7 +112,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
         return pa.table({"lang": table["lang"][:1], "slice": table["slice"][:1], "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     kind = "lang string, slice int, counts binary"
-    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang)).mapInArrow(count, kind)
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang)).mapInArrow(tidy(count), kind)
     summed = rows.groupBy("lang", "slice").applyInArrow(add, kind).take(MOST_LANGS * _SLICES + 1)
     langs = sorted({r["lang"] for r in summed})
     if len(langs) > MOST_LANGS:
@@ -214,10 +214,10 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", switch: flo
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text, 12 << 20):
+            for part in slices(batch, text, 8 << 20):
                 yield label(part)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swarmlens.llm.components import components
-from swarmlens.llm.text_arrays import gram_hashes, gram_starts, mix, slices, words_of
+from swarmlens.llm.text_arrays import gram_hashes, gram_starts, mix, release, slices, tidy, words_of
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 256
-BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 6 << 20
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -100,7 +100,7 @@ def _signatures(docs: DataFrame, text: str, bands: int, rows: int, n: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "key", "n_bytes", "bands"])
 
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("key binary, n_bytes bigint, bands binary").fields])
-    return docs.where(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return docs.where(F.col(text).isNotNull()).mapInArrow(tidy(run), schema)
 
 
 def _values(texts: DataFrame, bands: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _verify(bands: int, threshold: float):
                 x = parent[x]
             return x
 
-        step = max(64, (4 << 20) // max(1, len(rights)))
+        step = max(64, (1 << 19) // max(1, len(rights)))  # pairs at a time
         for a in range(0, len(lefts), step):
             some = lefts[a : a + step]
             low, high = np.minimum.outer(sizes[some], sizes[rights]), np.maximum.outer(sizes[some], sizes[rights])
@@ -191,7 +191,7 @@ def _verify(bands: int, threshold: float):
             i, j = some[i], rights[j]
             if alone:
                 i, j = i[i < j], j[i < j]
-            part = max(1, (8 << 20) // (8 * bits.shape[1]))
+            part = max(1, (4 << 20) // (8 * bits.shape[1]))
             for c in range(0, len(i), part):
                 x, y = i[c : c + part], j[c : c + part]
                 both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
@@ -207,6 +207,7 @@ def _verify(bands: int, threshold: float):
                     if p0 != q0:
                         parent[max(p0, q0)] = min(p0, q0)
                         forest.append((p, q))
+        release()
         linked = np.flatnonzero(links)
         return pa.table({
             "key": pa.array([keys[k] for k in linked] + [keys[p] for p, _ in forest], pa.binary()), "links": pa.array(links[linked].tolist() + [0] * len(forest), pa.int64()),

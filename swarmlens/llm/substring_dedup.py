@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swarmlens.llm import chunks as C
-from swarmlens.llm.text_arrays import gram_hashes, gram_starts, words_of
+from swarmlens.llm.text_arrays import gram_hashes, gram_starts, tidy, words_of
 
 WINDOW = 35
 _BITS = 48
@@ -163,10 +163,10 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW,
                 yield pa.RecordBatch.from_arrays([*part.columns, *_kept(part.column(text), data, offsets, starts, ends, first, gone)], names=[*names, *[f.name for f in added]])
 
     packed = C.pack(docs, text, chunk_bytes, parts)
-    one = C.back(packed.mapInArrow(anchors, _VALUES).groupBy("bucket").applyInArrow(_judge_anchors, _JUDGED), "anchors")
+    one = C.back(packed.mapInArrow(tidy(anchors), _VALUES).groupBy("bucket").applyInArrow(_judge_anchors, _JUDGED), "anchors")
     probed = packed.join(one, "chunk", "left")
-    two = C.back(probed.mapInArrow(windows, _VALUES).groupBy("bucket").applyInArrow(_judge_windows, _JUDGED), "windows")
-    return probed.join(two, "chunk", "left").mapInArrow(finish, schema)
+    two = C.back(probed.mapInArrow(tidy(windows), _VALUES).groupBy("bucket").applyInArrow(_judge_windows, _JUDGED), "windows")
+    return probed.join(two, "chunk", "left").mapInArrow(tidy(finish), schema)
 
 
 def _kept(column, data, offsets, starts, ends, first, gone) -> list[pa.Array]:

@@ -7,6 +7,8 @@ ever split.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +38,25 @@ class Powers:
 _BYTE_POWERS, _GRAM_POWERS = Powers(_BASE), Powers(0xC2B2AE3D27D4EB4F)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that releases memory when its task ends."""
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
