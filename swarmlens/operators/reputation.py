@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,17 +56,20 @@ def fold(events: DataFrame) -> DataFrame:
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        score, seen, last = INITIAL, [], None
-        weight = 0.0
-        for ts, factor, impact, sure in frame.sort_values(["ts", "factor"])[["ts", "factor", "impact", "confidence"]].itertuples(index=False):
-            if last is not None and (days := (ts - last).total_seconds() / 86400) >= 1:
-                kept = 2.718281828459045 ** (-RATE * days)
+        frame = frame.sort_values(["ts", "factor"])
+        hours = (frame["ts"] - frame["ts"].iloc[0]).dt.total_seconds().to_numpy() / 3600
+        impact, sure = frame["impact"].to_numpy(float), frame["confidence"].to_numpy(float)
+        score, weight = INITIAL, 0.0
+        for i, now in enumerate(hours):
+            if i and (days := (now - hours[i - 1]) / 24) >= 1:
+                kept = np.exp(-RATE * days)
                 score = min(1.0, max(0.0, score * kept + INITIAL * (1 - kept)))
-            seen, last = [*seen, (ts, impact, sure)][-HISTORY:], ts
-            parts = [(i, 2.718281828459045 ** (-(ts - t).total_seconds() / 3600 / 168) * c) for t, i, c in seen if (ts - t).total_seconds() <= MAX_DAYS * 86400]
-            weight = sum(w for _, w in parts)
+            seen = slice(max(0, i + 1 - HISTORY), i + 1)
+            age = now - hours[seen]
+            weights = np.where(age <= MAX_DAYS * 24, np.exp(-age / 168) * sure[seen], 0.0)
+            weight = float(weights.sum())
             if weight > 0:
-                score = min(1.0, max(0.0, score + sum(i * w for i, w in parts) / weight))
+                score = min(1.0, max(0.0, score + float(impact[seen] @ weights) / weight))
         return pd.DataFrame({"id": [frame["id"].iloc[0]], "score": [round(score, 9)], "effective_weight": [round(weight, 9)], "n": [len(frame)]})
 
     return events.select("id", "ts", "factor", "impact", "confidence").groupBy("id").applyInPandas(run, "id bigint, score double, effective_weight double, n bigint")

@@ -21,10 +21,16 @@ FAMILY = [((i * 1103515245 + 12345) % (PRIME - 1) + 1, (i * 69069 + 362437) % PR
 
 
 def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text): the least id of each distinct text."""
+    """(id, text): the least id of each distinct text.
+
+    The texts are dealt by id into a fixed number of partitions, which the join would do
+    as well: what follows multiplies each text's bytes and must not run on the few
+    partitions that their size alone would call for.
+    """
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.md5(text).alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("id"))
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(least.select("id"), "id", "left_semi")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).repartition(parts, "id").join(least.select("id"), "id", "left_semi")
 
 
 def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
