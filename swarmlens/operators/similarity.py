@@ -14,12 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmlens.functions.text import hash64, long_words, shingles, token_code, weighted_features
+from swarmlens.operators.graphs import ready
 
 PRIME = (1 << 31) - 1
 #: Multipliers and offsets of the hash family (fixed: the SQL form repeats them).
 FAMILY = [((i * 1103515245 + 12345) % (PRIME - 1) + 1, (i * 69069 + 362437) % PRIME) for i in range(1, 257)]
 
 
+def kept(signatures: DataFrame) -> DataFrame:
+    """Signatures written once to the checkpoint folder: the joins read them several times, and a lost executor costs no text."""
+    ready(signatures.sparkSession)
+    return signatures.checkpoint()
+
+
 def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text): the least id of each distinct text.
 
@@ -56,7 +63,7 @@ def bands(signatures: DataFrame, hashes: int, count: int) -> DataFrame:
 
 def minhash_pairs(docs: DataFrame, hashes: int = 32, count: int = 8, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity) of pairs that share a band and agree on enough of the signature."""
-    signatures = minhash(docs, hashes)
+    signatures = kept(minhash(docs, hashes))
     keyed = bands(signatures, hashes, count)
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -81,7 +88,7 @@ def simhash_tables(hashes: DataFrame, tables: int = 4) -> DataFrame:
 
 def simhash_pairs(docs: DataFrame, tables: int = 4, distance: int = 3) -> DataFrame:
     """(a, b, distance, similarity): exact while distance < tables and tables divides 64 (pigeonhole)."""
-    keyed = simhash_tables(simhash(docs), tables)
+    keyed = simhash_tables(kept(simhash(docs)), tables)
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     far = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
