@@ -48,3 +48,18 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     """(line) of (name, labels map, value)."""
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
     return metrics.select(F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), labels, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def records(fired: DataFrame, title: str, entity: str) -> DataFrame:
+    """``fired`` (entity, rule, severity, size, confidence) as alerts: title, message, severity, status and metadata."""
+    message = F.format_string(f"{title} %s: %d posts, confidence %.2f", F.col(entity).cast("string"), "size", "confidence")
+    metadata = F.create_map(F.lit(entity), F.col(entity).cast("string"), F.lit("rule"), F.col("rule"), F.lit("size"), F.col("size").cast("string"))
+    return fired.select(entity, "rule", F.concat(F.lit(f"{title}: "), "rule").alias("title"), message.alias("message"), "severity", F.lit("active").alias("status"), metadata.alias("metadata"))
+
+
+def escalations(alerts: DataFrame, levels: list[tuple[int, int]], as_of: str) -> DataFrame:
+    """(id, level): every level (number, seconds) that an open alert (id, ts, acknowledged_at) reached before it was acknowledged, up to ``as_of``."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(s).cast("bigint").alias("after_s")) for n, s in levels]))
+    due = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("l.after_s") * 1_000_000
+    until = F.coalesce(F.unix_micros(F.col("acknowledged_at").cast("timestamp")), F.unix_micros(F.to_timestamp(F.lit(as_of))))
+    return alerts.withColumn("l", each).where(due <= F.least(until, F.unix_micros(F.to_timestamp(F.lit(as_of))))).select("id", F.col("l.level").alias("level"))

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators and their SQL."""
 
-from swarmlens.plans import analytics_queries, detection_queries, similarity_queries, stream_queries  # noqa: F401
+from swarmlens.plans import analytics_queries, detection_queries, report_queries, similarity_queries, stream_queries  # noqa: F401
 from swarmlens.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
 
 

@@ -9,7 +9,7 @@ from swarmlens.functions.text import shingles, long_words
 from swarmlens.operators import alerts, graphs, privacy, reputation, similarity, temporal
 from swarmlens.plans.config import DetectionConfig, banding, load_config
 from swarmlens.plans.plugins import Registry
-from swarmlens.sources import adapters
+from swarmlens.sources import adapters, sample, sinks
 from swarmlens.streaming import jobs
 
 
@@ -136,3 +136,33 @@ def test_failing_plugin_is_counted(spark):
     r.register("good", lambda p: p.select("id", F.lit(1).alias("score")))
     r.register("bad", lambda p: p.select("missing"))
     assert r.detect(spark.range(2)).count() == 2 and r.health() == {"healthy": 1, "failed": 1}
+
+
+def test_sample_and_literal_posts(spark):
+    rows = sample.sample_rows()
+    assert len(rows) == 30 and rows[10] == ("follow", "followtrain", "F4F guaranteed follow back #follow4follow") and rows[16][1] == "workfromhome1"
+    df = sample.literal_posts(spark, [("a", "x"), (" ", "y"), (None, "y"), ("b", " "), ("b", None)])
+    found = sorted(tuple(r) for r in df.collect())
+    assert [r for r in found if r[0] == "x"] == [("x", "a")] and len(found) == 3 and len({r[0] for r in found}) == 2
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "a", b', ["x", "y"]), (2, None, [])], "id int, text string, tags array<string>")
+    sinks.export_results(str(tmp_path / "out"), {"posts": df, "none": df.limit(0)})
+    back = spark.read.schema(df.schema).json(str(tmp_path / "out" / "posts"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    sinks.export_csv(str(tmp_path / "csv"), df)
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect())) == [("1", 'say "a", b', '["x","y"]'), ("2", None, "[]")]
+
+
+def test_escalations(spark):
+    df = spark.sql("SELECT 1L AS id, TIMESTAMP '2024-01-01 00:00:00' AS ts, CAST(NULL AS TIMESTAMP) AS acknowledged_at UNION ALL SELECT 2L, TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 00:05:00' UNION ALL SELECT 3L, NULL, NULL")
+    found = alerts.escalations(df, [(0, 0), (1, 300), (2, 301), (3, 100_000)], "2024-01-01 12:00:00")
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+
+
+def test_alert_records(spark):
+    df = spark.createDataFrame([(7, "big", "high", 12, 0.456)], "cluster_id bigint, rule string, severity string, size bigint, confidence double")
+    row = alerts.records(df, "Cluster alert", "cluster_id").first()
+    assert (row.title, row.message, row.status, row.metadata["size"]) == ("Cluster alert: big", "Cluster alert 7: 12 posts, confidence 0.46", "active", "12")
