@@ -153,8 +153,10 @@ def _open(row: dict, bands: int):
 def _verify(bands: int, threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         """Links of the unit's pairs that share a band: (key, links, null), and a spanning forest (key, 0, other)."""
+        alone = table["i"][0].as_py() == table["j"][0].as_py()
+        if not alone and table.num_rows == 1:  # the other block is empty; the pairs inside this one belong to its own unit
+            return pa.table({"key": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.binary())})
         blocks = [_open(r, bands) for r in sorted(table.to_pylist(), key=lambda r: r["block"])]
-        alone = len(blocks) == 1
         keys = [k for b in blocks for k in b[0]]
         sizes = np.concatenate([b[1] for b in blocks])
         values = np.concatenate([b[2] for b in blocks])

@@ -248,6 +248,26 @@ def test_ngram_join_edges_and_large_groups(spark):
     assert ngram_join.choose_bands(0.8, 0.9999, 256) == (31, 6)
 
 
+def test_ngram_join_counts_a_pair_once_beside_empty_blocks(spark):
+    random.seed(6)
+    texts = []
+    for g in range(24):  # groups of two to four near copies; the bytes, not the rows, ask for several blocks
+        base = [f"g{g}x{k}" for k in range(60)]
+        texts += [" ".join([*base[:-1], f"end{c}"]) for c in range(2 + g % 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = ngram_join.BLOCK_BYTES
+    ngram_join.BLOCK_BYTES = 500
+    try:
+        found = {r["doc_id"]: r for r in ngram_join.near_duplicates(docs).collect()}
+    finally:
+        ngram_join.BLOCK_BYTES = kept
+    groups = Counter(t.split("x")[0] for t in texts)
+    first = {}
+    for i, t in enumerate(texts):
+        g = t.split("x")[0]
+        assert (found[i]["n_links"], found[i]["class_id"]) == (groups[g] - 1, first.setdefault(g, i))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
