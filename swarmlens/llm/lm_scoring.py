@@ -1,19 +1,21 @@
 """Language-model scoring by logistic context mixing.
 
-Text is predicted bit by bit: five hashed contexts (the last one to five bytes
-and the bits of the byte so far) each hold counts of zeros and ones; their
+Text is predicted bit by bit: five contexts (the last one to five bytes and the
+bits of the byte so far) each hold exact counts of zeros and ones; their
 stretched probabilities are mixed in the logistic domain by weights that a gate
 selects (how often the three longest contexts were seen, and the bit's place); an
 adaptive map by bit place and mixed probability refines the result.  Minus the
 base-2 logarithms of the bits' probabilities add up to the text's bits.
 
-Counts come from every training text: each chunk's distinct six-byte strings
-(context and byte) with their numbers go to hash-range buckets, buckets add them
-up and deal the bit counts out by slice of the fixed-size tables.  The mixing
-weights and the map are learned online over a bounded sample of those strings
+Counts come from every training text and grow with it: each chunk's distinct
+six-byte strings (context and byte) with their numbers go to buckets by the three
+bytes before the last, so that a bucket holds its contexts of three bytes and more
+whole and counts them without collisions; contexts of one and two bytes are
+counted over all buckets (at most 2**24 three-byte strings).  The mixing weights
+and the map are learned online over a bounded sample of those strings
 (``sample``; they are some thousands of numbers), each example with its own count
-taken out of the tables.  Scoring evaluates each distinct six-byte string of a
-chunk once.
+taken out.  A bucket scores each of its strings once and sends the bits back to
+the chunks that asked, in their order.
 
 The unigram base needs the corpus count of every token: chunks send their
 distinct tokens to hash buckets and get the counts back in the same order.
@@ -37,11 +39,9 @@ from swarmlens.llm import chunks as C
 from swarmlens.llm.text_arrays import mix, span_hashes, text_bytes, tidy, word_spans
 
 ORDERS = 5
-#: Slots of each of the three count tables (orders 1 to 3 share one).
-TABLE_BITS = 22
-SLICES = 48
+#: Tasks that add up the three-byte strings.
+SLICES = 16
 SAMPLE = 1 << 17
-_TABLE = (0, 0, 0, 1, 2)
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -69,22 +69,59 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code[keep], offsets[:-1] + np.arange(texts)
 
 
-def _slots(codes: np.ndarray):
-    """For each bit of the last byte: the bit, and for each order table and slot."""
-    byte = codes & np.uint64(255)
-    hashes = [mix((codes >> np.uint64(8) & np.uint64((1 << 8 * o) - 1)) + np.uint64((o << 56) + 1)) for o in range(1, ORDERS + 1)]
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each string by the three bytes before its last: whole contexts of three and more bytes are in one."""
+    return (mix(codes >> np.uint64(8) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _add_up(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _nodes(codes: np.ndarray, counts: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bit of the codes' last bytes (a row) and each code: zeros and ones after its last ``o`` bytes and the bits before."""
+    masked = codes & np.uint64((1 << 8 * (o + 1)) - 1)
+    order = np.argsort(masked, kind="stable")
+    masked, counts = masked[order], counts[order]
+    zeros, ones = np.zeros((8, len(codes)), np.int64), np.zeros((8, len(codes)), np.int64)
+    for b in range(8 if len(codes) else 0):
+        node = masked >> np.uint64(8 - b)
+        new = np.append(True, node[1:] != node[:-1])
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        bit = (masked >> np.uint64(7 - b) & np.uint64(1)).astype(np.int64)
+        n1, n = np.add.reduceat(counts * bit, at), np.add.reduceat(counts, at)
+        ones[b, order], zeros[b, order] = n1[group], (n - n1)[group]
+    return zeros, ones
+
+
+def _counts(low: tuple[np.ndarray, np.ndarray], codes: np.ndarray, counts: np.ndarray):
+    """For each bit: its place, the bit, and for each order the zeros and ones of each code (all strings of a bucket).
+
+    Orders 1 and 2 come from ``low``, the corpus count of every three-byte string.
+    """
+    every = []
+    triples = np.unique(codes & np.uint64(0xFFFFFF))
+    pairs = np.unique(triples >> np.uint64(8))
+    for o in (1, 2):
+        mask = np.uint64((1 << 8 * (o + 1)) - 1)
+        some = slice(None) if o == 1 else np.isin(low[0] >> np.uint64(8), pairs)
+        table, sums = _add_up(np.append(low[0][some], triples) & mask, np.append(low[1][some], np.zeros(len(triples), np.int64)))
+        at = np.searchsorted(table, codes & mask)
+        every.append(tuple(n[:, at] for n in _nodes(table, sums, o)))
+    every += [_nodes(codes, counts, o) for o in (3, 4, 5)]
     for b in range(8):
-        node = (byte | np.uint64(256)) >> np.uint64(8 - b)
-        bit = byte >> np.uint64(7 - b) & np.uint64(1)
-        yield b, bit.astype(np.int64), [(mix(h ^ (node * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) + (_TABLE[o] << TABLE_BITS) for o, h in enumerate(hashes)]
+        bit = (codes >> np.uint64(7 - b) & np.uint64(1)).astype(np.int64)
+        yield b, bit, [n[0][b] for n in every], [n[1][b] for n in every]
 
 
 #: Steps of the gate: how often the contexts of three, four and five bytes were seen.
 _STEPS = {2: (1, 3, 11, 101), 3: (1, 2, 4, 16), 4: (1, 2, 4, 16)}
 _GATES = 5 * 5 * 5 * 8
 _LEVELS = {o: np.searchsorted(steps, np.arange(max(steps) + 1), side="right") for o, steps in _STEPS.items()}
-#: Logarithms of the smoothed counts, which have 16 bits.
-_LOGS = np.log(np.arange(1 << 16) + 0.02)
 
 
 def _features(zeros: list[np.ndarray], ones: list[np.ndarray], b: int):
@@ -92,11 +129,9 @@ def _features(zeros: list[np.ndarray], ones: list[np.ndarray], b: int):
     x = np.empty((len(zeros[0]), ORDERS + 1))
     gate = np.zeros(len(zeros[0]), np.int64)
     for o, (n0, n1) in enumerate(zip(zeros, ones)):
-        np.subtract(_LOGS[n1], _LOGS[n0], out=x[:, o])
+        np.subtract(np.log(n1 + 0.02), np.log(n0 + 0.02), out=x[:, o])
         if o in _LEVELS:
-            seen = n0.astype(np.int64)
-            seen += n1
-            gate = gate * 5 + _LEVELS[o][np.minimum(seen, len(_LEVELS[o]) - 1)]
+            gate = gate * 5 + _LEVELS[o][np.minimum(n0 + n1, len(_LEVELS[o]) - 1)]
     x[:, ORDERS] = 0.3
     return x, gate * 8 + b
 
@@ -112,17 +147,18 @@ def _refine(model: dict, mixed: np.ndarray, b: int) -> np.ndarray:
     return 0.5 * _squash(mixed) + 0.5 * (model["map"][b, low] * (1 - part) + model["map"][b, low + 1] * part)
 
 
-def _fit_mixer(zeros: np.ndarray, ones: np.ndarray, codes: np.ndarray, counts: np.ndarray, epochs: int = 4) -> dict:
-    """Weights and map, learned online over the sample, each example's own count taken out."""
+def _examples(low, codes: np.ndarray, counts: np.ndarray, some: np.ndarray):
+    """For each bit the inputs, gate, bit and weight of ``some`` of a bucket's strings, each with one of its own occurrences taken out."""
+    for b, bit, zeros, ones in _counts(low, codes, counts):
+        bit = bit[some]
+        x, gate = _features([np.maximum(n[some] - (1 - bit), 0) for n in zeros], [np.maximum(n[some] - bit, 0) for n in ones], b)
+        yield x, gate, bit, counts[some].astype(float)
+
+
+def _fit_mixer(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, epochs: int = 4) -> dict:
+    """Weights and map, learned online over the sample."""
     weights = np.full((_GATES, ORDERS + 1), 0.25)
     weights[:, ORDERS] = 0
-    xs, gates, bits, weigh = [], [], [], []
-    for b, bit, slots in _slots(codes):
-        n1 = [np.maximum(ones[s] - bit, 0) for s in slots]
-        n0 = [np.maximum(zeros[s] - (1 - bit), 0) for s in slots]
-        x, gate = _features(n0, n1, b)
-        xs.append(x), gates.append(gate), bits.append(bit), weigh.append(counts)
-    x, gate, bit, weight = np.concatenate(xs), np.concatenate(gates), np.concatenate(bits), np.concatenate(weigh).astype(float)
     weight = np.minimum(weight / max(weight.mean(), 1e-9), 1000.0)
     order = np.random.Generator(np.random.PCG64(11)).permutation(len(x))
     past = np.full(weights.shape, 0.01)
@@ -145,104 +181,143 @@ def bits_of(model: dict | None, codes: np.ndarray) -> np.ndarray:
     """Base-2 logarithm of the probability of each code's last byte after its other five."""
     if model is None:
         return np.full(len(codes), -8.0)
-    out = np.zeros(len(codes))
-    for a in range(0, len(codes), 1 << 16):
-        part = codes[a : a + (1 << 16)]
-        total = np.zeros(len(part))
-        for b, bit, slots in _slots(part):
-            pairs = [model["pairs"][s] for s in slots]
-            x, gate = _features([n & np.uint32(0xFFFF) for n in pairs], [n >> np.uint32(16) for n in pairs], b)
-            p = np.clip(_refine(model, np.einsum("ij,ij->i", model["weights"][gate], x), b), 1 / 65536, 1 - 1 / 65536)
-            total += np.log2(np.where(bit == 1, p, 1 - p))
-        out[a : a + (1 << 16)] = total
-    return out
+    wanted = np.unique(_bucket(codes, model["buckets"])).tolist()
+    rows = model["strings"].where(F.col("bucket").isin(wanted)).collect()  # the buckets of the codes asked for
+    held = [_get(r["codes"], r["n"], np.uint64) for r in rows] + [codes]
+    counts = [_get(r["counts"], r["n"], np.int64) for r in rows] + [np.zeros(len(codes), np.int64)]
+    values, counts = _add_up(np.concatenate(held), np.concatenate(counts))
+    return _bits(model, values, counts)[np.searchsorted(values, codes)]
 
 
-def train_model(packed: DataFrame, text: str, train: str, buckets: int, sample: int = SAMPLE) -> dict | None:
-    """The model over the training rows of packed chunks (see chunks.pack)."""
-    share = -(-sample // buckets)
-    width = 3 * (1 << TABLE_BITS) // SLICES
+def _bits(model: dict, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """bits_of all strings of a bucket."""
+    total = np.zeros(len(codes))
+    for b, bit, zeros, ones in _counts(model["low"], codes, counts):
+        x, gate = _features(zeros, ones, b)
+        p = np.clip(_refine(model, np.einsum("ij,ij->i", model["weights"][gate], x), b), 1 / 65536, 1 - 1 / 65536)
+        total += np.log2(np.where(bit == 1, p, 1 - p))
+    return total
+
 
-    def codes(batches):
+def _put(x: np.ndarray) -> bytes:
+    """Compressed by byte planes: sorted codes and small counts have long runs there."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+
+
+def _get(blob: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(bytes(blob), n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _dealt_codes(codes: np.ndarray, buckets: int):
+    """A chunk's distinct strings in order of bucket and value, and where each bucket's begin."""
+    bucket = _bucket(codes, buckets)
+    order = np.lexsort((codes, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def gather(packed: DataFrame, text: str, train: str, buckets: int) -> DataFrame:
+    """(bucket, chunk, n, codes, counts): each chunk's distinct six-byte strings and how often its training rows hold them."""
+
+    def send(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
                 part = C.unpack(blob.as_py())
-                part = part.filter(part.column(train))
-                if not part.num_rows:
-                    continue
                 data, offsets = text_bytes(part.column(text))
-                found = pc.value_counts(pa.array(_grams(_lower(data), offsets)[0]))
-                values, counts = found.field("values").to_numpy(), found.field("counts").to_numpy()
-                bucket = (mix(values) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((values, bucket))
-                values, counts = values[order], counts[order].astype(np.uint32)
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                found = pa.array(_grams(_lower(data), offsets)[0]).dictionary_encode()
+                codes, ids = found.dictionary.to_numpy(), found.indices.to_numpy(zero_copy_only=False)
+                mine = np.repeat(np.asarray(part.column(train).to_pylist(), bool), np.diff(offsets) + 1)
+                counts = np.bincount(ids[mine], minlength=len(codes)).astype(np.uint32)
+                order, cuts = _dealt_codes(codes, buckets)
+                codes, counts = codes[order], counts[order]
                 full = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-                squeezed = lambda x: pa.array([pa.compress(x[cuts[b] : cuts[b + 1]].tobytes(), "zstd", asbytes=True) for b in full], pa.binary())
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in full], pa.int32()), "codes": squeezed(values), "counts": squeezed(counts)})
+                squeezed = lambda x: pa.array([_put(x[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in full], pa.int32()), "codes": squeezed(codes), "counts": squeezed(counts)})
+
+    sent = packed.mapInArrow(tidy(send), "bucket int, chunk bigint, n int, codes binary, counts binary")
+    return sent.repartition(buckets, "bucket").checkpoint()
+
+
+def _merged(table: pa.Table):
+    """All strings that chunks sent to a bucket, and their corpus counts."""
+    rows = table.select(["n", "codes", "counts"]).to_pylist()
+    sent = np.concatenate([_get(r["codes"], r["n"], np.uint64) for r in rows])
+    return sent, *_add_up(sent, np.concatenate([_get(r["counts"], r["n"], np.uint32) for r in rows]).astype(np.int64))
+
+
+def merge(sent: DataFrame) -> DataFrame:
+    """(bucket, n, codes, counts): a row for each bucket with its distinct strings and their counts."""
 
     def add(table):
-        rows = table.select(["n", "codes", "counts"]).to_pylist()
-        every = np.concatenate([np.frombuffer(pa.decompress(r["codes"], r["n"] * 8, "zstd", asbytes=True), np.uint64) for r in rows])
-        numbers = np.concatenate([np.frombuffer(pa.decompress(r["counts"], r["n"] * 4, "zstd", asbytes=True), np.uint32) for r in rows]).astype(np.int64)
-        order = np.argsort(every, kind="stable")
-        every, numbers = every[order], numbers[order]
-        at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        every, numbers = every[at], np.add.reduceat(numbers, at)
-        slots, n0, n1 = [], [], []
-        for _, bit, some in _slots(every):
-            for s in some:
-                slots.append(s)
-                n1.append(numbers * bit)
-                n0.append(numbers * (1 - bit))
-        slots = np.concatenate(slots)
-        order = np.argsort(slots, kind="stable")
-        slots = slots[order]
-        at = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
-        slots, n0, n1 = slots[at], np.add.reduceat(np.concatenate(n0)[order], at), np.add.reduceat(np.concatenate(n1)[order], at)
-        cuts = np.searchsorted(slots, width * np.arange(SLICES + 1))
-        out = {"slice": [], "n": [], "slots": [], "counts": []}
-        squeeze = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-        for i in range(SLICES):
-            a, b = cuts[i], cuts[i + 1]
-            if b > a:
-                out["slice"].append(i), out["n"].append(b - a)
-                out["slots"].append(squeeze(np.diff(slots[a:b], prepend=i * width).astype(np.uint32)))
-                out["counts"].append(squeeze(np.concatenate([n0[a:b], n1[a:b]])))
-        few = np.argsort(mix(every ^ np.uint64(0xA5A5)))[:share]
-        out["slice"].append(-1), out["n"].append(len(few))
-        out["slots"].append(squeeze(every[few])), out["counts"].append(squeeze(numbers[few]))
-        return pa.table({"slice": pa.array(out["slice"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "slots": pa.array(out["slots"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
-
-    def dense(table):
-        i = table["slice"][0].as_py()
-        if i < 0:
-            return table.select(["slice", "n", "slots", "counts"])
-        total = np.zeros((2, width), np.int64)
-        for r in table.to_pylist():
-            at = np.cumsum(np.frombuffer(pa.decompress(r["slots"], r["n"] * 4, "zstd", asbytes=True), np.uint32).astype(np.int64))
-            both = np.frombuffer(pa.decompress(r["counts"], r["n"] * 16, "zstd", asbytes=True), np.int64).reshape(2, -1)
-            total[:, at] += both
-        over = np.maximum(1, -(-total.max(axis=0) // 65535))
-        return pa.table({"slice": pa.array([i], pa.int32()), "n": pa.array([width], pa.int32()), "slots": pa.array([b""], pa.binary()), "counts": pa.array([pa.compress((-(-total // over)).astype(np.uint16).tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-    merged = packed.mapInArrow(tidy(codes), "bucket int, n int, codes binary, counts binary").groupBy("bucket").applyInArrow(add, "slice int, n int, slots binary, counts binary")
-    rows = merged.groupBy("slice").applyInArrow(dense, "slice int, n int, slots binary, counts binary").collect()  # SLICES rows of fixed size, and the sample
+        _, codes, counts = _merged(table)
+        return pa.table({"bucket": table["bucket"][:1], "n": pa.array([len(codes)], pa.int32()), "codes": pa.array([_put(codes)], pa.binary()), "counts": pa.array([_put(counts)], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(add, "bucket int, n int, codes binary, counts binary").checkpoint()
+
+
+def _triples(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Every three-byte string that ends a string, with its count; at most 2**24, whatever the corpus."""
+
+    def send(batches):
+        for batch in batches:
+            for row in C.rows_of(batch):
+                codes, counts = _get(row["codes"], row["n"], np.uint64), _get(row["counts"], row["n"], np.int64)
+                codes, counts = _add_up(codes[counts > 0] & np.uint64(0xFFFFFF), counts[counts > 0])
+                part = (codes % np.uint64(SLICES)).astype(np.int64)
+                for i in np.unique(part).tolist():
+                    at = part == i
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "n": pa.array([int(at.sum())], pa.int32()), "codes": pa.array([_put(codes[at])], pa.binary()), "counts": pa.array([_put(counts[at])], pa.binary())})
+
+    def add(table):
+        rows = table.to_pylist()
+        codes, counts = _add_up(np.concatenate([_get(r["codes"], r["n"], np.uint64) for r in rows]), np.concatenate([_get(r["counts"], r["n"], np.int64) for r in rows]))
+        return pa.table({"slice": table["slice"][:1], "n": pa.array([len(codes)], pa.int32()), "codes": pa.array([_put(codes)], pa.binary()), "counts": pa.array([_put(counts)], pa.binary())})
+
+    kind = "slice int, n int, codes binary, counts binary"
+    rows = strings.mapInArrow(tidy(send), kind).groupBy("slice").applyInArrow(add, kind).collect()  # SLICES rows
     if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _add_up(np.concatenate([_get(r["codes"], r["n"], np.uint64) for r in rows]), np.concatenate([_get(r["counts"], r["n"], np.int64) for r in rows]))
+
+
+def train_model(packed: DataFrame, text: str, train: str, buckets: int, sample: int = SAMPLE) -> dict | None:
+    """The model over the training rows of packed chunks (see chunks.pack); its strings stay in their buckets."""
+    sent = gather(packed, text, train, buckets)
+    strings = merge(sent)
+    low = _triples(strings)
+    if not len(low[0]):
         return None
-    zeros, ones = np.zeros(3 << TABLE_BITS, np.uint16), np.zeros(3 << TABLE_BITS, np.uint16)
-    codes_, counts_ = [], []
-    for r in rows:
-        if r["slice"] < 0:
-            codes_.append(np.frombuffer(pa.decompress(bytes(r["slots"]), r["n"] * 8, "zstd", asbytes=True), np.uint64))
-            counts_.append(np.frombuffer(pa.decompress(bytes(r["counts"]), r["n"] * 8, "zstd", asbytes=True), np.int64))
-        else:
-            at = slice(r["slice"] * width, (r["slice"] + 1) * width)
-            zeros[at], ones[at] = np.frombuffer(pa.decompress(bytes(r["counts"]), width * 4, "zstd", asbytes=True), np.uint16).reshape(2, -1)
-    codes_, counts_ = np.concatenate(codes_), np.concatenate(counts_)
-    order = np.argsort(codes_)
-    # a slot's two counts side by side: one look into memory gets both
-    return {"pairs": ones.astype(np.uint32) << np.uint32(16) | zeros} | _fit_mixer(zeros, ones, codes_[order], counts_[order])
+    share = -(-sample // buckets)
+    shared = strings.sparkSession.sparkContext.broadcast(low)  # at most 2**24 numbers
+
+    def examples(batches):
+        for batch in batches:
+            for row in C.rows_of(batch):
+                codes, counts = _get(row["codes"], row["n"], np.uint64), _get(row["counts"], row["n"], np.int64)
+                some = np.flatnonzero(counts)
+                some = some[np.argsort(mix(codes[some] ^ np.uint64(0xA5A5)))[:share]]
+                if len(some):
+                    x, gate, bit, weight = (np.concatenate(part) for part in zip(*_examples(shared.value, codes, counts, some)))
+                    squeeze = lambda v: pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True)], pa.binary())
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([row["bucket"]], pa.int32()), "n": pa.array([len(x)], pa.int32()), "x": squeeze(x), "gate": squeeze(gate), "bit": squeeze(bit), "weight": squeeze(weight)})
+
+    rows = sorted(strings.mapInArrow(tidy(examples), "bucket int, n int, x binary, gate binary, bit binary, weight binary").collect(), key=lambda r: r["bucket"])  # the sample
+    part = lambda name, kind, width=1: np.concatenate([np.frombuffer(pa.decompress(bytes(r[name]), r["n"] * 8 * width, "zstd", asbytes=True), kind) for r in rows])
+    fitted = _fit_mixer(part("x", float, ORDERS + 1).reshape(-1, ORDERS + 1), part("gate", np.int64), part("bit", np.int64), part("weight", float))
+    return {"sent": sent, "strings": strings, "buckets": buckets, "low": low} | fitted
+
+
+def answer(model: dict) -> DataFrame:
+    """(chunk, bucket, n, bits): the bits of each chunk's strings, in the chunk's order."""
+    shared = model["sent"].sparkSession.sparkContext.broadcast({k: model[k] for k in ("low", "weights", "map")})  # at most 2**24 numbers
+
+    def add(table):
+        sent, codes, counts = _merged(table)
+        bits = _bits(shared.value, codes, counts).astype(np.float32)[np.searchsorted(codes, sent)]
+        back = np.split(bits, np.cumsum(table["n"].to_numpy())[:-1])
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "n": table["n"], "bits": pa.array([_put(x) for x in back], pa.binary())})
+
+    return model["sent"].groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n int, bits binary")
 
 
 def _tokens(column):
@@ -309,17 +384,16 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_by
     mark = "_train"
     parts = C.partitions(docs)
     buckets = max(64, parts)
-    packed = C.pack(docs.withColumn(mark, F.coalesce(train, F.lit(False))), text, chunk_bytes, parts)
+    packed = C.pack(docs.withColumn(mark, F.coalesce(train, F.lit(False))), text, chunk_bytes, parts).checkpoint()
 
     counted = count_tokens(packed, text, mark, buckets).checkpoint()
     distinct, n_words = (x or 0 for x in counted.agg(F.sum("known"), F.sum("total")).first())
     n_texts = docs.where(train).count()
     model = train_model(packed, text, mark, buckets, sample)
     n, v = n_words + n_texts, distinct + (n_texts > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
+    trained = model is not None
 
     def run(batches):
-        model = shared.value
         for batch in batches:
             for row in C.rows_of(batch):
                 part = C.unpack(row["blob"])
@@ -335,14 +409,21 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_by
                 base = np.array([value[b] - value[a] for a, b in zip(first[:-1], first[1:])]) + np.log10((n_texts + 0.5) / low)
                 codes, at = _grams(data, offsets)
                 found = pa.array(codes).dictionary_encode()
-                bits = bits_of(model, found.dictionary.to_numpy())[found.indices.to_numpy(zero_copy_only=False)]
+                bits = np.full(len(found.dictionary), -8.0)
+                if trained and len(bits):
+                    got = sorted(row["answers"], key=lambda x: x["bucket"])
+                    bits[_dealt_codes(found.dictionary.to_numpy(), buckets)[0]] = np.concatenate([_get(x["bits"], x["n"], np.float32) for x in got])
+                bits = bits[found.indices.to_numpy(zero_copy_only=False)]
                 total = np.add.reduceat(bits, at)
                 part = part.drop_columns([mark])
                 size = np.diff(offsets) + 1
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first) + 1, pa.int64()), pa.array(known[first[1:]] - known[first[:-1]] + int(n_texts > 0), pa.int64()), pa.array([n] * part.num_rows, pa.int64()), pa.array(base), pa.array(total * np.log10(2)), pa.array(-total / size)], names=names)
 
     back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("counts"))
-    return packed.join(back, "chunk", "left").mapInArrow(tidy(run), schema)
+    joined = packed.join(back, "chunk", "left")
+    if trained:
+        joined = joined.join(answer(model).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers")), "chunk", "left")
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -198,6 +198,33 @@ def test_lm_probabilities_sum_to_one(spark):
     assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_counts_are_exact_whatever_the_corpus(spark):
+    """Some two million distinct six-byte strings: far more nodes than a fixed table has slots."""
+    random.seed(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-+=/"
+    texts = ["".join(random.choices(letters, k=200_000)) for _ in range(10)]
+    texts.append(texts[3][500:560] + texts[5][900:940])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    from swarmlens.llm import chunks
+
+    packed = chunks.pack(docs.withColumn("t", F.col("doc_id") < 10), "text", 1 << 20, 8)
+    model = lm_scoring.train_model(packed, "text", "t", 64)
+    train = np.concatenate([lm_scoring._grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts[:10]])
+    asked = lm_scoring._grams(np.frombuffer(texts[10].encode(), np.uint8), np.array([0, len(texts[10])]))[0]
+    expected = np.zeros(len(asked))
+    for k, code in enumerate(asked.tolist()):
+        after = [(train[(train >> np.uint64(8) & np.uint64(256**o - 1)) == np.uint64(code >> 8 & 256**o - 1)] & np.uint64(255)).astype(int) for o in range(1, 6)]
+        for b in range(8):
+            bit = code >> 7 - b & 1
+            same = [a[(a | 256) >> 8 - b == (code & 255 | 256) >> 8 - b] >> 7 - b & 1 for a in after]
+            x, gate = lm_scoring._features([np.array([(s == 0).sum()]) for s in same], [np.array([s.sum()]) for s in same], b)
+            p = np.clip(lm_scoring._refine(model, (model["weights"][gate] * x).sum(axis=1), b), 1 / 65536, 1 - 1 / 65536)[0]
+            expected[k] += math.log2(p if bit else 1 - p)
+    assert lm_scoring.bits_of(model, asked) == pytest.approx(expected, abs=1e-9)
+    scored = lm_scoring.score_documents(docs, F.col("doc_id") < 10, chunk_bytes=1 << 20).where("doc_id = 10").first()
+    assert scored["score"] == pytest.approx(expected.sum() * math.log10(2), rel=1e-5)
+
+
 def test_sharding_edges(spark):
     docs = edge_documents(spark).withColumn("shard", F.lit("clash"))
     rows = sharding.assign_shards(docs, limit=1000).collect()
