@@ -12,10 +12,10 @@ six-byte strings (context and byte) with their numbers go to buckets by the thre
 bytes before the last, so that a bucket holds its contexts of three bytes and more
 whole and counts them without collisions; contexts of one and two bytes are
 counted over all buckets (at most 2**24 three-byte strings).  The mixing weights
-and the map are learned online over a bounded sample of those strings
-(``sample``; they are some thousands of numbers), each example with its own count
-taken out.  A bucket scores each of its strings once and sends the bits back to
-the chunks that asked, in their order.
+and the map (some thousands of numbers) are learned in rounds over all strings of
+all buckets, each by its number and with one own occurrence taken out.  A bucket
+scores each of its strings once and sends the bits back to the chunks that asked,
+in their order.
 
 The unigram base needs the corpus count of every token: chunks send their
 distinct tokens to hash buckets and get the counts back in the same order.
@@ -41,7 +41,6 @@ from swarmlens.llm.text_arrays import mix, span_hashes, text_bytes, tidy, word_s
 ORDERS = 5
 #: Tasks that add up the three-byte strings.
 SLICES = 16
-SAMPLE = 1 << 17
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -155,26 +154,79 @@ def _examples(low, codes: np.ndarray, counts: np.ndarray, some: np.ndarray):
         yield x, gate, bit, counts[some].astype(float)
 
 
-def _fit_mixer(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, epochs: int = 4) -> dict:
-    """Weights and map, learned online over the sample."""
+#: Places of the symmetric matrix of six inputs.
+_ROWS, _COLS = np.triu_indices(ORDERS + 1)
+#: Passes over all strings that fit the weights, and the pull of a gate's weights to their start, in occurrences.
+ROUNDS, PULL = 6, 1.0
+
+
+def _start() -> np.ndarray:
     weights = np.full((_GATES, ORDERS + 1), 0.25)
     weights[:, ORDERS] = 0
-    weight = np.minimum(weight / max(weight.mean(), 1e-9), 1000.0)
-    order = np.random.Generator(np.random.PCG64(11)).permutation(len(x))
-    past = np.full(weights.shape, 0.01)
-    for _ in range(epochs):
-        for a in range(0, len(order), 4096):
-            i = order[a : a + 4096]
-            g, v = gate[i], x[i]
-            error = (bit[i] - _squash((weights[g] * v).sum(axis=1))) * weight[i]
-            slope = np.stack([np.bincount(g, error * v[:, o], _GATES) for o in range(ORDERS + 1)], axis=1)
-            past += slope * slope
-            weights += 0.1 * slope / np.sqrt(past)
-    mixed = (weights[gate] * x).sum(axis=1)
+    return weights
+
+
+def _slopes(weights: np.ndarray, x, gate, bit, weight) -> np.ndarray:
+    """For each gate the loss, its slope and its curvature at the weights, summed over the examples."""
+    mixed = np.einsum("ij,ij->i", weights[gate], x)
+    p = _squash(mixed)
+    error, curve = (bit - p) * weight, p * (1 - p) * weight
+    loss = weight * np.logaddexp(0, np.where(bit == 1, -mixed, mixed))
+    columns = [loss, *(error * x[:, o] for o in range(ORDERS + 1)), *(curve * x[:, i] * x[:, j] for i, j in zip(_ROWS, _COLS))]
+    return np.stack([np.bincount(gate, c, _GATES) for c in columns], axis=1)
+
+
+def _hits(weights: np.ndarray, x, gate, bit, weight) -> np.ndarray:
+    """For each bit place and step of the map: the ones and all."""
+    mixed = np.einsum("ij,ij->i", weights[gate], x)
     place = gate % 8 * 33 + np.clip((mixed + 8) * 2 + 0.5, 0, 32).astype(np.int64)
+    return np.stack([np.bincount(place, weight * bit, 264), np.bincount(place, weight, 264)], axis=1)
+
+
+def _summed(strings: DataFrame, shared, weights: np.ndarray, judge) -> np.ndarray:
+    """``judge`` over every training string of every bucket, summed: partitions first, then slices of the small array."""
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            for row in C.rows_of(batch):
+                codes, counts = _get(row["codes"], row["n"], np.uint64), _get(row["counts"], row["n"], np.int64)
+                some = np.flatnonzero(counts)
+                for example in _examples(shared.value, codes, counts, some):
+                    total = total + judge(weights, *example)
+        if np.ndim(total):
+            parts = np.array_split(total, 8)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(8), pa.int32()), "sums": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def add(table):
+        return pa.table({"slice": table["slice"][:1], "sums": pa.array([sum(np.frombuffer(x, float) for x in table["sums"].to_pylist()).tobytes()], pa.binary())})
+
+    rows = strings.mapInArrow(tidy(run), "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()  # eight rows of fixed size
+    return np.concatenate([np.frombuffer(r["sums"], float) for r in sorted(rows, key=lambda r: r["slice"])])
+
+
+def _fit_mixer(strings: DataFrame, shared, rounds: int = ROUNDS) -> dict:
+    """Weights and map, learned over all strings by their numbers.
+
+    A round sums each gate's slope and curvature over all buckets and takes a
+    Newton step; where the loss has grown, the step is taken back to a quarter.
+    """
+    start = _start()
+    weights, best, least, step = start, start, np.full(_GATES, np.inf), np.zeros(start.shape)
+    for _ in range(rounds):
+        sums = _summed(strings, shared, weights, _slopes).reshape(_GATES, -1)
+        loss = sums[:, 0] + PULL / 2 * ((weights - start) ** 2).sum(axis=1)
+        good = loss <= least
+        curve = np.zeros((_GATES, ORDERS + 1, ORDERS + 1))
+        curve[:, _ROWS, _COLS] = curve[:, _COLS, _ROWS] = sums[:, ORDERS + 2 :]
+        slope = sums[:, 1 : ORDERS + 2] - PULL * (weights - start)
+        newton = np.linalg.solve(curve + PULL * np.eye(ORDERS + 1), slope[:, :, None])[:, :, 0]
+        best, least = np.where(good[:, None], weights, best), np.where(good, loss, least)
+        step = np.where(good[:, None], newton, step / 4)
+        weights = best + step
     prior = _squash((np.arange(33) / 2 - 8))[None, :].repeat(8, 0).ravel()
-    hits, size = np.bincount(place, weight * bit, 264), np.bincount(place, weight, 264)
-    return {"weights": weights, "map": ((hits + 20 * prior) / (size + 20)).reshape(8, 33)}
+    hits, size = _summed(strings, shared, best, _hits).reshape(264, 2).T
+    return {"weights": best, "map": ((hits + 20 * prior) / (size + 20)).reshape(8, 33)}
 
 
 def bits_of(model: dict | None, codes: np.ndarray) -> np.ndarray:
@@ -280,31 +332,15 @@ def _triples(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _add_up(np.concatenate([_get(r["codes"], r["n"], np.uint64) for r in rows]), np.concatenate([_get(r["counts"], r["n"], np.int64) for r in rows]))
 
 
-def train_model(packed: DataFrame, text: str, train: str, buckets: int, sample: int = SAMPLE) -> dict | None:
+def train_model(packed: DataFrame, text: str, train: str, buckets: int) -> dict | None:
     """The model over the training rows of packed chunks (see chunks.pack); its strings stay in their buckets."""
     sent = gather(packed, text, train, buckets)
     strings = merge(sent)
     low = _triples(strings)
     if not len(low[0]):
         return None
-    share = -(-sample // buckets)
     shared = strings.sparkSession.sparkContext.broadcast(low)  # at most 2**24 numbers
-
-    def examples(batches):
-        for batch in batches:
-            for row in C.rows_of(batch):
-                codes, counts = _get(row["codes"], row["n"], np.uint64), _get(row["counts"], row["n"], np.int64)
-                some = np.flatnonzero(counts)
-                some = some[np.argsort(mix(codes[some] ^ np.uint64(0xA5A5)))[:share]]
-                if len(some):
-                    x, gate, bit, weight = (np.concatenate(part) for part in zip(*_examples(shared.value, codes, counts, some)))
-                    squeeze = lambda v: pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True)], pa.binary())
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([row["bucket"]], pa.int32()), "n": pa.array([len(x)], pa.int32()), "x": squeeze(x), "gate": squeeze(gate), "bit": squeeze(bit), "weight": squeeze(weight)})
-
-    rows = sorted(strings.mapInArrow(tidy(examples), "bucket int, n int, x binary, gate binary, bit binary, weight binary").collect(), key=lambda r: r["bucket"])  # the sample
-    part = lambda name, kind, width=1: np.concatenate([np.frombuffer(pa.decompress(bytes(r[name]), r["n"] * 8 * width, "zstd", asbytes=True), kind) for r in rows])
-    fitted = _fit_mixer(part("x", float, ORDERS + 1).reshape(-1, ORDERS + 1), part("gate", np.int64), part("bit", np.int64), part("weight", float))
-    return {"sent": sent, "strings": strings, "buckets": buckets, "low": low} | fitted
+    return {"sent": sent, "strings": strings, "buckets": buckets, "low": low} | _fit_mixer(strings, shared)
 
 
 def answer(model: dict) -> DataFrame:
@@ -376,7 +412,7 @@ def count_tokens(packed: DataFrame, text: str, train: str, buckets: int) -> Data
     return packed.mapInArrow(tidy(send), "bucket int, chunk bigint, n int, size int, tokens binary, counts binary").groupBy("bucket").applyInArrow(add, "chunk bigint, bucket int, n int, bits binary, known bigint, total bigint")
 
 
-def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_bytes: int = C.CHUNK_BYTES, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte; learned from the rows where ``train`` holds."""
     added = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()))]
     docs = docs.drop(*[f.name for f in added])
@@ -389,7 +425,7 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_by
     counted = count_tokens(packed, text, mark, buckets).checkpoint()
     distinct, n_words = (x or 0 for x in counted.agg(F.sum("known"), F.sum("total")).first())
     n_texts = docs.where(train).count()
-    model = train_model(packed, text, mark, buckets, sample)
+    model = train_model(packed, text, mark, buckets)
     n, v = n_words + n_texts, distinct + (n_texts > 0)
     trained = model is not None
 

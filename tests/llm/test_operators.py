@@ -225,6 +225,30 @@ def test_lm_counts_are_exact_whatever_the_corpus(spark):
     assert scored["score"] == pytest.approx(expected.sum() * math.log10(2), rel=1e-5)
 
 
+def test_lm_weights_are_learned_from_every_string(spark):
+    """At the weights the slope over all training strings is close to nothing, and the map is that of all strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    from swarmlens.llm import chunks
+
+    model = lm_scoring.train_model(chunks.pack(docs.withColumn("t", F.lit(True)), "text", 1 << 20, 8), "text", "t", 64)
+    rows = model["strings"].collect()
+    assert sum(r["n"] for r in rows) > 1 << 17
+    slope, size, hits, seen = 0, 0, np.zeros((8, 33)), np.zeros((8, 33))
+    for r in rows:
+        codes, counts = lm_scoring._get(r["codes"], r["n"], np.uint64), lm_scoring._get(r["counts"], r["n"], np.int64)
+        for b, (x, gate, bit, weight) in enumerate(lm_scoring._examples(model["low"], codes, counts, np.arange(len(codes)))):
+            mixed = (model["weights"][gate] * x).sum(axis=1)
+            error = (bit - 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))) * weight
+            slope = slope + np.stack([np.bincount(gate, error * x[:, o], 1000) for o in range(6)], axis=1)
+            size = size + np.stack([np.bincount(gate, weight * abs(x[:, o]), 1000) for o in range(6)], axis=1)
+            place = np.clip((mixed + 8) * 2 + 0.5, 0, 32).astype(int)
+            hits[b] += np.bincount(place, weight * bit, 33)
+            seen[b] += np.bincount(place, weight, 33)
+    assert np.abs(slope).sum() < 1e-3 * size.sum()
+    prior = 1 / (1 + np.exp(8 - np.arange(33) / 2))
+    assert model["map"] == pytest.approx((hits + 20 * prior) / (seen + 20), abs=1e-6)
+
+
 def test_sharding_edges(spark):
     docs = edge_documents(spark).withColumn("shard", F.lit("clash"))
     rows = sharding.assign_shards(docs, limit=1000).collect()
