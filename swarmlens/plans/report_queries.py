@@ -12,6 +12,7 @@ from swarmlens.operators import privacy as N
 from swarmlens.operators import temporal as T
 from swarmlens.plans.detection_queries import _STATS, clusters, members
 from swarmlens.plans.register import query, table
+from swarmlens.plans.similarity_queries import near_clusters
 from swarmlens.sources import sample, sinks
 from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events, parse_stream, posts
 
@@ -96,6 +97,13 @@ def hybrid_union(spark, sf_dir):
     return D.hybrid_union(grouped(F.md5("text")), grouped(F.md5(F.substring("text", 1, 20)))).select("id", "cluster_id")
 
 
+@query("U2_near_union")
+def near_union(spark, sf_dir):
+    """J7 and U2: MinHash clusters, and the SimHash clusters that overlap them by less than half."""
+    docs = table(spark, sf_dir, "documents")
+    return D.hybrid_union(near_clusters(docs, "minhash"), near_clusters(docs, "simhash"))
+
+
 @query("T17_retention", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 72 HOUR")
 def retention(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "ts")

@@ -152,14 +152,20 @@ def components(spark, sf_dir):
     return graphs.connected_components(S.minhash_pairs(texts(spark, sf_dir), H, B, T))
 
 
+def near_clusters(docs, algorithm: str, doc_id: str = "doc_id"):
+    """(id, cluster_id) of clusters of near duplicates: leader clusters of the pairs of distinct texts, and all copies by membership."""
+    texts = S.distinct_texts(docs, doc_id)
+    pairs = S.minhash_pairs(texts, H, B, T) if algorithm == "minhash" else S.simhash_pairs(texts)
+    seeds = graphs.leader_clusters(pairs)
+    placed = S.membership(docs, doc_id).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
+    return placed.join(placed.groupBy("cluster_id").count().where("count > 1"), "cluster_id", "left_semi")
+
+
 @query("L6_leader_clusters")
 def leader_clusters(spark, sf_dir):
     """Clusters of all documents: copies follow the representative of their text; single documents are none."""
-    docs = table(spark, sf_dir, "documents")
-    seeds = graphs.leader_clusters(S.minhash_pairs(S.distinct_texts(docs), H, B, T))
-    placed = S.membership(docs).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("seed", "rep").alias("seed"))
-    sizes = placed.groupBy("seed").agg(F.count("*").alias("size")).where("size > 1")
-    return placed.join(sizes, "seed").select("doc_id", "seed", "size")
+    placed = near_clusters(table(spark, sf_dir, "documents"), "minhash").withColumnsRenamed({"id": "doc_id", "cluster_id": "seed"})
+    return placed.join(placed.groupBy("seed").agg(F.count("*").alias("size")), "seed").select("doc_id", "seed", "size")
 
 
 @query("X7_partition_local", f"WITH {MINHASH} SELECT a, b, similarity FROM me WHERE a // 250 = b // 250")

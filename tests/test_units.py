@@ -166,3 +166,50 @@ def test_alert_records(spark):
     df = spark.createDataFrame([(7, "big", "high", 12, 0.456)], "cluster_id bigint, rule string, severity string, size bigint, confidence double")
     row = alerts.records(df, "Cluster alert", "cluster_id").first()
     assert (row.title, row.message, row.status, row.metadata["size"]) == ("Cluster alert: big", "Cluster alert 7: 12 posts, confidence 0.46", "active", "12")
+
+
+def near_posts():
+    """Two campaigns whose posts differ by a word at their beginning, one of them with copies; unrelated posts with one opening."""
+    random.seed(12)
+    bodies = [[random.choice("abcdefgh") * 3 + str(random.randrange(10**6)) for _ in range(60)] for _ in range(2)]
+    texts = [" ".join([f"start{i}word", *bodies[i % 2]]) for i in range(8)]
+    texts += texts[:2]
+    return texts + ["one opening for all of these " + " ".join(random.choices([f"other{k}" for k in range(5000)], k=40)) for _ in range(4)] + ["a b", "c d"]
+
+
+def leaders(pairs):
+    """Greedy clusters over pairs by id, in plain Python."""
+    near, seeds, taken = {}, [], {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for x in sorted(near):
+        if not near[x] & set(seeds):
+            seeds.append(x)
+    for x in near:
+        taken[x] = x if x in seeds else min(near[x] & set(seeds))
+    return taken
+
+
+def test_near_union_against_brute_force(spark, tmp_path):
+    from swarmlens.plans import registry
+
+    rows = list(enumerate(near_posts()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rep = {t: min(i for i, u in rows if u == t) for _, t in rows}
+    texts = docs.where(F.col("doc_id").isin(list(rep.values()))).withColumnRenamed("doc_id", "id")
+
+    def clusters(signatures, near):
+        seeds = leaders([(a, b) for a in signatures for b in signatures if a < b and near(signatures[a], signatures[b])])
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(seeds.get(rep[t], rep[t]), []).append(i)
+        return {c: g for c, g in groups.items() if len(g) > 1}
+
+    m = clusters({r["id"]: r["sig"] for r in similarity.minhash(texts, 32).collect()}, lambda x, y: sum(a == b for a, b in zip(x, y)) / 32 >= 0.7 and any(x[4 * k : 4 * k + 4] == y[4 * k : 4 * k + 4] for k in range(8)))
+    s = clusters({r["id"]: r["simhash"] for r in similarity.simhash(texts).collect()}, lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1") <= 3)
+    taken = {i for g in m.values() for i in g}
+    expected = {("minhash", c, i) for c, g in m.items() for i in g} | {("simhash", c, i) for c, g in s.items() if len(taken & set(g)) / len(g) < 0.5 for i in g}
+    assert sorted(map(len, m.values())) == [5, 5] and any(a == "simhash" for a, _, _ in expected)  # the last two have no shingles
+    assert {tuple(r) for r in registry.QUERIES["U2_near_union"](spark, str(tmp_path)).collect()} == expected
