@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from swarmlens.operators import detection as D
 from swarmlens.plans.register import query, table
+from swarmlens.plans.similarity_queries import near_clusters
 from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, posts
 
 _MEMBERS = f"""{ACCOUNTS_SQL},
@@ -22,12 +25,19 @@ s AS (SELECT *, round(0.3::DOUBLE * least(1, size / 100.0::DOUBLE) + CASE WHEN d
  size >= 5 AND unique_accounts >= 3 AND tpm > 2 AS swarm, size >= 10 AND unique_accounts <= 3 AS few FROM s0)"""
 
 
+#: Whether members() takes near duplicates; the queries X_near_... set it while they are planned.
+NEAR = ContextVar("NEAR", default=False)
+
+
 def members(spark, sf_dir):
-    """Posts of clusters of equal texts, with their authors' scores."""
+    """Posts of clusters of equal texts (of near-duplicate texts under NEAR), with their authors' scores."""
     all_posts = posts(spark, sf_dir)
-    keyed = all_posts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
-    placed = keyed.join(groups, "key").select("id", "cluster_id")
+    if NEAR.get():
+        placed = near_clusters(all_posts, "minhash", "id")
+    else:
+        keyed = all_posts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("key"))
+        groups = keyed.groupBy("key").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
+        placed = keyed.join(groups, "key").select("id", "cluster_id")
     scores = accounts(spark, sf_dir).select(F.col("id").alias("author_id"), "bot_score")
     return all_posts.join(placed, "id").join(scores, "author_id", "left").withColumn("bot_score", F.coalesce("bot_score", F.lit(0.0)))
 

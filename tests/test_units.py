@@ -213,3 +213,25 @@ def test_near_union_against_brute_force(spark, tmp_path):
     expected = {("minhash", c, i) for c, g in m.items() for i in g} | {("simhash", c, i) for c, g in s.items() if len(taken & set(g)) / len(g) < 0.5 for i in g}
     assert sorted(map(len, m.values())) == [5, 5] and any(a == "simhash" for a, _, _ in expected)  # the last two have no shingles
     assert {tuple(r) for r in registry.QUERIES["U2_near_union"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_queries_on_near_clusters_against_brute_force(spark, tmp_path):
+    from swarmlens.plans import registry
+
+    rows = list(enumerate(near_posts()))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(len(rows)).drop("event_id").collect()
+    kind = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    spark.createDataFrame([{**r.asDict(), "event_id": i} for i, r in enumerate(events)], kind).write.parquet(f"{tmp_path}/events.parquet")
+    for t in ("customer", "nation", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    campaigns = {0: [0, 2, 4, 6, 8], 1: [1, 3, 5, 7, 9]}
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r["cluster_id"], r["id"]) for r in run("P3_near_member_posts")} == {(c, i) for c, g in campaigns.items() for i in g}
+    stats = {r["cluster_id"]: r for r in run("A1_near_cluster_stats")}
+    for c, g in campaigns.items():
+        mine = [events[i] for i in g]
+        assert (stats[c]["size"], stats[c]["unique_accounts"]) == (5, len({e["user_id"] for e in mine}))
+        assert (stats[c]["first_seen"], stats[c]["last_seen"]) == (min(e["ts"] for e in mine), max(e["ts"] for e in mine))
+    assert {r["cluster_id"] for r in run("P7_near_min_cluster_size")} == {0, 1}
+    assert {r["cluster_id"] for r in run("P7_min_cluster_size")} == set()  # equal texts alone: pairs of copies
