@@ -1,6 +1,6 @@
 """Language identification of whole and mixed-language texts.
 
-Words are runs of letters.  The script of a word (by code point range) narrows
+Words are runs of letters with the marks that follow them.  The script of a word (by code point range) narrows
 the languages to those seen in that script; a word's score under a language is
 the mean over n-gram orders of its character n-grams' log probabilities; a
 Viterbi pass with a penalty for every switch labels the words, so spans of
@@ -21,6 +21,8 @@ as often as they occur; input columns named like an output are replaced.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,16 @@ SLOTS = 1 << 15
 MOST_LANGS = 256
 SWITCH = 12.0
 _SLICES = 16
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _characters(kinds: str) -> str:
+    """The characters whose general category starts with one of ``kinds``, as ranges of a pattern's class."""
+    inside = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()))
+
+
+_WORDS = re.compile(f"[{_characters('L')}][{_characters('LM')}]*")
 #: First code points of script ranges (fixed values of the Unicode blocks): Latin, Greek, Cyrillic,
 #: Armenian, Hebrew, Arabic, other South Asian and South-East Asian, Georgian, Hangul, Ethiopic and
 #: others, Latin and Greek additions, kana, Han, Hangul, all else.
@@ -150,13 +161,13 @@ def viterbi(scores: np.ndarray, ids: list[np.ndarray], switch: float) -> list[np
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     if not len(order):
-        return [np.zeros(0, np.int8) for _ in ids]
+        return [np.zeros(0, np.int16) for _ in ids]
     size = sizes[order]
     flat = np.concatenate([ids[i] for i in order])
     start = np.cumsum(size) - size
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than each step
     stay = np.zeros((len(flat), scores.shape[1]), bool)
-    best = np.zeros(len(flat), np.int8)
+    best = np.zeros(len(flat), np.int16)
     state = scores[flat[start]].astype(np.float64)
     final = np.empty_like(state)
     for t in range(1, size[0]):
@@ -171,15 +182,15 @@ def viterbi(scores: np.ndarray, ids: list[np.ndarray], switch: float) -> list[np
         stay[at] = keep
         state = np.where(keep, state, top - switch) + scores[flat[at]]
     final[: len(state)] = state
-    labels = np.zeros(len(flat), np.int8)
-    now = final.argmax(axis=1).astype(np.int8)
+    labels = np.zeros(len(flat), np.int16)
+    now = final.argmax(axis=1).astype(np.int16)
     for t in range(size[0] - 1, 0, -1):
         k = active[t]
         at = start[:k] + t
         labels[at] = now[:k]
         now[:k] = np.where(stay[at, now[:k]], now[:k], best[at])
     labels[start] = now
-    out: list = [np.zeros(0, np.int8)] * len(ids)
+    out: list = [np.zeros(0, np.int16)] * len(ids)
     for i, a, n in zip(order, start, size):
         out[i] = labels[a : a + n]
     return out
