@@ -5,8 +5,11 @@ that are new to the worker are encoded together by the ``tokenizers``
 library, whose BPE model is built from the rank file through the byte-to-character
 table, and a bounded cache holds their ids.  Every pair of ranked tokens whose
 joined bytes are ranked is a merge of that rank, so the ids are those of a plain
-rank merger.  Decoding reverses the byte table; characters that a cut through the
-ids has split decode to U+FFFD in text, while the bytes are kept as they are.
+rank merger.  Offsets are those that the library gives for a piece, moved to the
+piece's place in the text.  Decoding looks up each id's characters in the library's
+vocabulary and takes them back to bytes through the reversed byte table; bytes of
+a character that a cut through the ids has split decode to U+FFFD in text, while
+``decode`` gives the bytes as they are, so the halves join again.
 
 Defined cases: null text is empty text (no ids, empty bytes); an empty table
 gives an empty table; repeated rows are encoded each for themselves; input
@@ -47,7 +50,7 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -58,11 +61,11 @@ class ByteBpe:
             merges += [(shown[token[:i]], shown[token[i:]]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.decoder = decoders.ByteLevel()
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        back = {c: b for b, c in enumerate(table)}
+        words = self.model.get_vocab(with_added_tokens=False)
+        self.tokens = [b""] * (max(words.values()) + 1)
+        for word, n in words.items():
+            self.tokens[n] = bytes(map(back.__getitem__, word))
         # the vocabulary's library takes \s as the Unicode property
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.cache: dict[str, bytes] = {}
@@ -81,16 +84,17 @@ class ByteBpe:
                 del self.cache[p]
         return out
 
+    def offsets(self, texts: list[str]) -> list[np.ndarray]:
+        """The character of its text at which each id starts, as the library gives it; ids inside one character share its index."""
+        cut = [[(m.start(), m.group()) for m in self.pieces.finditer(t)] for t in texts]
+        new = list({p for pieces in cut for _, p in pieces})
+        starts = {p: np.array([a for a, _ in e.offsets], np.int64) for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False))}
+        return [np.concatenate([np.zeros(0, np.int64), *(starts[p] + a for a, p in pieces)]) for pieces in cut]
+
     def decode(self, ids) -> bytes:
-        """The bytes of the ids, from the reversed byte table."""
+        """The bytes of the ids: their characters through the reversed byte table, taken back when the vocabulary was read."""
         return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
-    def offsets(self, ids: np.ndarray, data: bytes) -> np.ndarray:
-        """The character of the text at which each id starts; ids inside one character share its index."""
-        lead = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        sizes = self.sizes[ids]
-        return np.maximum(lead[np.cumsum(sizes) - sizes] - 1, 0) if len(ids) else np.zeros(0, np.int64)
-
 
 @functools.lru_cache(2)
 def load(path: str | None = None, pattern: str | None = None) -> ByteBpe:
@@ -109,13 +113,14 @@ def encode_documents(docs: DataFrame, text: str = "text", with_offsets: bool = F
         bpe = load(path, pattern)
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                ids = bpe.encode([t or "" for t in part.column(text).to_pylist()])
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                ids = bpe.encode(texts)
                 decoded = [bpe.decode(x) for x in ids]
                 out = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 if with_ids:
                     out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 if with_offsets:
-                    out.append(pa.array([bpe.offsets(x, d) for x, d in zip(ids, decoded)], pa.list_(pa.int64())))
+                    out.append(pa.array(bpe.offsets(texts), pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=names)
         bpe.cache.clear()  # the worker may serve other stages next
 
