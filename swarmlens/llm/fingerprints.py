@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swarmlens.llm.session import fresh
+
 K, WINDOW = 4, 8
 _POS = 30
 _LOW = (1 << _POS) - 1
@@ -35,7 +37,7 @@ def _winnowed(df: DataFrame, text: str, out: str, k: int, window: int) -> DataFr
     Each step reads the column of the one before it at two places, which keeps the
     optimiser from inlining it into a lambda, where it would run for every element.
     """
-    b, w, h, g = f"_b_{out}", f"_w_{out}", f"_h_{out}", f"_g_{out}"
+    b, w, h, g = fresh(df, "_b", "_w", "_h", "_g")
     df = df.withColumn(b, F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")))
     df = df.withColumn(w, words(b))
     df = df.withColumn(h, F.when(F.size(w) > 0, F.transform(w, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
@@ -58,9 +60,11 @@ def _likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """``docs`` with fingerprint: an array of (hash, pos), pos the first word of the k-gram."""
-    df = _winnowed(docs.drop("fingerprint"), text, "_sel", k, window)
+    docs = docs.drop("fingerprint")
+    (sel,) = fresh(docs, "_sel")
+    df = _winnowed(docs, text, sel, k, window)
     unpack = lambda x: F.struct(F.shiftrightunsigned(x, _POS).alias("hash"), (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).cast("int").alias("pos"))
-    return df.withColumn("fingerprint", F.transform("_sel", unpack)).drop("_sel")
+    return df.withColumn("fingerprint", F.transform(sel, unpack)).drop(sel)
 
 
 def followers(keys: DataFrame, parts: int) -> DataFrame:

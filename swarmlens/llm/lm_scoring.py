@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swarmlens.llm import chunks as C
+from swarmlens.llm.session import fresh
 from swarmlens.llm.text_arrays import mix, span_hashes, text_bytes, tidy, word_spans
 
 ORDERS = 5
@@ -417,7 +418,7 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", chunk_by
     added = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()))]
     docs = docs.drop(*[f.name for f in added])
     names, schema = [*docs.columns, *[f.name for f in added]], T.StructType([*docs.schema.fields, *added])
-    mark = "_train"
+    (mark,) = fresh(docs, "_train")
     parts = C.partitions(docs)
     buckets = max(64, parts)
     packed = C.pack(docs.withColumn(mark, F.coalesce(train, F.lit(False))), text, chunk_bytes, parts).checkpoint()

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swarmlens.llm.session import fresh
+
 #: Target shares: the large source is held to six times the share of each other one.
 WEIGHTS = {"src0": 0.24, **{f"src{i}": 0.04 for i in range(1, 20)}}
 SEED = "mix-1"
@@ -44,6 +46,7 @@ def _uniform(*parts):
 def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, source: str = "source", doc_id: str = "doc_id", epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """Copies of ``docs`` with rate, copy (from 0) and shuffle_key, in global random order."""
     session, docs = docs.sparkSession, docs.drop("rate", "copy", "shuffle_key")
+    name, split, cdf, u, many = fresh(docs, "_source", "_parts", "_cdf", "_u", "_n")
     counts = {r[0]: r[1] for r in docs.where(F.col(source).isin(list(weights))).groupBy(source).count().collect()}  # one row a listed source
     total, whole = sum(counts.values()), sum(weights[s] for s in counts) or 1.0
     rates = {s: epochs * total * weights[s] / whole / n for s, n in counts.items()}
@@ -52,15 +55,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] = WEIGHTS, source: st
     for s, rate in rates.items():
         parts = max(1, math.ceil(rate / _MOST))
         rows.append((s, float(rate), parts, poisson_cdf(rate / parts)))
-    table = session.createDataFrame(rows, "_source string, rate double, _parts int, _cdf array<double>")
+    table = session.createDataFrame(rows, f"{name} string, rate double, {split} int, {cdf} array<double>")
     listed = F.when(F.col(source).isin(list(counts)), F.col(source)) if counts else F.lit(None).cast("string")
-    found = docs.join(F.broadcast(table), listed.eqNullSafe(F.col("_source")))  # as many rows as weights
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda p: p <= _uniform(F.lit(seed), F.col(doc_id), j))))
-    many = found.withColumn("_u", _uniform(F.lit(seed), F.col(doc_id), F.lit(0)))
-    many = many.withColumn("_n", F.when(F.col("_parts") == 1, F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))).otherwise(count))
-    copies = many.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    found = docs.join(F.broadcast(table), listed.eqNullSafe(F.col(name)))  # as many rows as weights
+    count = F.aggregate(F.sequence(F.lit(0), F.col(split) - 1), F.lit(0), lambda n, j: n + F.size(F.filter(cdf, lambda p: p <= _uniform(F.lit(seed), F.col(doc_id), j))))
+    drawn = found.withColumn(u, _uniform(F.lit(seed), F.col(doc_id), F.lit(0)))
+    drawn = drawn.withColumn(many, F.when(F.col(split) == 1, F.size(F.filter(cdf, lambda p: p <= F.col(u)))).otherwise(count))
+    copies = drawn.where(F.col(many) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(many) - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    keyed = keyed.drop("_source", "_parts", "_cdf", "_u", "_n")
+    keyed = keyed.drop(name, split, cdf, u, many)
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
 
