@@ -5,9 +5,10 @@ A repeat of ``window`` >= 2 * block - 1 words covers a whole reference block of
 each of its occurrences, so probing the block index with every rolling window of
 ``block`` words finds at least one anchor in each occurrence.  Around the anchors
 the hits are extended to all windows of ``window`` words that hold an anchor;
-those are compared by 128-bit hashes over the whole corpus, and the union of the
-windows that occur twice is exactly the set of maximal repeats of at least
-``window`` words.
+those are compared over the whole corpus by two 64-bit hashes of words that are
+themselves hashed twice, by different byte tables, so windows are confused only if
+128 bits agree by chance; the union of the windows that occur twice is the set of
+maximal repeats of at least ``window`` words.
 
 Plan: one shuffle of compressed documents, one of block hashes (about four bytes
 a word), one of the windows around anchors, and bitmaps back.  No pair of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swarmlens.llm import chunks as C
-from swarmlens.llm.text_arrays import gram_hashes, gram_starts, tidy, words_of
+from swarmlens.llm.text_arrays import gram_hashes, gram_starts, span_hashes, tidy, words_of
 
 WINDOW = 35
 _BITS = 48
@@ -54,8 +55,8 @@ def _anchors(first: np.ndarray, words: np.ndarray, block: int):
     return at, codes, values[last], (both[last] & np.uint64(1)).astype(bool), counts > 1
 
 
-def _windows(first, words, block, window, verdicts):
-    """Windows that hold an anchor: word indices and two hashes, in the order of the hashes."""
+def _windows(spans, first, words, block, window, verdicts):
+    """Windows that hold an anchor: word indices and two hashes, of words hashed twice, in the order of the hashes."""
     at, codes, values, _, _ = _anchors(first, words, block)
     hot = values[verdicts] if len(verdicts) else values[:0]
     found = np.zeros(len(words) + 1, np.int64)
@@ -65,7 +66,8 @@ def _windows(first, words, block, window, verdicts):
     found = np.cumsum(found)
     where = gram_starts(first, window)
     where = where[found[where + window - block + 1] > found[where]]
-    one, two = gram_hashes(words, window, where), gram_hashes(words, window, where, salt=0x5851F42D4C957F2D)
+    one = gram_hashes(words, window, where)
+    two = gram_hashes(span_hashes(*spans, family=1), window, where) if len(where) else one
     order = np.lexsort((two, one))
     where, one, two = where[order], one[order], two[order]
     new = np.ones(len(one), bool)
@@ -142,8 +144,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW,
     def windows(batches):
         for batch in batches:
             for row in C.rows_of(batch):
-                _, _, _, _, first, words = words_of(C.unpack(row["blob"]).column(text))
-                _, one, two, new = _windows(first, words, block, window, C.verdict_bits(row["anchors"]))
+                data, _, starts, ends, first, words = words_of(C.unpack(row["blob"]).column(text))
+                _, one, two, new = _windows((data, starts, ends), first, words, block, window, C.verdict_bits(row["anchors"]))
                 starts = np.flatnonzero(new)
                 many = np.diff(np.append(starts, len(new))) > 1
                 yield _values_out(row["chunk"], buckets, 64, one, lambda a, b: one[a:b].tobytes() + two[a:b].tobytes(), lambda a, b: C.put_bits(many[a:b]))
@@ -153,7 +155,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW,
             for row in C.rows_of(batch):
                 part = C.unpack(row["blob"])
                 data, offsets, starts, ends, first, words = words_of(part.column(text))
-                where, _, _, new = _windows(first, words, block, window, C.verdict_bits(row["anchors"]))
+                where, _, _, new = _windows((data, starts, ends), first, words, block, window, C.verdict_bits(row["anchors"]))
                 verdicts = C.verdict_bits(row["windows"])
                 bad = where[verdicts[np.cumsum(new) - 1]] if len(where) else where
                 cover = np.zeros(len(words) + 1, np.int64)

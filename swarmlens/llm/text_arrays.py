@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTE_TABLES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 
 
 class Powers:
@@ -35,7 +35,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _GRAM_POWERS = Powers(_BASE), Powers(0xC2B2AE3D27D4EB4F)
+_BYTE_POWERS, _GRAM_POWERS = (Powers(_BASE), Powers(0x9FB21C651E98DF25)), Powers(0xC2B2AE3D27D4EB4F)
 
 
 def release() -> None:
@@ -92,27 +92,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each byte span (spans in order, none overlapping), a block of bytes at a time."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span (spans in order, none overlapping), a block of bytes at a time.
+
+    There are two families, of different byte tables and bases, so that spans which one confuses are told apart by the other.
+    """
     out = np.empty(len(starts), np.uint64)
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), block)), len(starts)))
     for i, j in zip(cuts[:-1], cuts[1:]):
         a, b = starts[i], ends[j - 1]
-        up, down = _BYTE_POWERS.get(b - a + 1)
+        up, down = _BYTE_POWERS[family].get(b - a + 1)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE_TABLE[data[a:b]] * up[:-1], out=sums[1:])
+        np.cumsum(_BYTE_TABLES[family][data[a:b]] * up[:-1], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
     return out
 
 
-def gram_hashes(words: np.ndarray, n: int, at: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
+def gram_hashes(words: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
     """Hash of the n words that start at each index (``at``, or all that have n words after them)."""
     if at is None:
         at = np.arange(max(0, len(words) - n + 1))
     up, down = _GRAM_POWERS.get(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum((mix(words ^ np.uint64(salt)) if salt else words) * up[:-1], out=sums[1:])
+    np.cumsum(words * up[:-1], out=sums[1:])
     return mix((sums[at + n] - sums[at]) * down[at])
 
 
