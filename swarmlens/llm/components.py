@@ -10,6 +10,16 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): each node's least neighbour.
+
+    Dealt out by an exchange of its own, so that the join with the edges stands between
+    exchanges: adaptive execution can then cut the edges of a group's centre, which may
+    be most of the table, into several tasks.
+    """
+    return edges.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots themselves; a root is its component's least node.
 
@@ -19,10 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = _least(both).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(_least(large), "a")
         edges = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct().checkpoint()
         after = _state(edges)
         if after == before:

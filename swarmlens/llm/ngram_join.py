@@ -5,8 +5,8 @@ a band for which enough bands reach the recall within ``most_hashes``.  Distinct
 texts (16-byte MD5) are shuffled on their band hashes; every member of a band's
 bucket is tied to the bucket's least text, never to all others, and the ties'
 components hold all candidate pairs.  Each component is dealt into blocks of
-bounded rows and bytes by hash; blocks meet two at a time, and within such a unit
-the pairs that share a band are verified on their full n-gram sets.  A unit gives
+bounded rows and bytes by hash; two blocks meet if a band value is in both, and
+within such a unit the pairs that share a band are verified on their full n-gram sets.  A unit gives
 back a number of links for each text and a spanning forest of the links it found,
 so groups of thousands of near copies cost no row for each pair, while every link
 between different texts counts.
@@ -18,7 +18,7 @@ of documents with the very same text.
 Defined cases: a text of fewer than n words has one n-gram of all its words;
 texts without words link to nothing; a null text is in a class of its own
 (class_id its own id, one copy); a null doc_id never lends its id to a class that
-has another; repeated rows are copies; an empty table gives an empty table; input
+has another; repeated rows (texts and ids alike) are copies; an empty table gives an empty table; input
 columns named like an output are replaced.
 """
 
@@ -103,17 +103,17 @@ def _signatures(docs: DataFrame, text: str, bands: int, rows: int, n: int) -> Da
     return docs.where(F.col(text).isNotNull()).mapInArrow(tidy(run), schema)
 
 
-def _values(texts: DataFrame, bands: int) -> DataFrame:
-    """(value, key) for each band of each text."""
+def _values(texts: DataFrame, bands: int, kept: str) -> DataFrame:
+    """(value, and the columns ``kept``) for each band of each text."""
+    names = [c.split()[0] for c in kept.split(", ")]
 
     def run(batches):
         for batch in batches:
             packed = batch.column("bands").to_pylist()
-            keys = batch.column("key")
             owner = np.repeat(np.flatnonzero([len(p) > 0 for p in packed]), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), keys.take(pa.array(owner))], names=["value", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), *(batch.column(c).take(pa.array(owner)) for c in names)], names=["value", *names])
 
-    return texts.select("key", "bands").mapInArrow(run, "value bigint, key binary")
+    return texts.select("bands", *names).mapInArrow(run, f"value bigint, {kept}")
 
 
 def _pack(n: int, bands: int, rows: int):
@@ -220,13 +220,17 @@ def _verify(bands: int, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """A row for each document: doc_id, class_id, n_links, n_copies (see above)."""
+    """A row for each document: doc_id, class_id, n_links, n_copies (see above), and two text keys.
+
+    ``key`` is the digest of the document's text (null without one), ``class_key`` that of
+    its class's least key: unlike class_id it tells classes apart where ids repeat.
+    """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = _signatures(docs, "text", bands, rows, n).select("doc_id", "key", "n_bytes", "bands").checkpoint()
     texts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_bytes").alias("n_bytes"), F.max("bands").alias("bands"))
 
-    values = _values(texts, bands)
+    values = _values(texts, bands, "key binary")
     hubs = values.groupBy("value").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub")
     ties = values.join(hubs, "value").select(F.col("key").alias("a"), F.col("hub").alias("b"))
     groups = components(ties)
@@ -239,26 +243,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", n: int = N, threshold:
     cell = F.when(F.col("blocks") > 1, F.hex("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(cells)).cast("string"))
     placed = members.join(sizes, "root").select("key", "rep", cell.alias("cell"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
 
-    found = docs.where(F.col("text").isNotNull()).join(placed, F.col("doc_id").eqNullSafe(F.col("rep")))
-    found = found.where(F.unhex(F.md5("text")) == F.col("key")).select("cell", "block", "blocks", "key", "text")
+    whole = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "doc_id", "text")
+    if not signed.groupBy("key", "doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id and a text: one of them speaks for all
+        whole = whole.groupBy("key", "doc_id").agg(F.first("text").alias("text"))
+    found = whole.join(placed.withColumnRenamed("key", "p_key"), (F.col("key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cell", "block", "blocks", "key", "text")
     binary = "key binary, sizes binary, bands binary, vocabulary binary, sets binary"
     packed = found.groupBy("cell", "block").applyInArrow(_pack(n, bands, rows), f"cell string, block int, blocks int, {binary}")
-    units = packed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    units = units.select("cell", "i", "j", "block", "key", "sizes", "bands", "vocabulary", "sets")
+    # blocks of a large component meet only where a band value is in both; block numbers alone are gathered for a value
+    large = signed.groupBy("key").agg(F.max("bands").alias("bands")).join(placed.where("blocks > 1").select("key", "cell", "block"), "key")
+    met = _values(large, bands, "cell string, block int").groupBy("cell", "value").agg(F.collect_set("block").alias("held"))
+    pairs = met.where("size(held) > 1").select("cell", F.explode("held").alias("i"), "held").select("cell", "i", F.explode("held").alias("j")).where("i < j").distinct()
+    meets = pairs.select("cell", "i", "j", F.explode(F.array("i", "j")).alias("block")).join(packed, ["cell", "block"])
+    names = ["cell", "i", "j", "block", "key", "sizes", "bands", "vocabulary", "sets"]
+    units = packed.withColumn("i", F.col("block")).withColumn("j", F.col("block")).select(names).union(meets.select(names))
     verified = units.groupBy("cell", "i", "j").applyInArrow(_verify(bands, threshold), "key binary, links bigint, other binary").checkpoint()
 
     classes = components(verified.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     links = verified.where("links > 0").groupBy("key").agg(F.sum("links").alias("n_links"))
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = texts.groupBy("root").agg(F.min("rep").alias("class_id"))
-    texts = texts.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = signed.select("doc_id", "key").join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies")
-    alone = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("root", "key"))
+    ids = texts.groupBy("class_key").agg(F.min("rep").alias("class_id"))
+    texts = texts.join(ids, "class_key").select("key", "class_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = signed.select("doc_id", "key").join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", "key", "class_key")
+    none = F.lit(None).cast("binary")
+    alone = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"), none.alias("key"), none.alias("class_key"))
     return out.union(alone)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 OP10_SQL = r"""
