@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and reads again as the next stage's input.  All but the last
-return the columns of documents; rows may have become fewer, or more (mixing).
+return the columns that they were given, whatever else those are named; rows may
+have become fewer, or more (mixing).
 
 1. language ID: documents without a language (no letters, or no language that
    holds half of the letters) go.
@@ -11,56 +12,80 @@ return the columns of documents; rows may have become fewer, or more (mixing).
 3. substring dedup: words in passages of 35 words or more that occur twice go.
 4. mixing: each source is repeated to its target share.
 5. byte-level BPE: the kept texts' ids, and digests of ids and decoded bytes.
+
+Defined cases, each stage on its own input: an empty table gives an empty table;
+null texts go in stage 1, stay as they are in stages 2 to 4 and have no ids in stage
+5; null ids, languages and sources are values like others, and stage 2 prefers
+an id to none; ties and repeated rows are stated with each stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.llm import byte_bpe, language_id, mixing, ngram_join, substring_dedup
 from swarmlens.llm.session import shared_checkpoints
 
-#: No SQL can express the language model of stage 1; tests hold run() against a brute-force version.
+#: No SQL can express the language model of stage 1; tests hold run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns under names that no operator uses."""
+    return docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+
+
+def _back(df: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    return df.select([(changed[c] if c in changed else F.col(f"in_{c}")).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one recognised language; a missing lang is filled in."""
+    """Keeps documents in one recognised language; a missing lang is filled in.
+
+    Repeated rows are kept or not alike; where half of the letters are in one language and half in another, the document stays.
+    """
     shared_checkpoints(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, text="in_text")
-    kept = found.where("lang_pred <> 'und' AND score >= 0.5").withColumn("in_lang", F.coalesce("in_lang", "lang_pred"))
-    return kept.select([F.col(f"in_{c}").alias(c) for c in docs.columns])
+    found = language_id.predict(_apart(docs), model, text="in_text")
+    return _back(found.where("lang_pred <> 'und' AND score >= 0.5"), docs, lang=F.coalesce("in_lang", "lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates: that with the least id."""
+    """Keeps one document of each class of near duplicates: that with the least id, then the least text digest.
+
+    Classes are those of texts, so documents with one id and unrelated texts are told
+    apart.  Of rows that repeat both id and text, the least by their other columns
+    stays.  A null text is no duplicate of anything and stays.
+    """
     shared_checkpoints(spark)
-    classes = ngram_join.near_duplicates(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    # rows that share the id that stays: ids are unique in a sound table; else the least text of them stays
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1 OR doc_id IS NULL").drop("nth") if repeated else kept
+    classes = ngram_join.near_duplicates(docs.select("doc_id", "text")).where("key IS NOT NULL")
+    least = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("m"))
+    kept = least.select(F.col("m.id").alias("kept_id"), F.col("m.key").alias("kept_key"))
+    apart = _apart(docs).withColumn("key", F.unhex(F.md5("in_text")))
+    stay = apart.join(kept, (F.col("key") == F.col("kept_key")) & F.col("in_doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not classes.groupBy("key", "doc_id").count().where("count > 1").isEmpty():
+        row = F.struct(*[f"in_{c}" for c in docs.columns])
+        stay = stay.groupBy("key", "in_doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return _back(stay, docs).union(docs.where("text IS NULL"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the words of passages that occur twice in what is left."""
+    """Removes the words of passages that occur twice in what is left; repeated rows lose all such words alike."""
     shared_checkpoints(spark)
-    cut = substring_dedup.dedup_substrings(docs)
-    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint")).select(docs.columns)
+    cut = substring_dedup.dedup_substrings(_apart(docs), text="in_text")
+    return _back(cut, docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("bigint"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or thins each source to its target share."""
+    """Repeats or thins each source to its target share; repeated rows of one id are repeated alike."""
     shared_checkpoints(spark)
-    return mixing.mix_sources(docs).select(docs.columns)
+    return _back(mixing.mix_sources(_apart(docs), source="in_source", doc_id="in_doc_id"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of every text."""
+    """Token ids and digests of every text; a null text has none."""
     shared_checkpoints(spark)
     return byte_bpe.encode_documents(docs.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
