@@ -213,11 +213,12 @@ def test_lm_counts_are_exact_whatever_the_corpus(spark):
     asked = lm_scoring._grams(np.frombuffer(texts[10].encode(), np.uint8), np.array([0, len(texts[10])]))[0]
     expected = np.zeros(len(asked))
     for k, code in enumerate(asked.tolist()):
-        after = [(train[(train >> np.uint64(8) & np.uint64(256**o - 1)) == np.uint64(code >> 8 & 256**o - 1)] & np.uint64(255)).astype(int) for o in range(1, 6)]
+        after = [(train[(train >> np.uint64(8) & np.uint64(256**o - 1)) == np.uint64(code >> 8 & 256**o - 1)] & np.uint64(255)).astype(int) for o in (1, 2, 3, 4, 7)]
+        place = lm_scoring._places(np.array([code], np.uint64))
         for b in range(8):
             bit = code >> 7 - b & 1
             same = [a[(a | 256) >> 8 - b == (code & 255 | 256) >> 8 - b] >> 7 - b & 1 for a in after]
-            x, gate = lm_scoring._features([np.array([(s == 0).sum()]) for s in same], [np.array([s.sum()]) for s in same], b)
+            x, gate = lm_scoring._features([np.array([(s == 0).sum()]) for s in same], [np.array([s.sum()]) for s in same], b, place)
             p = np.clip(lm_scoring._refine(model, (model["weights"][gate] * x).sum(axis=1), b), 1 / 65536, 1 - 1 / 65536)[0]
             expected[k] += math.log2(p if bit else 1 - p)
     assert lm_scoring.bits_of(model, asked) == pytest.approx(expected, abs=1e-9)
@@ -239,8 +240,8 @@ def test_lm_weights_are_learned_from_every_string(spark):
         for b, (x, gate, bit, weight) in enumerate(lm_scoring._examples(model["low"], codes, counts, np.arange(len(codes)))):
             mixed = (model["weights"][gate] * x).sum(axis=1)
             error = (bit - 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))) * weight
-            slope = slope + np.stack([np.bincount(gate, error * x[:, o], 1000) for o in range(6)], axis=1)
-            size = size + np.stack([np.bincount(gate, weight * abs(x[:, o]), 1000) for o in range(6)], axis=1)
+            slope = slope + np.stack([np.bincount(gate, error * x[:, o], lm_scoring._GATES) for o in range(6)], axis=1)
+            size = size + np.stack([np.bincount(gate, weight * abs(x[:, o]), lm_scoring._GATES) for o in range(6)], axis=1)
             place = np.clip((mixed + 8) * 2 + 0.5, 0, 32).astype(int)
             hits[b] += np.bincount(place, weight * bit, 33)
             seen[b] += np.bincount(place, weight, 33)
