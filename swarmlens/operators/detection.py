@@ -33,9 +33,17 @@ def watched(keywords=(), hashtags=(), users: Column | None = None) -> Column:
     return reduce(lambda x, y: x | y, signs) if signs else F.lit(False)
 
 
+def watched_by(posts: DataFrame, users: DataFrame, keywords=(), hashtags=()) -> DataFrame:
+    """Posts (with username) that ``watched`` keeps or whose author is in a table of usernames, which may be long: one equi-join on the lowered name."""
+    (name,) = users.columns
+    listed = users.select(F.lower(name).alias("_listed")).where("_listed IS NOT NULL").distinct()
+    return posts.join(listed, F.lower("username") == F.col("_listed"), "left").where(watched(keywords, hashtags) | F.col("_listed").isNotNull()).drop("_listed")
+
+
 def included(posts: DataFrame, as_of: str, min_retweets: int = 0, max_age_hours: int = 0, keywords=(), hashtags=()) -> DataFrame:
-    """Posts that are shared enough, young enough, and obvious spam or watched."""
-    keep = (F.col("retweet_count") >= min_retweets) & (obvious_spam() | watched(keywords, hashtags))
+    """Posts that are shared enough, young enough, and obvious spam or watched; their authors' bot_score counts where the column is there."""
+    author = F.col("bot_score") if "bot_score" in posts.columns else None
+    keep = (F.col("retweet_count") >= min_retweets) & (obvious_spam(author) | watched(keywords, hashtags))
     if max_age_hours:
         keep &= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(max_age_hours)) <= F.col("created_at")
     return posts.where(keep)

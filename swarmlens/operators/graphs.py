@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def ready(spark) -> None:
-    """The checkpoint folder that the cluster names, or a temporary one on a single machine."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphs"))
+    """The checkpoint folder that the cluster names; a temporary one only on a single machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[\d*,\s]+\])?", context.master):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphs"))
 
 
-def leader_clusters(edges: DataFrame) -> DataFrame:
-    """(id, seed): seeds are the lexicographically first maximal independent set; others join their least seed neighbour.
+def hashed_order(node: Column) -> Column:
+    """An order that does not depend on how ids were given."""
+    return F.struct(F.md5(node.cast("string")), node)
 
-    In each round every undecided node without a smaller undecided neighbour becomes a
-    seed and takes its undecided neighbours out; rounds write their state to the
-    checkpoint folder.
+
+def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
+    """(id, seed): seeds are the first maximal independent set in the order of the nodes; others join their first seed neighbour.
+
+    ``order`` is a function of the node column, by default the node itself.  In each
+    round every undecided node without an undecided neighbour before it becomes a seed
+    and takes its undecided neighbours out.  By ascending ids a chain takes as many
+    rounds as it has nodes; by ``hashed_order`` any graph takes some multiple of the
+    logarithm of its size.  Rounds write their state to the checkpoint folder.
     """
     ready(edges.sparkSession)
+    order = order or (lambda node: node)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct().checkpoint()
-    open_ = both
-    seeds = None
+    open_, rounds = both, []
     while not open_.isEmpty():
-        fresh = open_.groupBy("u").agg(F.min("v").alias("m")).where("u < m").select("u")
-        out = open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct()
-        seeds = (fresh if seeds is None else seeds.union(fresh)).checkpoint()
-        gone = out.checkpoint()
+        fresh = open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u").checkpoint()
+        gone = open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct().checkpoint()
         inner = open_.join(gone, "u", "left_anti")
         kept = inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v").checkpoint()
         # nodes whose neighbours have all gone are seeds of their own
-        alone = inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")
-        seeds = seeds.union(alone).checkpoint()
+        rounds += [fresh, inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")]
         open_ = kept
-    if seeds is None:
+    if not rounds:
         return both.select(F.col("u").alias("id"), F.col("v").alias("seed")).limit(0)
-    taken = both.join(seeds.select(F.col("u").alias("v")), "v", "left_semi").join(seeds, "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("seed"))
+    seeds = reduce(DataFrame.union, rounds).checkpoint()
+    taken = both.join(seeds.select(F.col("u").alias("v")), "v", "left_semi").join(seeds, "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min_by("v", order(F.col("v"))).alias("seed"))
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 
 

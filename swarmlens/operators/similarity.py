@@ -9,6 +9,7 @@ alone; signatures are attached to the distinct candidate pairs afterwards.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,20 +56,26 @@ def minhash(docs: DataFrame, hashes: int) -> DataFrame:
 
 
 def bands(signatures: DataFrame, hashes: int, count: int) -> DataFrame:
-    """(id, band, key)."""
+    """(id, band, key): a 64-bit hash of each band's rows."""
     rows = hashes // count
-    keys = F.array(*[F.array_join(F.slice("sig", b * rows + 1, rows).cast("array<string>"), ",") for b in range(count)])
+    keys = F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(count)])
     return signatures.select("id", F.posexplode(keys).alias("band", "key"))
 
 
-def minhash_pairs(docs: DataFrame, hashes: int = 32, count: int = 8, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity) of pairs that share a band and agree on enough of the signature."""
+def minhash_pairs(docs: DataFrame, hashes: int = 128, count: int = 16, threshold: float = 0.7, batch=None) -> DataFrame:
+    """(a, b, similarity) of pairs that share a band and agree on enough of the signature.
+
+    ``batch`` (a function of the id column) keeps pairs inside batches: it is part of the join key.
+    """
     signatures = kept(minhash(docs, hashes))
     keyed = bands(signatures, hashes, count)
+    if batch is not None:
+        keyed = keyed.withColumn("key", F.xxhash64("key", batch(F.col("id"))))
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z)) / F.lit(float(hashes))
-    return both.select("a", "b", agree.alias("similarity")).where(F.col("similarity") >= threshold)
+    near = both.select("a", "b", agree.alias("similarity")).where(F.col("similarity") >= threshold)
+    return near.where(batch(F.col("a")) == batch(F.col("b"))) if batch is not None else near
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -86,15 +93,54 @@ def simhash_tables(hashes: DataFrame, tables: int = 4) -> DataFrame:
     return hashes.select("id", "simhash", F.posexplode(slices).alias("slot", "key"))
 
 
+def simhash_blocks(hashes: DataFrame, distance: int) -> DataFrame:
+    """(id, simhash, slot, key): the hash in 2 * distance blocks, a row for each choice of half of them.
+
+    Two hashes that differ in ``distance`` bits at most agree on at least half of the
+    blocks, so they share a key; a key has half of the bits (32 where four slices have
+    16), and the pairs that meet by chance grow with the square of the texts over 2**32.
+    """
+    blocks = max(2, 2 * distance)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in some) for some in combinations(range(blocks), blocks - max(1, distance))]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return hashes.select("id", "simhash", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("bigint")) for m in signed])).alias("slot", "key"))
+
+
 def simhash_pairs(docs: DataFrame, tables: int = 4, distance: int = 3) -> DataFrame:
-    """(a, b, distance, similarity): exact while distance < tables and tables divides 64 (pigeonhole)."""
-    keyed = simhash_tables(kept(simhash(docs)), tables)
+    """(a, b, distance, similarity) of the pairs that share one of ``tables`` slices of the hash and differ in ``distance`` bits at most.
+
+    While distance < tables and tables divides 64 that is every pair so near (pigeonhole),
+    which longer keys find with far fewer chance meetings.
+    """
+    hashes = kept(simhash(docs))
+    keyed = simhash_blocks(hashes, distance) if distance < tables and 64 % tables == 0 else simhash_tables(hashes, tables)
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     far = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("distance")).where(F.col("distance") <= distance).distinct().withColumn("similarity", 1 - F.col("distance") / F.lit(64.0))
 
 
+def length_weights(length, weights: tuple[float, float] = (0.6, 0.4)):
+    """Columns (minhash, simhash): MinHash counts more for texts over 200 characters, SimHash more for those under 50; scaled to 1."""
+    m = weights[0] * F.when(length > 200, 1.2).when(length < 50, 0.8).otherwise(1.0)
+    s = weights[1] * F.when(length > 200, 0.8).when(length < 50, 1.2).otherwise(1.0)
+    return m / (m + s), s / (m + s)
+
+
+def accuracies(judged: DataFrame) -> DataFrame:
+    """(algorithm, tp, fp, tn, fn, accuracy) of (algorithm, truth, found)."""
+    t, f = F.col("truth"), F.col("found")
+    out = judged.groupBy("algorithm").agg(F.count_if(t & f).alias("tp"), F.count_if(~t & f).alias("fp"), F.count_if(~t & ~f).alias("tn"), F.count_if(t & ~f).alias("fn"))
+    return out.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
+
+
+def exact_similarity(hashes: DataFrame, a, b) -> DataFrame:
+    """(similarity) of two ids' SimHash values; 0 if one of them is missing."""
+    two = hashes.where(F.col("id").isin(a, b)).agg(F.max(F.when(F.col("id") == a, F.col("simhash"))).alias("x"), F.max(F.when(F.col("id") == b, F.col("simhash"))).alias("y"))
+    return two.select(F.coalesce(1 - F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) / F.lit(64.0), F.lit(0.0)).alias("similarity"))
+
+
 def adaptive_weights(minhash_accuracy: float = 0.0, simhash_accuracy: float = 0.0, dynamic: tuple[float, float] = (0.6, 0.4)) -> tuple[float, float]:
     """Weights in proportion to recorded accuracy (.6 and .4 without any), times the dynamic weights, scaled to 1."""
     total = minhash_accuracy + simhash_accuracy

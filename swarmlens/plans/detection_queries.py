@@ -8,21 +8,44 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from swarmlens.operators import detection as D
+from swarmlens.operators.engine import Engine, near_clusters, posts_of_cluster
 from swarmlens.plans.register import query, table
-from swarmlens.plans.similarity_queries import near_clusters
-from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, posts
+from swarmlens.plans.similarity_queries import CONFIG, MINHASH_OF_TEXTS, SIMHASH, leaders_sql, placed_sql
+from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, WHITE, accounts, posts
 
 _MEMBERS = f"""{ACCOUNTS_SQL},
 {POSTS_SQL},
 g AS (SELECT text, min(id) AS cluster_id FROM p WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1),
 m AS (SELECT cluster_id, p.*, coalesce(bot_score, 0) AS bot_score FROM p JOIN g USING (text) LEFT JOIN acc ON acc.id = author_id)"""
-_STATS = f"""{_MEMBERS},
-a AS (SELECT cluster_id, count(*) AS size, min(created_at) AS first_seen, max(created_at) AS last_seen, sum(strlen(text)) // count(*) AS len, arg_min(text, (strlen(text), id)) AS shortest,
+_SCORED = """a AS (SELECT cluster_id, count(*) AS size, min(created_at) AS first_seen, max(created_at) AS last_seen, sum(strlen(text)) // count(*) AS len, arg_min(text, (strlen(text), id)) AS shortest,
  avg((len(urls) > 0)::INT) AS u, avg((len(mentions) > 0)::INT) AS me, avg((len(hashtags) > 0)::INT) AS h, epoch_us(max(created_at)) / 1e6 - epoch_us(min(created_at)) / 1e6 AS duration_s FROM m GROUP BY cluster_id),
 b AS (SELECT cluster_id, count(author_id) AS unique_accounts, avg(bs) AS avg_bot_score FROM (SELECT cluster_id, author_id, max(bot_score) AS bs FROM m GROUP BY ALL) GROUP BY cluster_id),
 s0 AS (SELECT *, CASE WHEN duration_s > 0 THEN size / (duration_s / 60) ELSE 0 END AS tpm FROM a JOIN b USING (cluster_id)),
 s AS (SELECT *, round(0.3::DOUBLE * least(1, size / 100.0::DOUBLE) + CASE WHEN duration_s < 3600 AND size > 5 THEN 0.3::DOUBLE WHEN duration_s < 3600 AND size > 3 THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE * (1 - unique_accounts / size::DOUBLE) + 0.2::DOUBLE * avg_bot_score, 9) AS confidence,
  size >= 5 AND unique_accounts >= 3 AND tpm > 2 AS swarm, size >= 10 AND unique_accounts <= 3 AS few FROM s0)"""
+_STATS = f"{_MEMBERS},\n{_SCORED}"
+
+
+def _nested(name: str, edges: str, table: str, least: int) -> str:
+    """CTE ``name`` (id, cluster_id): near-duplicate clusters of the posts p, in a scope of its own."""
+    source = "t AS (SELECT min(id) AS id, text FROM p WHERE text IS NOT NULL GROUP BY text)"
+    return f"{name} AS MATERIALIZED (WITH RECURSIVE {source},\n{edges},\n{leaders_sql(table, 'z_')},\n{placed_sql('p', 'id', 'text', 'z_')} SELECT id, cluster_id FROM z_nc QUALIFY count(*) OVER (PARTITION BY cluster_id) >= {least})"
+
+
+_JOINED = "m AS (SELECT cluster_id, p.*, coalesce(bot_score, 0) AS bot_score FROM p JOIN placed USING (id) LEFT JOIN acc ON acc.id = author_id)"
+_NEAR_MEMBERS = f"{ACCOUNTS_SQL},\n{POSTS_SQL},\n{_nested('placed', MINHASH_OF_TEXTS, 'me', 2)},\n{_JOINED}"
+_HYBRID = f"""{ACCOUNTS_SQL},\n{POSTS_SQL},\n{_nested('mh', MINHASH_OF_TEXTS, 'me', CONFIG.min_cluster_size)},\n{_nested('sh', SIMHASH, 'se', CONFIG.min_cluster_size)},
+few AS (SELECT sh.cluster_id FROM sh LEFT JOIN mh ON mh.id = sh.id GROUP BY sh.cluster_id HAVING count(mh.id) / count(*)::DOUBLE < 0.5),
+placed AS (SELECT id, 'minhash-' || cluster_id AS cluster_id FROM mh UNION ALL SELECT id, 'simhash-' || cluster_id FROM sh SEMI JOIN few USING (cluster_id)),
+{_JOINED},
+{_SCORED}"""
+
+
+def near_sql(sql: str) -> str:
+    """The SQL of a query on clusters of equal texts, over clusters of near duplicates."""
+    assert _MEMBERS in sql
+    return sql.replace(_MEMBERS, _NEAR_MEMBERS)
+
 
 
 #: Whether members() takes near duplicates; the queries X_near_... set it while they are planned.
@@ -56,9 +79,17 @@ def top_accounts(spark, sf_dir):
     return accounts(spark, sf_dir).select("id", "bot_score").orderBy(F.desc("bot_score"), "id").limit(50)
 
 
-@query("P2_obvious_spam", f"WITH {POSTS_SQL} SELECT id FROM p WHERE {' OR '.join(f'''contains(lower(coalesce(text, '')), '{x}')''' for x in D.OBVIOUS)} OR len(hashtags) > 5 OR len(mentions) > 3")
+_OBVIOUS = " OR ".join(f"contains(lower(coalesce(text, '')), '{x}')" for x in D.OBVIOUS) + " OR len(hashtags) > 5 OR len(mentions) > 3 OR coalesce(bot_score, 0) > 0.7"
+
+
+def with_authors(spark, sf_dir):
+    """Posts with their author's name and bot score (null without an account)."""
+    return posts(spark, sf_dir).join(accounts(spark, sf_dir).select(F.col("id").alias("author_id"), "username", "bot_score"), "author_id", "left")
+
+
+@query("P2_obvious_spam", f"WITH {ACCOUNTS_SQL},\n{POSTS_SQL} SELECT p.id FROM p LEFT JOIN acc ON acc.id = author_id WHERE {_OBVIOUS}")
 def obvious(spark, sf_dir):
-    return posts(spark, sf_dir).where(D.obvious_spam()).select("id")
+    return with_authors(spark, sf_dir).where(D.obvious_spam(F.col("bot_score"))).select("id")
 
 
 @query("P3_watchlist", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'erent') OR list_has_any(list_transform(regexp_extract_all(text, '#[A-Za-z0-9_]+'), lambda h: lower(ltrim(h, '#'))), ['win', 'tag'])")
@@ -67,9 +98,16 @@ def watchlist(spark, sf_dir):
     return docs.where(D.watched(["License", "ERENT"], ["Win", "tag"])).select("doc_id")
 
 
-@query("P1_include_filter", f"WITH {POSTS_SQL} SELECT id FROM p WHERE retweet_count >= 5 AND created_at >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 240 HOUR AND (contains(lower(text), 'the') OR len(hashtags) > 5 OR len(mentions) > 3 OR {' OR '.join(f'''contains(lower(text), '{x}')''' for x in D.OBVIOUS)})")
+@query("P3_watched_posts", f"WITH {ACCOUNTS_SQL},\n{POSTS_SQL} SELECT p.id FROM p LEFT JOIN acc ON acc.id = author_id WHERE contains(lower(coalesce(text, '')), 'thouin') OR lower(username) IN (SELECT lower(c_name) FROM customer WHERE c_custkey % 6 = 0)")
+def watched_posts(spark, sf_dir):
+    """A keyword in the text, or an author of a watch list of any length: a table of names, joined by the lowered name."""
+    names = table(spark, sf_dir, "customer").where("c_custkey % 6 = 0").select(F.col("c_name").alias("username"))
+    return D.watched_by(with_authors(spark, sf_dir), names, ["THOUIN"]).select("id")
+
+
+@query("P1_include_filter", f"WITH {ACCOUNTS_SQL},\n{POSTS_SQL} SELECT p.id FROM p LEFT JOIN acc ON acc.id = author_id WHERE retweet_count >= 5 AND created_at >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 240 HOUR AND (contains(lower(text), 'the') OR {_OBVIOUS})")
 def include(spark, sf_dir):
-    return D.included(posts(spark, sf_dir), "2024-01-10 00:00:00", 5, 240, ["the"]).select("id")
+    return D.included(with_authors(spark, sf_dir), "2024-01-10 00:00:00", 5, 240, ["the"]).select("id")
 
 
 @query("J1_author_join", f"WITH {ACCOUNTS_SQL},\n{POSTS_SQL} SELECT p.id, username, account_age_days FROM p JOIN acc ON acc.id = author_id")
@@ -102,7 +140,7 @@ def template(spark, sf_dir):
     return clusters(spark, sf_dir).select("cluster_id", "template")
 
 
-_SPAM = 0.1
+_SPAM = CONFIG.spam_score_threshold
 
 
 @query("A6_detection_result", f"WITH {_STATS}, k AS (SELECT * FROM s WHERE confidence >= {_SPAM}), n AS (SELECT count(*) AS total_tweets FROM p), q AS (SELECT coalesce(sum(size), 0)::BIGINT AS spam_tweets, count(*) AS spam_clusters, max(size) AS largest_cluster, round(avg(size), 6) AS avg_cluster_size, count(*) FILTER (swarm OR few) AS coordinated_clusters FROM k) SELECT *, round(spam_tweets / total_tweets::DOUBLE, 9) AS spam_rate FROM n, q")
@@ -112,16 +150,21 @@ def detection_result(spark, sf_dir):
     return total.join(found, F.lit(True)).withColumn("spam_rate", F.round(F.try_divide(F.col("spam_tweets").cast("double"), F.col("total_tweets")), 9))  # a row each
 
 
-@query("A7_spam_marking", f"WITH {_STATS} SELECT m.id, m.cluster_id, confidence AS spam_score FROM m JOIN s USING (cluster_id) WHERE confidence >= {_SPAM}")
+@query("A7_spam_marking", f"WITH {_STATS} SELECT m.id, m.cluster_id, confidence AS spam_score, confidence >= {_SPAM} AS is_spam FROM m JOIN s USING (cluster_id)")
 def marking(spark, sf_dir):
-    kept = clusters(spark, sf_dir).where(F.col("confidence") >= _SPAM).select("cluster_id", F.col("confidence").alias("spam_score"))
-    return members(spark, sf_dir).select("id", "cluster_id").join(kept, "cluster_id")
+    """Every post of a cluster with the cluster's confidence, and whether that makes it spam."""
+    found = members(spark, sf_dir).checkpoint()
+    score = D.scored(D.cluster_stats(found)).select("cluster_id", F.col("confidence").alias("spam_score"), (F.col("confidence") >= _SPAM).alias("is_spam"))
+    return found.select("id", "cluster_id").join(score, "cluster_id")
 
 
-@query("A8_account_spam", f"WITH {_STATS} SELECT author_id, count(DISTINCT m.cluster_id) AS spam_clusters, count(*) AS spam_tweets FROM m JOIN s USING (cluster_id) WHERE confidence >= {_SPAM} GROUP BY author_id")
+@query("A8_account_spam", f"WITH {_STATS} SELECT author_id, count(DISTINCT m.cluster_id) FILTER (confidence >= {_SPAM}) AS spam_clusters, count(*) FILTER (confidence >= {_SPAM}) AS spam_tweets, count(*) AS clustered FROM m JOIN s USING (cluster_id) GROUP BY author_id")
 def account_spam(spark, sf_dir):
-    kept = clusters(spark, sf_dir).where(F.col("confidence") >= _SPAM).select("cluster_id")
-    return members(spark, sf_dir).join(kept, "cluster_id", "left_semi").groupBy("author_id", "cluster_id").count().groupBy("author_id").agg(F.count("*").alias("spam_clusters"), F.sum("count").alias("spam_tweets"))
+    """Per author of clustered posts: how many spam clusters and spam posts, and all clustered posts."""
+    found = members(spark, sf_dir).checkpoint()
+    spam = D.scored(D.cluster_stats(found)).select("cluster_id", (F.col("confidence") >= _SPAM).alias("is_spam"))
+    each = found.groupBy("author_id", "cluster_id").count().join(spam, "cluster_id")
+    return each.groupBy("author_id").agg(F.count_if("is_spam").alias("spam_clusters"), F.sum(F.when(F.col("is_spam"), F.col("count")).otherwise(0)).alias("spam_tweets"), F.sum("count").alias("clustered"))
 
 
 @query("P7_min_cluster_size", f"WITH {_STATS} SELECT cluster_id, size FROM s WHERE size >= 3")
@@ -129,10 +172,10 @@ def big_clusters(spark, sf_dir):
     return members(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("size")).where("size >= 3")
 
 
-@query("P9_suspicious_accounts", f"WITH {_STATS}, c AS (SELECT author_id, count(DISTINCT cluster_id) AS n FROM m JOIN s USING (cluster_id) WHERE confidence >= {_SPAM} GROUP BY author_id) SELECT acc.id, bot_score, coalesce(n, 0) AS spam_tweet_count FROM acc LEFT JOIN c ON c.author_id = acc.id WHERE bot_score > 0.5 OR n > 0")
+@query("P9_suspicious_accounts", f"WITH {_STATS}, c AS (SELECT author_id, count(DISTINCT cluster_id) AS n FROM m JOIN s USING (cluster_id) WHERE confidence >= {_SPAM} GROUP BY author_id) SELECT acc.id, bot_score, coalesce(n, 0) AS spam_tweet_count FROM acc LEFT JOIN c ON c.author_id = acc.id WHERE bot_score > 0.5 OR n > 0 ORDER BY bot_score DESC, acc.id")
 def suspicious(spark, sf_dir):
     spam = account_spam(spark, sf_dir).select(F.col("author_id").alias("id"), F.col("spam_clusters").alias("spam_tweet_count"))
-    return accounts(spark, sf_dir).join(spam, "id", "left").select("id", "bot_score", F.coalesce("spam_tweet_count", F.lit(0)).alias("spam_tweet_count"), "is_suspicious").where("is_suspicious OR spam_tweet_count > 0").drop("is_suspicious")
+    return accounts(spark, sf_dir).join(spam, "id", "left").select("id", "bot_score", F.coalesce("spam_tweet_count", F.lit(0)).alias("spam_tweet_count"), "is_suspicious").where("is_suspicious OR spam_tweet_count > 0").drop("is_suspicious").orderBy(F.desc("bot_score"), "id")
 
 
 @query("A10_app_stats", f"WITH {_STATS}, q AS (SELECT count(*) AS n_accounts, round(avg(bot_score), 9) AS avg_bot_score, count(*) FILTER (bot_score >= 0.7) AS high_risk FROM acc), r AS (SELECT count(*) AS n_clusters, max(size) AS largest, round(avg(size), 6) AS avg_size, count(*) FILTER (swarm OR few) AS coordinated FROM s) SELECT * FROM q, r")
@@ -169,7 +212,25 @@ def last_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("nth", F.row_number().over(order)).where("nth <= 10").select("user_id", "event_id", "nth")
 
 
-@query("S5_lines", r"SELECT doc_id, i AS line, 'user_' || i AS username, trim(l, ' ') AS text FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS i, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l, ' ') <> ''")
+@query("S5_lines", r"SELECT doc_id, i AS line, 'user_' || i AS username, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS i, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
 def line_source(spark, sf_dir):
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return cut.select("doc_id", (F.col("at") + 1).alias("line"), F.concat(F.lit("user_"), (F.col("at") + 1).cast("string")).alias("username"), F.trim("raw").alias("text")).where("text <> ''")
+    return cut.select("doc_id", (F.col("at") + 1).alias("line"), F.concat(F.lit("user_"), (F.col("at") + 1).cast("string")).alias("username"), F.btrim("raw", F.lit(WHITE)).alias("text")).where("text <> ''")
+
+
+@query("D0_detect", f"WITH {_HYBRID}, k AS (SELECT * FROM s WHERE confidence >= {_SPAM}) SELECT 'hybrid' AS algorithm, {CONFIG.minhash_threshold}::DOUBLE AS threshold, {CONFIG.min_cluster_size} AS min_cluster_size, (SELECT count(*) FROM p) AS total_tweets, coalesce(sum(size), 0)::BIGINT AS spam_tweets, count(*) AS spam_clusters, max(size) AS largest_cluster, avg(size) AS avg_cluster_size, count(*) FILTER (swarm OR few) AS coordinated_clusters, coalesce(sum(size), 0) / (SELECT count(*) FROM p)::DOUBLE AS spam_rate FROM k")
+def detect(spark, sf_dir):
+    """The whole engine with its documented settings: hybrid clusters of near duplicates, scored, filtered and summed up."""
+    return Engine(CONFIG).detect(posts(spark, sf_dir), accounts(spark, sf_dir)).result
+
+
+@query("D0_clusters", f"WITH {_HYBRID} SELECT cluster_id, size, unique_accounts, first_seen, last_seen, confidence, swarm OR few AS is_coordinated, 'hybrid' AS detection_method, confidence >= {_SPAM} AS is_spam FROM s")
+def detected_clusters(spark, sf_dir):
+    found = Engine(CONFIG).detect(posts(spark, sf_dir), accounts(spark, sf_dir)).clusters
+    return found.select("cluster_id", "size", "unique_accounts", "first_seen", "last_seen", "confidence", "is_coordinated", "detection_method", "is_spam")
+
+
+@query("D0_low_threshold", f"WITH {_HYBRID} SELECT m.id, m.cluster_id, confidence AS spam_score FROM m JOIN s USING (cluster_id) WHERE confidence >= 0.05")
+def detected_posts(spark, sf_dir):
+    """Marked posts of an engine whose spam threshold was updated to .05."""
+    return Engine(CONFIG).updated(spam_score_threshold=0.05).detect(posts(spark, sf_dir), accounts(spark, sf_dir)).marked

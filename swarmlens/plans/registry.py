@@ -18,8 +18,8 @@ def _near(f):
     return run
 
 
-for _name in ON_CLUSTERS:  # the same over clusters of near duplicates, which have no SQL
-    query(_name.replace("_", "_near_", 1))(_near(QUERIES[_name]))
+for _name in ON_CLUSTERS:  # the same over clusters of near duplicates
+    query(_name.replace("_", "_near_", 1), detection_queries.near_sql(ORACLE_SQL[_name]))(_near(QUERIES[_name]))
 
 
 def flagship(spark, sf_dir):

@@ -12,7 +12,7 @@ from swarmlens.operators import privacy as N
 from swarmlens.operators import temporal as T
 from swarmlens.plans.detection_queries import _STATS, clusters, members
 from swarmlens.plans.register import query, table
-from swarmlens.plans.similarity_queries import near_clusters
+from swarmlens.operators.engine import near_clusters
 from swarmlens.sources import sample, sinks
 from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events, parse_stream, posts
 

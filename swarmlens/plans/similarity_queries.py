@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from swarmlens.functions.text import bare, long_words, shingles, weighted_features, word_runs
 from swarmlens.operators import graphs
 from swarmlens.operators import similarity as S
-from swarmlens.plans.config import banding, heuristic_bands
+from swarmlens.operators.engine import near_clusters
+from swarmlens.plans.config import DetectionConfig, banding, heuristic_bands
 from swarmlens.plans.register import query, table
 
-H, B, R, T = 32, 8, 4, 0.7
+CONFIG = DetectionConfig()
+H, B, T = CONFIG.minhash_hashes, CONFIG.minhash_bands, CONFIG.minhash_threshold
+R = H // B
 
 _TEXTS = "t AS (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text)"
 _WORDS = r"""w AS (SELECT id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', '', 'g'), '@\S+', '', 'g'), '#\S+', '', 'g'), '[\p{L}\p{Nd}]+'), lambda x: strlen(x) >= 3) AS ws FROM t),
@@ -20,7 +23,8 @@ _BANDS = f"bands AS (SELECT id, b AS band, array_to_string(sig[b*{R}+1:b*{R}+{R}
 _MPAIRS = f"""mp AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id),
 m AS (SELECT a, b, len(list_filter(range(1, {H + 1}), lambda i: x.sig[i] = y.sig[i]))::DOUBLE / {H} AS similarity FROM mp JOIN sig x ON x.id = a JOIN sig y ON y.id = b),
 me AS (SELECT * FROM m WHERE similarity >= {T})"""
-MINHASH = ",\n".join([_TEXTS, _WORDS, _SIG, _BANDS, _MPAIRS])
+MINHASH_OF_TEXTS = ",\n".join([_WORDS, _SIG, _BANDS, _MPAIRS])
+MINHASH = f"{_TEXTS},\n{MINHASH_OF_TEXTS}"
 _FEATURES = r"""f0 AS (SELECT id, regexp_extract_all(lower(text), 'https?://\S+') AS links, regexp_replace(lower(text), 'https?://\S+', ' ', 'g') AS t FROM t),
 f1 AS (SELECT id, links, list_distinct(list_transform(regexp_extract_all(t, '@(\S+)', 1), lambda x: '@' || x)) AS m, list_distinct(list_transform(regexp_extract_all(t, '#(\S+)', 1), lambda x: '#' || x)) AS h, regexp_replace(regexp_replace(t, '@\S+', ' ', 'g'), '#\S+', ' ', 'g') AS b FROM f0),
 f2 AS (SELECT *, regexp_extract_all(b, '[\p{L}\p{Nd}]+') AS w, regexp_extract_all(b, '\p{L}{3,}') AS r FROM f1),
@@ -152,16 +156,25 @@ def components(spark, sf_dir):
     return graphs.connected_components(S.minhash_pairs(texts(spark, sf_dir), H, B, T))
 
 
-def near_clusters(docs, algorithm: str, doc_id: str = "doc_id"):
-    """(id, cluster_id) of clusters of near duplicates: leader clusters of the pairs of distinct texts, and all copies by membership."""
-    texts = S.distinct_texts(docs, doc_id)
-    pairs = S.minhash_pairs(texts, H, B, T) if algorithm == "minhash" else S.simhash_pairs(texts)
-    seeds = graphs.leader_clusters(pairs)
-    placed = S.membership(docs, doc_id).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
-    return placed.join(placed.groupBy("cluster_id").count().where("count > 1"), "cluster_id", "left_semi")
+def leaders_sql(edges: str, prefix: str = "") -> str:
+    """CTE {prefix}ld (id, seed): leader clusters of an edge table (a, b) in the order of the ids' digests."""
+    x = prefix
+    return f"""{x}pairs AS (SELECT a AS u, b AS v FROM {edges} UNION SELECT b, a FROM {edges}),
+{x}nb AS (SELECT u AS id, row_number() OVER (ORDER BY md5(u::VARCHAR), u) AS k, list(v) AS vs FROM {x}pairs GROUP BY u),
+{x}sd(k, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(n.vs, s.seeds) THEN s.seeds ELSE list_append(s.seeds, n.id) END FROM {x}sd s JOIN {x}nb n ON n.k = s.k + 1),
+{x}fs AS (SELECT unnest(arg_max(seeds, k)) AS seed FROM {x}sd),
+{x}ld AS (SELECT id, id AS seed FROM {x}nb WHERE id IN (SELECT seed FROM {x}fs) UNION ALL SELECT u, arg_min(v, (md5(v::VARCHAR), v)) FROM {x}pairs WHERE u NOT IN (SELECT seed FROM {x}fs) AND v IN (SELECT seed FROM {x}fs) GROUP BY u)"""
 
 
-@query("L6_leader_clusters")
+def placed_sql(source: str, key: str, text: str, prefix: str = "") -> str:
+    """CTE {prefix}nc (id, cluster_id): all rows of a table in clusters of two or more, copies by their text."""
+    x = prefix
+    return f"""{x}rp AS (SELECT {key} AS id, min({key}) OVER (PARTITION BY {text}) AS rep FROM {source} WHERE {text} IS NOT NULL),
+{x}pl AS (SELECT {x}rp.id, coalesce(seed, rep) AS cluster_id FROM {x}rp LEFT JOIN {x}ld ON {x}ld.id = rep),
+{x}nc AS (SELECT id, cluster_id FROM {x}pl QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1)"""
+
+
+@query("L6_leader_clusters", f"WITH RECURSIVE {MINHASH},\n{leaders_sql('me')},\n{placed_sql('documents', 'doc_id', 'text')} SELECT id AS doc_id, cluster_id AS seed, count(*) OVER (PARTITION BY cluster_id) AS size FROM nc")
 def leader_clusters(spark, sf_dir):
     """Clusters of all documents: copies follow the representative of their text; single documents are none."""
     placed = near_clusters(table(spark, sf_dir, "documents"), "minhash").withColumnsRenamed({"id": "doc_id", "cluster_id": "seed"})
@@ -171,7 +184,7 @@ def leader_clusters(spark, sf_dir):
 @query("X7_partition_local", f"WITH {MINHASH} SELECT a, b, similarity FROM me WHERE a // 250 = b // 250")
 def partition_local(spark, sf_dir):
     """Pairs inside fixed batches of ids alone."""
-    return S.minhash_pairs(texts(spark, sf_dir), H, B, T).where(F.floor(F.col("a") / 250) == F.floor(F.col("b") / 250))
+    return S.minhash_pairs(texts(spark, sf_dir), H, B, T, batch=lambda node: F.floor(node / 250))
 
 
 @query("L28_accuracy", f"""WITH {MINHASH}, p AS (SELECT DISTINCT a AS id FROM me UNION SELECT b FROM me), d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE text IS NOT NULL),

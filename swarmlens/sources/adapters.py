@@ -16,6 +16,10 @@ API_SCHEMA = """data array<struct<id: string, text: string, author_id: string, c
  public_metrics: struct<followers_count: int, following_count: int, tweet_count: int>>>>"""
 
 
+#: The white space that is cut from lines, texts and names.
+WHITE = " \t\n\x0b\x0c\r"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with zoned timestamps."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -63,12 +67,12 @@ POSTS_SQL = """p AS (SELECT doc_id AS id, text, user_id AS author_id, ts AS crea
 def lines(df: DataFrame, text: str = "value") -> DataFrame:
     """(line, username, text): each non-blank line, trimmed, of a text column; lines are numbered from 1, blank ones too."""
     cut = df.select(F.posexplode(F.split(text, "\n")).alias("at", "raw"))
-    return cut.select((F.col("at") + 1).alias("line"), F.concat(F.lit("user_"), (F.col("at") + 1).cast("string")).alias("username"), F.trim("raw").alias("text")).where("text <> ''")
+    return cut.select((F.col("at") + 1).alias("line"), F.concat(F.lit("user_"), (F.col("at") + 1).cast("string")).alias("username"), F.btrim("raw", F.lit(WHITE)).alias("text")).where("text <> ''")
 
 
 def parse_stream(df: DataFrame, value: str = "value") -> DataFrame:
     """Posts of newline-delimited API messages; blank lines (heartbeats) and malformed ones are skipped.  Works on streams too."""
-    parsed = df.where(F.trim(value) != "").select(F.from_json(value, API_SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).where("m.data IS NOT NULL")
+    parsed = df.where(F.btrim(value, F.lit(WHITE)) != "").select(F.from_json(value, API_SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).where("m.data IS NOT NULL")
     users = F.map_from_entries(F.transform("m.includes.users", lambda u: F.struct(u["id"], u)))
     each = parsed.select(F.explode("m.data").alias("d"), users.alias("users")).withColumn("u", F.try_element_at("users", F.col("d.author_id"))).where("u IS NOT NULL")
     names = lambda c, f: F.coalesce(F.transform(c, lambda x: x[f]), F.array().cast("array<string>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmlens.sources.adapters import WHITE
+
 #: The demonstration's campaigns, each with its texts and the accounts that post them in turn.
 CAMPAIGNS = {
     "crypto": (
@@ -37,6 +39,6 @@ def sample_rows() -> list[tuple[str, str, str]]:
 
 def literal_posts(spark: SparkSession, rows: list[tuple[str | None, str | None]]) -> DataFrame:
     """(username, text) of given rows: blank texts are left out, a blank name is made from the text's hash."""
-    df = spark.createDataFrame(rows, "text string, username string").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    df = spark.createDataFrame(rows, "text string, username string").where(F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) != "")
     made = F.concat(F.lit("user_"), F.crc32("text").cast("string"))
-    return df.select(F.when(F.trim(F.coalesce("username", F.lit(""))) == "", made).otherwise(F.col("username")).alias("username"), "text")
+    return df.select(F.when(F.btrim(F.coalesce("username", F.lit("")), F.lit(WHITE)) == "", made).otherwise(F.col("username")).alias("username"), "text")
