@@ -77,3 +77,28 @@ def tier(kind: str, value: Column) -> Column:
     if kind == "activity":
         return F.when(value == 0, "inactive").otherwise(steps(value, [(1, "low"), (10, "moderate"), (50, "high")], "extreme"))
     return steps(value, *TIERS[kind])
+
+
+#: Names of channels, patterns and severities as they are shown.
+NAMES = {
+    "channel": {"email": "Email", "slack": "Slack", "webhook": "Webhook", "sms": "SMS", "pagerduty": "PagerDuty"},
+    "pattern": {"burst": "Burst", "periodic": "Periodic", "coordinated": "Coordinated", "gradual_ramp": "Gradual Ramp", "flash_mob": "Flash Mob"},
+    "severity": {"critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW"},
+}
+
+
+def shown(kind: str, value: Column) -> Column:
+    """The name that is shown for a value, Unknown for others."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES[kind].items() for x in pair])
+    return F.coalesce(F.try_element_at(names, value), F.lit("Unknown"))
+
+
+def account_age(created_at: Column, as_of: str) -> Column:
+    """Whole days since an RFC 3339 time; null where it cannot be read."""
+    made = F.try_to_timestamp(created_at)
+    return F.floor((F.unix_micros(F.to_timestamp(F.lit(as_of))) - F.unix_micros(made)) / (24 * 3.6e9)).cast("int")
+
+
+def number(value: Column) -> Column:
+    """A double of whatever can be read as one, else null."""
+    return value.try_cast("double")

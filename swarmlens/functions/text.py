@@ -70,3 +70,19 @@ def weighted_features(df, text: str):
     words = F.filter("_w", lambda w: F.octet_length(w) >= 3)
     links = F.array_repeat(F.lit("__HAS_URL__"), F.size("_links"))
     return df.withColumn("features", F.concat(links, "_m", "_h", words, pairs, letters)).drop("_links", "_t", "_m", "_h", "_b", "_w", "_r")
+
+
+def byte_values(text: Column) -> Column:
+    """The UTF-8 bytes as numbers."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    return F.when(F.octet_length(text) > 0, F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def fnv32(text: Column) -> Column:
+    """The 32-bit FNV-1a hash (fixed offset and prime)."""
+    return F.aggregate(byte_values(text), F.lit(2166136261).cast("bigint"), lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(16777619), F.lit(1 << 32)))
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """An id that is the same in every run: a digest of what it names."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmlens.functions.scores import compare
+from swarmlens.operators.ordering import filled_forward, previous_time
 
 MOST_RULES = 10_000
 
@@ -21,8 +22,9 @@ def matches(facts: DataFrame, rules: DataFrame) -> DataFrame:
 def throttled(alerts: DataFrame, window_s: int = 300, most: int = 3) -> DataFrame:
     """(rule, ts, id, passed): a window opens at a rule's first alert, lets the first ``most`` pass, and opens anew after its end.
 
-    Where a window opens depends on the one before it, so a rule's alerts (time and id
-    alone) are folded in order by one task; rules run side by side.
+    Where a window opens depends on the one before it, but one always opens after a gap
+    longer than a window: a rule's alerts (time and id alone) are cut there, and each
+    stretch without such a gap is folded in order.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -35,7 +37,57 @@ def throttled(alerts: DataFrame, window_s: int = 300, most: int = 3) -> DataFram
             passed.append(n <= most)
         return frame.assign(passed=passed)[["rule", "ts", "id", "passed"]]
 
-    return alerts.select("rule", "ts", "id").groupBy("rule").applyInPandas(fold, "rule string, ts timestamp, id bigint, passed boolean")
+    timed = previous_time(alerts.select("rule", "ts", "id"), "rule", "ts", ["id"])
+    gap = F.col("previous").isNull() | (F.unix_micros("ts") - F.unix_micros("previous") > window_s * 1_000_000)
+    cut = filled_forward(timed, "rule", "ts", ["id"], F.when(gap, F.struct("ts", "id")), "stretch")
+    return cut.select("rule", "ts", "id", "stretch").groupBy("rule", "stretch").applyInPandas(fold, "rule string, ts timestamp, id bigint, passed boolean")
+
+
+#: Metrics a rule of each kind can read, and the rule (metric, least value) where it names another one.
+KINDS = {"cluster": (("cluster_size", "confidence", "unique_accounts", "tweets_per_minute"), ("cluster_size", 3.0)), "pattern": (("confidence", "event_count", "frequency"), ("confidence", 0.8)), "metric": ((), None)}
+
+
+def checked(rules: DataFrame, channels: list[str]) -> DataFrame:
+    """``rules`` (rule, channels) with ``fault``: null, or why a rule may not be used: no name, no channel, or a channel that is not known."""
+    unknown = F.filter("channels", lambda c: ~c.isin(channels))
+    fault = F.when(F.coalesce("rule", F.lit("")) == "", "no name").when(F.coalesce(F.size("channels"), F.lit(0)) <= 0, "no channel").when(F.size(unknown) > 0, F.concat(F.lit("unknown channel: "), F.get(unknown, 0)))
+    return rules.withColumn("fault", fault)
+
+
+def evaluated(facts: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
+    """``matches`` of one kind of facts; a rule that names a metric of another kind falls back to the kind's own condition."""
+    known, fallback = KINDS[kind]
+    if fallback is None:
+        return matches(facts, rules)
+    own = F.col("metric").isin(list(known))
+    metric, least = fallback
+    rules = rules.select("rule", F.when(own, F.col("metric")).otherwise(metric).alias("metric"), F.when(own, F.col("operator")).otherwise("gte").alias("operator"), F.when(own, F.col("threshold")).otherwise(least).alias("threshold"))
+    return matches(facts, rules)
+
+
+def history(alerts: DataFrame, most: int = 1000) -> DataFrame:
+    """The last ``most`` alerts (ts, id); the feature is the limit."""
+    return alerts.orderBy(F.desc("ts"), F.desc("id")).limit(most)
+
+
+def fanned_out(alerts: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row for each alert (rule) and channel of its rule (rule, channels)."""
+    return alerts.join(rules.select("rule", F.explode("channels").alias("channel")), "rule")
+
+
+#: How a metric condition sums a stretch of time up.
+AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}
+
+
+def aggregated(events: DataFrame, ts: str, value: str, aggregation: str, duration: str) -> DataFrame:
+    """(start, value) of each stretch of ``duration``; ``rate`` is the count a second."""
+    if aggregation != "rate" and aggregation not in AGGREGATIONS:
+        raise ValueError(f"unknown aggregation {aggregation!r}")
+    w = F.window(ts, duration)
+    if aggregation == "rate":
+        seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+        return events.groupBy(w.alias("w")).agg(F.count(value).alias("n")).select(F.col("w.start").alias("start"), (F.col("n") / seconds).alias("value"))
+    return events.groupBy(w.alias("w")).agg(AGGREGATIONS[aggregation](value).cast("double").alias("value")).select(F.col("w.start").alias("start"), "value")
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
@@ -52,7 +104,7 @@ def prometheus(metrics: DataFrame) -> DataFrame:
 
 def records(fired: DataFrame, title: str, entity: str) -> DataFrame:
     """``fired`` (entity, rule, severity, size, confidence) as alerts: title, message, severity, status and metadata."""
-    message = F.format_string(f"{title} %s: %d posts, confidence %.2f", F.col(entity).cast("string"), "size", "confidence")
+    message = F.format_string(f"{title} %s: %d posts, confidence %.2f", F.col(entity).cast("string"), "size", F.round("confidence", 2))
     metadata = F.create_map(F.lit(entity), F.col(entity).cast("string"), F.lit("rule"), F.col("rule"), F.lit("size"), F.col("size").cast("string"))
     return fired.select(entity, "rule", F.concat(F.lit(f"{title}: "), "rule").alias("title"), message.alias("message"), "severity", F.lit("active").alias("status"), metadata.alias("metadata"))
 
@@ -63,3 +115,29 @@ def escalations(alerts: DataFrame, levels: list[tuple[int, int]], as_of: str) ->
     due = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("l.after_s") * 1_000_000
     until = F.coalesce(F.unix_micros(F.col("acknowledged_at").cast("timestamp")), F.unix_micros(F.to_timestamp(F.lit(as_of))))
     return alerts.withColumn("l", each).where(due <= F.least(until, F.unix_micros(F.to_timestamp(F.lit(as_of))))).select("id", F.col("l.level").alias("level"))
+
+
+def prometheus_histogram(df: DataFrame, name: str, value: str, bounds: list[float]) -> DataFrame:
+    """(line) of a histogram: its type, cumulative buckets, sum and count."""
+    row = df.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.coalesce(F.round(F.sum(value), 2), F.lit(0.0)).alias("s"), F.count(value).alias("n"))
+    lines = [F.lit(f"# TYPE {name} histogram"), *[F.concat(F.lit(f'{name}_bucket{{le="{b:.2f}"}} '), F.col(f"b{i}").cast("string")) for i, b in enumerate(bounds)], F.format_string(f"{name}_sum %.2f", "s"), F.concat(F.lit(f"{name}_count "), F.col("n").cast("string"))]
+    return row.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def pattern_records(patterns: DataFrame, entity: str, kind: str) -> DataFrame:
+    """Patterns (entity, event_count, confidence, frequency) as alerts."""
+    message = F.format_string(f"A {kind} pattern of %d events, confidence %.2f, %.2f events an hour", "event_count", F.round("confidence", 2), F.round("frequency", 2))
+    metadata = F.create_map(F.lit("pattern"), F.col(entity).cast("string"), F.lit("event_count"), F.col("event_count").cast("string"))
+    return patterns.select(entity, F.concat(F.lit("Temporal pattern: "), F.col(entity).cast("string")).alias("title"), message.alias("message"), F.lit("active").alias("status"), metadata.alias("metadata"))
+
+
+def metric_records(values: DataFrame, entity: str, metric: str, threshold: float) -> DataFrame:
+    """Metric values (entity, value) over a threshold as alerts."""
+    message = F.format_string(f"Metric {metric} has reached %.2f, over the threshold of {threshold:.2f}", F.round("value", 2))
+    return values.select(entity, F.lit(f"Metric threshold exceeded: {metric}").alias("title"), message.alias("message"), F.lit("active").alias("status"))
+
+
+def builtin(clusters: DataFrame, rate: DataFrame, size: int = 10, confidence: float = 0.8, spam_rate: float = 0.5) -> DataFrame:
+    """(source, name, value, fires) of the engine's own alerts: each cluster, and the spam rate (one row)."""
+    one = clusters.select(F.lit("cluster").alias("source"), F.col("cluster_id").cast("string").alias("name"), F.col("confidence").alias("value"), ((F.col("size") > size) & (F.col("confidence") > confidence)).alias("fires"))
+    return one.union(rate.select(F.lit("spam_rate"), F.lit("all"), F.round("rate", 9), F.coalesce(F.col("rate") > spam_rate, F.lit(False))))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INITIAL, RATE, MAX_DAYS, HISTORY = 0.5, 0.1, 30, 100
+from swarmlens.functions.scores import decayed
+from swarmlens.operators.ordering import ranked
+
+INITIAL, RATE, MAX_DAYS, HISTORY, SPAM, TRUSTED = 0.5, 0.1, 30, 100, 0.3, 0.7
 
 
 def account_factors(accounts: DataFrame) -> DataFrame:
-    """(id, factor, impact) of every factor that applies."""
+    """(id, factor, impact) of every factor that applies; spam activity where the column spam_tweet_count is there (and there are posts)."""
     c, ratio = F.col, F.try_divide(F.col("followers_count").cast("double"), F.col("following_count").cast("double"))
     filled = sum((F.when(F.coalesce(x, F.lit("")) != "", 0.25).otherwise(0.0) for x in ("bio", "location", "website", "profile_image_url")), F.lit(0.0))
     values = {
@@ -21,6 +22,8 @@ def account_factors(accounts: DataFrame) -> DataFrame:
         "verification": F.when(c("is_verified"), 0.3),
         "bot_score": c("bot_score") * -0.4,
     }
+    if "spam_tweet_count" in accounts.columns:
+        values["spam_activity"] = F.when(c("spam_tweet_count") > 0, F.try_divide(c("spam_tweet_count").cast("double"), c("tweet_count").cast("double")) * -0.5)
     pairs = F.array(*[F.struct(F.lit(n).alias("factor"), (F.round(v, 9) + 0.0).alias("impact")) for n, v in values.items()])  # no negative zero
     return accounts.select("id", F.explode(pairs).alias("f")).select("id", "f.factor", "f.impact").where("impact IS NOT NULL")
 
@@ -48,31 +51,101 @@ def events_of(factors: DataFrame, confidence: float) -> DataFrame:
     return factors.where(F.abs("impact") > 0.01).withColumn("event_type", kind).withColumn("confidence", F.lit(confidence))
 
 
+def indirect_events(posts: DataFrame) -> DataFrame:
+    """(id, ts, factor, impact, confidence) for the author of each post (author_id, created_at, spam_score or null)."""
+    impact = F.when(F.col("spam_score").isNotNull(), F.col("spam_score") * -0.3).otherwise(0.05)
+    kind = F.when(F.col("spam_score").isNotNull(), "spam_detected").otherwise("legitimate_content")
+    return posts.select(F.col("author_id").alias("id"), F.col("created_at").alias("ts"), F.concat_ws("-", kind, F.col("id").cast("string")).alias("factor"), impact.alias("impact"), F.lit(0.7).alias("confidence"))
+
+
+#: Events that are folded into one step, and the step's first value: a * x + b held to [low, high].
+CHUNK = 1000
+_SAME = "named_struct('a', 1.0D, 'b', 0.0D, 'low', 0.0D, 'high', 1.0D)"
+
+
+def _after(first: Column, a: Column, b: Column, low: Column, high: Column) -> Column:
+    """The step that does ``first`` and then a * x + b held to [low, high]; such steps compose to one of their kind, as a >= 0."""
+    held = lambda x: F.greatest(low, F.least(high, a * x + b))
+    return F.struct((a * first["a"]).alias("a"), (a * first["b"] + b).alias("b"), held(first["low"]).alias("low"), held(first["high"]).alias("high"))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(id, score, effective_weight, n): events (id, ts, factor, impact, confidence) applied in order of time, then factor.
 
     Every update lets the score decay from a day on, appends, and adds the weighted mean
-    of the last hundred events of at most thirty days.  The state is the last hundred events.
+    of the last hundred events of at most thirty days; the score is held to [0, 1].
+    One update is a * x + b held to a range, and so is any number of them in a row:
+    chunks of a thousand events are composed side by side, then a chunk's step is one
+    row.  A chunk gets the hundred events before it along.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "factor"])
-        hours = (frame["ts"] - frame["ts"].iloc[0]).dt.total_seconds().to_numpy() / 3600
-        impact, sure = frame["impact"].to_numpy(float), frame["confidence"].to_numpy(float)
-        score, weight = INITIAL, 0.0
-        for i, now in enumerate(hours):
-            if i and (days := (now - hours[i - 1]) / 24) >= 1:
-                kept = np.exp(-RATE * days)
-                score = min(1.0, max(0.0, score * kept + INITIAL * (1 - kept)))
-            seen = slice(max(0, i + 1 - HISTORY), i + 1)
-            age = now - hours[seen]
-            weights = np.where(age <= MAX_DAYS * 24, np.exp(-age / 168) * sure[seen], 0.0)
-            weight = float(weights.sum())
-            if weight > 0:
-                score = min(1.0, max(0.0, score + float(impact[seen] @ weights) / weight))
-        return pd.DataFrame({"id": [frame["id"].iloc[0]], "score": [round(score, 9)], "effective_weight": [round(weight, 9)], "n": [len(frame)]})
-
-    return events.select("id", "ts", "factor", "impact", "confidence").groupBy("id").applyInPandas(run, "id bigint, score double, effective_weight double, n bigint")
+    names = ["factor", "impact", "confidence"]
+    e = ranked(events.select("id", "ts", *names), "id", "ts", names).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
+    e = e.withColumn("own", F.floor((F.col("k") - 1) / CHUNK))
+    at = F.when(F.pmod(F.col("k") - 1, F.lit(CHUNK)) >= CHUNK - HISTORY, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
+    both = e.withColumn("chunk", F.explode(at))
+    order = Window.partitionBy("id", "chunk").orderBy("k")
+    seen = F.collect_list(F.struct("h", "impact", "confidence")).over(order.rowsBetween(1 - HISTORY, 0))
+    both = both.withColumn("seen", seen).withColumn("days", (F.col("h") - F.lag("h").over(order)) / 24).where("chunk = own")
+    young = F.transform(F.filter("seen", lambda x: F.col("h") - x["h"] <= MAX_DAYS * 24), lambda x: F.struct((F.exp(-(F.col("h") - x["h"]) / 168) * x["confidence"]).alias("w"), x["impact"].alias("impact")))
+    both = both.withColumn("young", young).withColumn("w", F.aggregate("young", F.lit(0.0), lambda s, x: s + x["w"])).withColumn("wi", F.aggregate("young", F.lit(0.0), lambda s, x: s + x["w"] * x["impact"]))
+    kept = F.when(F.col("days") >= 1, F.exp(-RATE * F.col("days"))).otherwise(1.0)
+    steps = both.select("id", "chunk", "k", "w", kept.alias("kept"), F.when(F.col("w") > 0, F.col("wi") / F.col("w")).otherwise(0.0).alias("mean"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # in two lambdas: what is composed first is read at several places
+    composed = F.aggregate(F.array_sort(F.collect_list(F.struct("k", "kept", "mean"))), F.expr(_SAME), lambda s, x: _after(_after(s, x["kept"], INITIAL * (1 - x["kept"]), zero, one), one, x["mean"], zero, one))
+    chunks = steps.groupBy("id", "chunk").agg(composed.alias("step"), F.max_by("w", "k").alias("w"), F.count("*").alias("n"))  # at most CHUNK rows each
+    run = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "step"))), F.lit(INITIAL), lambda x, c: F.greatest(c["step"]["low"], F.least(c["step"]["high"], c["step"]["a"] * x + c["step"]["b"])))
+    return chunks.groupBy("id").agg(F.round(run, 9).alias("score"), F.round(F.max_by("w", "chunk"), 9).alias("effective_weight"), F.sum("n").alias("n"))  # a row for each thousand events
+
+
+def statistics(scores: DataFrame) -> DataFrame:
+    """One row over (entity_type, score, confidence)."""
+    kind, s = F.col("entity_type"), F.col("score")
+    return scores.agg(F.count("*").alias("n"), F.count_if(kind == "account").alias("accounts"), F.count_if(kind == "content").alias("contents"), F.count_if(s < SPAM).alias("spammy"), F.count_if(s > TRUSTED).alias("trusted"), F.round(F.avg("score"), 9).alias("avg_score"), F.round(F.avg("confidence"), 9).alias("avg_confidence"))
+
+
+def maintained(scores: DataFrame, as_of: str) -> DataFrame:
+    """``scores`` (id, score, confidence, last_update) as of a time: decayed from a day on; those idle for twice the longest age and hardly sure are dropped."""
+    age = (F.unix_micros(F.to_timestamp(F.lit(as_of))) - F.unix_micros(F.col("last_update").cast("timestamp"))) / (24 * 3.6e9)
+    aged = scores.withColumn("_age", age).where(~((F.col("_age") > 2 * MAX_DAYS) & (F.col("confidence") < 0.1)))
+    return aged.withColumn("score", F.when(F.col("_age") >= 1, decayed(F.col("score"), F.col("_age"), RATE, INITIAL)).otherwise(F.col("score"))).drop("_age")
+
+
+class Store:
+    """Reputation scores as a table in buckets by id: a batch of ids reads the buckets it needs."""
+
+    BUCKETS = 64
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.BUCKETS)).cast("int"))
+
+    def save(self, scores: DataFrame) -> None:
+        """Scores (id, ...) replace those that are there, whole."""
+        self._placed(scores).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def load(self, spark) -> DataFrame:
+        return spark.read.parquet(self.path).drop("bucket")
+
+    def load_batch(self, ids: DataFrame) -> DataFrame:
+        """The scores of some ids (id)."""
+        wanted = self._placed(ids.select("id").distinct())
+        return ids.sparkSession.read.parquet(self.path).join(wanted, ["bucket", "id"], "left_semi").drop("bucket")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Writes the store anew without some ids."""
+        kept = self.load(ids.sparkSession).join(ids.select("id"), "id", "left_anti").checkpoint()
+        self.save(kept)
+
+
+def batch_reputation(known: DataFrame, store: Store, ids: DataFrame, as_of: str) -> DataFrame:
+    """Scores of ``ids`` as of a time: those that are known, else those of the store."""
+    columns = ["id", "score", "confidence", "last_update"]
+    found = known.select(columns).join(ids, "id", "left_semi")
+    missing = ids.join(known.select("id"), "id", "left_anti")
+    return maintained(found.unionByName(store.load_batch(missing).select(columns)), as_of)
 
 
 def trend(events: DataFrame, key: str, ts: str, value: str, order: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarmlens.functions.scores import p_value
+from swarmlens.functions.scores import p_value, severity
+from swarmlens.operators.ordering import previous_time, ranked
 
 MICRO = 1_000_000
 
@@ -62,11 +63,51 @@ def periods(events: DataFrame, key: str, ts: str, low_min: int, high_min: int) -
 
 def intervals(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     """Seconds between an event and the one before it under its key."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return events.withColumn("interval_s", (us - F.lag(us).over(Window.partitionBy(key).orderBy(ts, order))) / float(MICRO))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return previous_time(events, key, ts, [order], "_previous").withColumn("interval_s", (us(ts) - us("_previous")) / float(MICRO)).drop("_previous")
 
 
 def coordination(events: DataFrame, key: str, ts: str, order: str, min_events: int = 5) -> DataFrame:
     """Score 1 / (1 + variance of the intervals); coordinated from .6 on."""
     per = intervals(events, key, ts, order).groupBy(key).agg(F.count("*").alias("n"), F.var_pop("interval_s").alias("variance")).where(F.col("n") >= min_events)
     return per.withColumn("score", 1 / (1 + F.coalesce("variance", F.lit(0.0)))).withColumn("is_coordinated", F.col("score") >= 0.6)
+
+
+def periodic_patterns(events: DataFrame, key: str, ts: str, low_min: int, high_min: int, threshold: float = 0.7, min_events: int = 5) -> DataFrame:
+    """(key, period_min, correlation, is_periodic, frequency, severity): keys of at least twice ``min_events`` events; frequency is events an hour."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = events.groupBy(key).agg(F.count("*").alias("_n"), ((F.max(us) - F.min(us)) / (3600.0 * MICRO)).alias("_hours")).where(F.col("_n") >= 2 * min_events)
+    out = periods(events, key, ts, low_min, high_min).join(span, key)
+    return out.select(key, "period_min", "correlation", (F.col("correlation") > threshold).alias("is_periodic"), F.try_divide(F.col("_n"), F.col("_hours")).alias("frequency"), severity(F.col("correlation"), F.col("_n")).alias("severity"))
+
+
+def enriched(events: DataFrame, key: str, ts: str, account: str, cluster: str, window_s: int = 300) -> DataFrame:
+    """What a pattern is described by: peak, mean and deviation of the rates, account diversity, accounts, clusters, and events by hour of the day."""
+    rates = sliding_rates(events, key, ts, window_s).groupBy(key).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("peak_intensity"), F.avg("rate").alias("average_intensity"), F.stddev_pop("rate").alias("variability"))
+    accounts = events.groupBy(key, account).agg(F.count("*").alias("_n")).groupBy(key).agg(F.count(account).alias("accounts"), F.sum("_n").alias("events")).withColumn("account_diversity", F.col("accounts") / F.col("events"))
+    clusters = events.where(F.coalesce(F.col(cluster).cast("string"), F.lit("")) != "").select(key, cluster).distinct().groupBy(key).agg(F.count("*").alias("clusters"))
+    hours = events.groupBy(key, F.date_format(ts, "HH").alias("_h")).agg(F.count("*").alias("_n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_h", "_n")))).alias("by_hour"))  # 24 rows a key
+    return accounts.join(rates, key, "left").join(clusters, key, "left").join(hours, key).withColumn("clusters", F.coalesce("clusters", F.lit(0)))
+
+
+def without_old(patterns: DataFrame, end: str, as_of: str, max_age_hours: int) -> DataFrame:
+    """Patterns that ended ``max_age_hours`` before ``as_of`` or later."""
+    return patterns.where(F.col(end) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(max_age_hours)))
+
+
+def rate_baseline(events: DataFrame, key: str, ts: str, order: str, min_events: int = 10, alpha: float = 0.1) -> DataFrame:
+    """(key, average, highest, lowest): after ``min_events`` events, the count of the last hour at each event, smoothed by ``alpha`` from the first one on.
+
+    The smoothed value is a sum weighted by powers of 1 - alpha, so there is no state.
+    An event's last hour lies in its own hour of the clock and the one before: each
+    row is sent to its own and the next one, where a window counts.
+    """
+    numbered = ranked(events.select(key, ts, order), key, ts, [order]).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_hour", F.expr(f"_us div {3600 * MICRO}L"))
+    both = numbered.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_hour", F.when(F.col("_own"), F.col("_hour")).otherwise(F.col("_hour") + 1))
+    inside = Window.partitionBy(key, "_hour")
+    nth, older = F.row_number().over(inside.orderBy("_us", "k")), F.count("*").over(inside.orderBy("_us").rangeBetween(Window.unboundedPreceding, -3600 * MICRO))
+    rates = both.select(key, "k", "_own", (nth - older).cast("double").alias("rate")).where("_own").where(F.col("k") >= min_events)
+    total = numbered.groupBy(key).agg(F.max("k").alias("n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("k")) * F.when(F.col("k") == min_events, 1.0).otherwise(alpha)
+    found = rates.join(total, key).groupBy(key).agg(F.sum(F.col("rate") * weight).alias("average"), F.max("rate").alias("highest"), F.min("rate").alias("lowest"))
+    return total.select(key).join(found, key, "left").na.fill(0.0, ["average", "highest", "lowest"])

@@ -120,7 +120,10 @@ def cluster_stats(spark, sf_dir):
     return clusters(spark, sf_dir).select("cluster_id", "size", "first_seen", "last_seen", "unique_accounts", F.round("duration_s", 3).alias("duration_s"), F.round("tweets_per_minute", 6).alias("tweets_per_minute"), F.round("avg_bot_score", 9).alias("avg_bot_score"))
 
 
-@query("A2_confidence", f"WITH {_STATS} SELECT cluster_id, confidence, CASE WHEN swarm THEN 'high' WHEN few THEN 'critical' WHEN confidence >= 0.8 THEN 'critical' WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS suspicion_level FROM s")
+_LEVEL = "CASE WHEN swarm THEN 'high' WHEN few THEN 'critical' WHEN confidence >= 0.8 THEN 'critical' WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END"
+
+
+@query("A2_confidence", f"WITH {_STATS} SELECT cluster_id, confidence, {_LEVEL} AS suspicion_level FROM s")
 def confidence(spark, sf_dir):
     return clusters(spark, sf_dir).select("cluster_id", "confidence", "suspicion_level")
 
@@ -178,11 +181,12 @@ def suspicious(spark, sf_dir):
     return accounts(spark, sf_dir).join(spam, "id", "left").select("id", "bot_score", F.coalesce("spam_tweet_count", F.lit(0)).alias("spam_tweet_count"), "is_suspicious").where("is_suspicious OR spam_tweet_count > 0").drop("is_suspicious").orderBy(F.desc("bot_score"), "id")
 
 
-@query("A10_app_stats", f"WITH {_STATS}, q AS (SELECT count(*) AS n_accounts, round(avg(bot_score), 9) AS avg_bot_score, count(*) FILTER (bot_score >= 0.7) AS high_risk FROM acc), r AS (SELECT count(*) AS n_clusters, max(size) AS largest, round(avg(size), 6) AS avg_size, count(*) FILTER (swarm OR few) AS coordinated FROM s) SELECT * FROM q, r")
+@query("A10_app_stats", f"WITH {_STATS}, q AS (SELECT count(*) AS n_accounts, round(avg(bot_score), 9) AS avg_bot_score, count(*) FILTER (bot_score >= 0.7) AS high_risk FROM acc), r AS (SELECT count(*) AS n_clusters, max(size) AS largest, round(avg(size), 6) AS avg_size, count(*) FILTER (swarm OR few) AS coordinated, coalesce(sum(size) FILTER (confidence >= {_SPAM}), 0)::BIGINT AS spam_tweets FROM s), t AS (SELECT count(*) AS total_tweets FROM p) SELECT *, round(spam_tweets / total_tweets::DOUBLE, 9) AS spam_rate FROM q, r, t")
 def app_stats(spark, sf_dir):
     a = accounts(spark, sf_dir).agg(F.count("*").alias("n_accounts"), F.round(F.avg("bot_score"), 9).alias("avg_bot_score"), F.count_if(F.col("bot_score") >= 0.7).alias("high_risk"))
-    c = clusters(spark, sf_dir).agg(F.count("*").alias("n_clusters"), F.max("size").alias("largest"), F.round(F.avg("size"), 6).alias("avg_size"), F.count_if("is_coordinated").alias("coordinated"))
-    return a.join(c, F.lit(True))  # a row each
+    c = clusters(spark, sf_dir).agg(F.count("*").alias("n_clusters"), F.max("size").alias("largest"), F.round(F.avg("size"), 6).alias("avg_size"), F.count_if("is_coordinated").alias("coordinated"), F.coalesce(F.sum(F.when(F.col("confidence") >= _SPAM, F.col("size"))), F.lit(0)).alias("spam_tweets"))
+    t = posts(spark, sf_dir).agg(F.count("*").alias("total_tweets"))
+    return a.join(c, F.lit(True)).join(t, F.lit(True)).withColumn("spam_rate", F.round(F.try_divide(F.col("spam_tweets").cast("double"), F.col("total_tweets")), 9))  # a row each
 
 
 @query("A11_account_activity", f"WITH {_MEMBERS} SELECT p.author_id, count(*) AS total, count(m.id) AS spam, round(count(m.id) / count(*)::DOUBLE, 9) AS spam_rate, count(DISTINCT m.cluster_id) AS clusters FROM p LEFT JOIN m ON m.id = p.id GROUP BY p.author_id")

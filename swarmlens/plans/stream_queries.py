@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from swarmlens.operators import graphs
+from swarmlens.operators import graphs, temporal
 from swarmlens.plans.plugins import Registry
 from swarmlens.plans.register import query, table
 from swarmlens.sources.adapters import POSTS_SQL, events, posts
@@ -26,9 +26,31 @@ def microbatch(spark, sf_dir):
     return spark.table(name)
 
 
-@query("T6_ewma_baseline")
+@query("T6_ewma_baseline", """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS rate FROM events)
+SELECT user_id, round(coalesce(sum(rate * pow(0.9::DOUBLE, n - k) * CASE WHEN k = 10 THEN 1 ELSE 0.1::DOUBLE END) FILTER (k >= 10), 0), 6) AS average, coalesce(max(rate) FILTER (k >= 10), 0)::DOUBLE AS highest, coalesce(min(rate) FILTER (k >= 10), 0)::DOUBLE AS lowest FROM r GROUP BY user_id""")
 def baseline(spark, sf_dir):
-    return jobs.rate_baseline(events(spark, sf_dir), "user_id")
+    return temporal.rate_baseline(events(spark, sf_dir), "user_id", "ts", "event_id").withColumn("average", F.round("average", 6))
+
+
+@query("T7_watermark_counts", "SELECT event_type, epoch_us(ts) // 360000000 * 360000000 - i * 360000000 AS start_us, count(*) AS n FROM events, range(10) AS s(i) GROUP BY ALL")
+def watermark_counts(spark, sf_dir):
+    """Sliding windows under a watermark of ten windows, drained from a stream."""
+    graphs.ready(spark)
+    name = f"windows_{uuid.uuid4().hex}"
+    counts = jobs.windowed_counts(jobs.stream_events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema))
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{spark.sparkContext.getCheckpointDir()}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("event_type", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("K3_batch_sink", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def batch_sink(spark, sf_dir):
+    """Micro-batches given to a sink; the stream is started twice with one checkpoint and delivers every row once."""
+    graphs.ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/sink_{uuid.uuid4().hex}"
+    stream = jobs.stream_events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema).select("event_id", "event_type")
+    for _ in range(2):
+        jobs.to_sink(stream, lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"), f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("X4_plugin_union", f"WITH {POSTS_SQL} SELECT 'tags' AS algorithm, id, len(hashtags)::DOUBLE AS score FROM p WHERE len(hashtags) > 0 UNION ALL SELECT 'names', id, len(mentions)::DOUBLE FROM p WHERE len(mentions) > 0")

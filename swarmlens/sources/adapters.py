@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.functions.text import extracted
-from swarmlens.functions.scores import bot_score
+from swarmlens.functions.scores import account_age, bot_score
 
 #: The wire format of the posts API.
 API_SCHEMA = """data array<struct<id: string, text: string, author_id: string, created_at: string, lang: string,
@@ -91,6 +93,54 @@ def search_query(keywords=(), hashtags=(), languages=()) -> str:
     return f"{out} -is:retweet -is:reply".strip()
 
 
+def upserted(rows: DataFrame, key: str, ts: str, order: str) -> DataFrame:
+    """The last row of each key by time, then ``order``: a map-side maximum of whole rows."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, F.struct(ts, order)).alias("r")).select("r.*")
+
+
+def account_rows(users: DataFrame, as_of: str) -> DataFrame:
+    """Accounts of wire users: age in days, posts a day and follower ratio; an unreadable time gives no age and no rate."""
+    age = account_age(F.col("created_at"), as_of)
+    per_day = F.when(age > 0, F.col("public_metrics.tweet_count") / age).otherwise(0.0)
+    ratio = F.when(F.col("public_metrics.following_count") > 0, F.col("public_metrics.followers_count") / F.col("public_metrics.following_count")).otherwise(0.0)
+    return users.select("id", "username", F.coalesce(age, F.lit(0)).alias("account_age_days"), F.coalesce(per_day, F.lit(0.0)).alias("tweets_per_day"), ratio.cast("double").alias("follower_ratio"))
+
+
+def search(spark: SparkSession, folder: str, query: str, max_results: int | None = None) -> DataFrame:
+    """Posts of paged search answers (a JSON document a file or line) that hold ``query``; every page is read, and the limit is pushed down.
+
+    A page with errors and no data fails the scan.
+    """
+    pages = spark.read.schema(f"{API_SCHEMA}, errors array<struct<title: string, detail: string>>").json(folder)
+    wrong = F.raise_error(F.concat(F.lit("the search answered with an error: "), F.to_json("errors")))
+    good = pages.withColumn("data", F.when(F.col("data").isNull() & (F.size("errors") > 0), wrong.cast(pages.schema["data"].dataType)).otherwise(F.col("data")))
+    found = parse_stream(good.select(F.to_json(F.struct("data", "includes")).alias("value"))).where(F.lower("text").contains(query.lower()))
+    return found if max_results is None else found.limit(max_results)
+
+
+class Rules:
+    """The rules of a stream (value, tag): replaced as a whole, added, listed and deleted by id."""
+
+    def __init__(self):
+        self.rows: dict[str, tuple[str, str]] = {}
+
+    def replace(self, rules: DataFrame) -> None:
+        self.rows = {}
+        self.add(rules)
+
+    def add(self, rules: DataFrame) -> None:
+        for r in rules.limit(1000).collect():  # a stream takes a thousand rules at most
+            self.rows[hashlib.sha256(f"{r['value']}|{r['tag']}".encode()).hexdigest()[:16]] = (r["value"], r["tag"])
+
+    def get(self) -> list[tuple[str, str, str]]:
+        return [(i, value, tag) for i, (value, tag) in self.rows.items()]
+
+    def delete(self, ids: list[str]) -> int:
+        """How many of the ids there were."""
+        return sum(self.rows.pop(i, None) is not None for i in ids)
+
+
 def stream_rules(spark: SparkSession, keywords=(), hashtags=(), users=(), languages=()) -> DataFrame:
     """(value, tag): a rule for each keyword, hashtag and user."""
     suffix = f" ({' OR '.join(f'lang:{x}' for x in languages)})" if languages else ""

@@ -19,5 +19,5 @@ def export_csv(path: str, rows: DataFrame, mode: str = "overwrite") -> None:
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:
-    """(line): (name, type, value) as one JSON object a metric."""
-    return metrics.select(F.to_json(F.struct("name", "type", "value")).alias("line"))
+    """(line): (name, type, value, labels, timestamp) as one JSON object a metric."""
+    return metrics.select(F.to_json(F.struct("name", "type", "value", *[c for c in ("labels", "timestamp") if c in metrics.columns])).alias("line"))

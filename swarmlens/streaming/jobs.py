@@ -1,12 +1,12 @@
-"""Structured Streaming: micro-batched ingest, incremental near-duplicate edges, windows, baselines."""
+"""Structured Streaming: micro-batched ingest, incremental near-duplicate edges, windows, sinks."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.operators import similarity as S
+from swarmlens.sources.adapters import parse_stream
 
 
 def stream_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -44,19 +44,26 @@ def incremental_pairs(posts: DataFrame, store: str, checkpoint: str, hashes: int
     return posts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_baseline(events: DataFrame, key: str, min_events: int = 10, alpha: float = 0.1) -> DataFrame:
-    """Per key, in order of time: after ``min_events`` events, an average of the last hour's counts that moves by ``alpha``."""
+def to_sink(df: DataFrame, sink, checkpoint: str, every: str | None = None, attempts: int = 3):
+    """Start a query that hands each micro-batch (DataFrame, number) to ``sink``, a callable, and tries again where it raises.
+
+    ``every`` is the tick ("30 seconds"); without one the query drains what is there and
+    ends.  A restart with the same checkpoint goes on after the last batch that the sink
+    took; a sink that is called twice for one number has to overwrite.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        for attempt in range(attempts):
+            try:
+                return sink(rows, number)
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+
+    writer = df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        times = frame["ts"].sort_values(kind="stable")
-        since = times.searchsorted(times - pd.Timedelta(hours=1), side="right")
-        average, most, least = 0.0, 0.0, 0.0
-        for i in range(len(times)):
-            if i + 1 < min_events:
-                continue
-            rate = float(i + 1 - since[i])
-            average = alpha * rate + (1 - alpha) * average
-            most, least = max(most, rate), rate if least == 0 else min(least, rate)
-        return pd.DataFrame({key: [frame[key].iloc[0]], "average": [round(average, 9)], "highest": [most], "lowest": [least]})
 
-    return events.select(key, "ts").groupBy(key).applyInPandas(fold, f"{key} bigint, average double, highest double, lowest double")
+def read_wire(spark: SparkSession, folder: str, lines_per_trigger: int = 100) -> DataFrame:
+    """A folder of newline-delimited API messages as a stream of posts; blank and malformed lines are skipped."""
+    return parse_stream(spark.readStream.option("maxFilesPerTrigger", lines_per_trigger).text(folder))
