@@ -1,18 +1,16 @@
 """Language-model scoring by logistic context mixing.
 
-Text is predicted bit by bit: five contexts (the last one to four bytes, and the
-last five with all before them in their word; each with the bits of the byte so
-far) hold counts of zeros and ones; their stretched probabilities are mixed in the
-logistic domain by weights that a gate selects (the place in the word, how often
-the contexts of three bytes and of the word were seen, and the bit's place); an
-adaptive map by bit place and mixed probability refines the result.  Minus the
-base-2 logarithms of the bits' probabilities add up to the text's bits.  Gate and
-smoothing were chosen on a fifth of the training texts (crc32 mod 5 is 2), never on
-held-out ones.
+Text is predicted bit by bit: five contexts (the last one to five bytes and the
+bits of the byte so far) each hold exact counts of zeros and ones; their
+stretched probabilities are mixed in the logistic domain by weights that a gate
+selects (the place in the word, how often the contexts of three and five bytes were
+seen, and the bit's place); an adaptive map by bit place and mixed probability
+refines the result.  Minus the base-2 logarithms of the bits' probabilities add up
+to the text's bits.  Gate and smoothing were chosen on a fifth of the training
+texts (crc32 mod 5 is 2), never on held-out ones.
 
 Counts come from every training text and grow with it: each chunk's distinct
-strings (six bytes, the last of them the predicted one, and 16 hashed bits of the
-word's bytes before them) with their numbers go to buckets by the three
+six-byte strings (context and byte) with their numbers go to buckets by the three
 bytes before the last, so that a bucket holds its contexts of three bytes and more
 whole and counts them without collisions; contexts of one and two bytes are
 counted over all buckets (at most 2**24 three-byte strings).  The mixing weights
@@ -41,49 +39,23 @@ from pyspark.sql import types as T
 
 from swarmlens.llm import chunks as C
 from swarmlens.llm.session import fresh
-from swarmlens.llm.text_arrays import _BYTE_POWERS, _BYTE_TABLES, mix, span_hashes, text_bytes, tidy, word_spans
+from swarmlens.llm.text_arrays import mix, span_hashes, text_bytes, tidy, word_spans
 
-#: Bytes of context of each predictor; WORD stands for the whole string.
-WORD = 7
-ORDERS = (1, 2, 3, 4, WORD)
+#: Bytes of context of each predictor.
+ORDERS = (1, 2, 3, 4, 5)
 INPUTS = len(ORDERS) + 1
 #: Tasks that add up the three-byte strings.
 SLICES = 16
 
 
-BYTE_TABLE, BYTE_POWERS = _BYTE_TABLES[0], _BYTE_POWERS[0]
-
-
 def _lower(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
-def _word_hashes(buffer: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """16 bits for each place: a hash of the bytes of the word before it but its last five; zero where there are none.
-
-    A block ends at a byte outside words, so one long word may exceed it.
-    """
-    out = np.zeros(len(buffer), np.uint64)
-    outside = (buffer == 32) | ((buffer >= 9) & (buffer <= 13)) | (buffer == 0)
-    borders = np.flatnonzero(outside)
-    at = np.searchsorted(borders, np.arange(block, len(buffer), block))
-    cuts = np.unique(np.concatenate([[0, len(buffer)], borders[at[at < len(borders)]]])).astype(np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        place = np.arange(b - a)
-        start = np.maximum.accumulate(np.where(outside[a:b], place + 1, 0))  # of the word each byte is in
-        term = BYTE_TABLE[buffer[a:b]] * BYTE_POWERS.get(int((place - start).max()) + 2)[0][np.maximum(place - start, 0)]
-        sums = np.append(np.uint64(0), np.cumsum(term))
-        far = np.flatnonzero(place - start >= 5)  # the last byte of a context of six or more
-        some = far[far + 1 + a < len(buffer)]
-        out[some + 1 + a] = mix(sums[some - 4] - sums[start[some]]) % np.uint64(65535) + np.uint64(1)
-    return out
-
-
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The string that ends at each byte of each text and at its end mark, and where each text's begin.
+    """The six-byte string that ends at each byte of each text and at its end mark, and where each text's begin.
 
-    Its lower 48 bits are six bytes, the last one lowest; five zero bytes stand before
-    a text, one after it.  Its upper 16 bits are those of ``_word_hashes``.
+    Five zero bytes stand before a text, one after it.
     """
     texts = len(offsets) - 1
     shift = np.repeat(5 + 6 * np.arange(texts), np.diff(offsets))
@@ -94,7 +66,6 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     code = buffer.astype(np.uint64)
     for j in range(1, 6):
         code[j:] |= buffer[:-j].astype(np.uint64) << np.uint64(8 * j)
-    code |= _word_hashes(buffer) << np.uint64(48)
     keep = np.ones(len(buffer), bool)
     start = offsets[:-1] + 6 * np.arange(texts)
     for j in range(5):
@@ -151,7 +122,7 @@ def _counts(low: tuple[np.ndarray, np.ndarray], codes: np.ndarray, counts: np.nd
         yield b, bit, [n[0][b] for n in every], [n[1][b] for n in every]
 
 
-#: Steps of the gate: how often the contexts of three bytes and the word were seen.
+#: Steps of the gate: how often the contexts of three and five bytes were seen.
 _STEPS = {2: (1, 3, 11, 101), 4: (1, 2, 4, 16)}
 _GATES = 6 * 5 * 5 * 8
 

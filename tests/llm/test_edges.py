@@ -353,25 +353,17 @@ def test_ngram_join_null_ids_and_chained_blocks(spark):
         assert (r["n_links"], r["n_copies"], r["class_id"]) == (links[t], copies[t], 0 if t in chain else None)
 
 
-def test_lm_strings_hold_the_word_before_them():
-    """A string's last six bytes, and a hash that tells whether the words before two strings agree; words cross blocks."""
+def test_lm_strings_and_places():
+    """A string's bytes, and how many bytes of the word stand before its last one."""
     random.seed(3)
     texts = [" ".join("".join(random.choices("ab", k=random.randint(1, 14))) for _ in range(300)), "", "x" * 50, "ab\tcdefghij"]
-    data = "".join(texts).encode()
-    offsets = np.cumsum([0, *(len(t) for t in texts)])
-    codes, begins = lm_scoring._grams(np.frombuffer(data, np.uint8), offsets)
-    seen, at = {}, 0
+    codes, begins = lm_scoring._grams(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t) for t in texts)]))
+    places, at = lm_scoring._places(codes), 0
     for t, begin in zip(texts, begins):
         assert begin == at
         padded = b"\0" * 5 + t.encode() + b"\0"
         for p in range(5, len(padded)):
-            code = int(codes[at])
-            assert code & (1 << 48) - 1 == int.from_bytes(padded[p - 5 : p + 1], "big")
-            word = re.search(rb"[^\x20\x09-\x0D\0]*$", padded[:p]).group()
-            assert (code >> 48 != 0) == (len(word) > 5)
-            seen.setdefault((padded[p - 5 : p + 1], word[:-5] if len(word) > 5 else b""), set()).add(code)
+            assert int(codes[at]) == int.from_bytes(padded[p - 5 : p + 1], "big")
+            assert places[at] == min(5, len(re.search(rb"[^\x20\x09-\x0D\0]*$", padded[:p]).group()))
             at += 1
-    assert at == len(codes) and all(len(v) == 1 for v in seen.values())
-    assert len({next(iter(v)) for v in seen.values()}) > 0.99 * len(seen)
-    buffer = np.frombuffer(b"\0" * 5 + data + b"\0", np.uint8)
-    assert (lm_scoring._word_hashes(buffer) == lm_scoring._word_hashes(buffer, 64)).all()
+    assert at == len(codes)
