@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEIGHBOURS, SAMPLE, BLOCK = 20, 16384, 8192
+NEIGHBOURS, SAMPLE, BLOCK = 20, 16384, 4096
 #: Share of the nearest that the searched parts are to hold, and the rows it is measured on.
 TARGET_RECALL, TRIALS = 0.93, 512
 _NONE = np.iinfo(np.int64).max
