@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table of binary keys, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -10,14 +10,16 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): each node's least neighbour.
+def _least(edges: DataFrame, itself: bool) -> DataFrame:
+    """(a, m): each node's least neighbour, or itself if that is less and ``itself`` is asked for.
 
-    Dealt out by an exchange of its own, so that the join with the edges stands between
-    exchanges: adaptive execution can then cut the edges of a group's centre, which may
-    be most of the table, into several tasks.
+    The key is joined to nothing, which hides from the planner that the rows are dealt
+    by it already: the join with the edges then stands between two exchanges of its
+    own, and adaptive execution may cut the edges of a group's centre, which can be
+    most of the table, into several tasks.
     """
-    return edges.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
+    least = F.min("b")
+    return edges.groupBy("a").agg((F.least("a", least) if itself else least).alias("m")).select(F.concat("a", F.lit(b"")).alias("a"), "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.join(_least(large), "a")
+        large = both.join(_least(both, True), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.join(_least(large, False), "a")
         edges = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct().checkpoint()
         after = _state(edges)
         if after == before:
