@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", n: int = N, threshold:
         whole = whole.groupBy("key", "doc_id").agg(F.first("text").alias("text"))
     found = whole.join(placed.withColumnRenamed("key", "p_key"), (F.col("key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cell", "block", "blocks", "key", "text")
     binary = "key binary, sizes binary, bands binary, vocabulary binary, sets binary"
-    packed = found.groupBy("cell", "block").applyInArrow(_pack(n, bands, rows), f"cell string, block int, blocks int, {binary}")
+    packed = found.groupBy("cell", "block").applyInArrow(_pack(n, bands, rows), f"cell string, block int, blocks int, {binary}").checkpoint()  # read twice: the texts are shuffled once
     # blocks of a large component meet only where a band value is in both; block numbers alone are gathered for a value
     large = signed.groupBy("key").agg(F.max("bands").alias("bands")).join(placed.where("blocks > 1").select("key", "cell", "block"), "key")
     met = _values(large, bands, "cell string, block int").groupBy("cell", "value").agg(F.collect_set("block").alias("held"))
