@@ -60,7 +60,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays.  A null text is no duplicate of anything and stays.
     """
     shared_checkpoints(spark)
-    classes = ngram_join.near_duplicates(docs.select("doc_id", "text")).where("key IS NOT NULL")
+    classes = ngram_join.near_duplicates(docs.select("doc_id", "text")).where("key IS NOT NULL").select("doc_id", "key", "class_key").checkpoint()
     least = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")).alias("m"))
     kept = least.select(F.col("m.id").alias("kept_id"), F.col("m.key").alias("kept_key"))
     apart = _apart(docs).withColumn("key", F.unhex(F.md5("in_text")))
