@@ -15,8 +15,9 @@ from swarmlens.operators import graphs
 from swarmlens.operators import privacy as N
 from swarmlens.operators import temporal as T
 from swarmlens.plans.analytics_queries import _MARKED, _REGION, marked, noise_sql, scrub_sql, shape_sql
-from swarmlens.plans.detection_queries import _LEVEL, _STATS, CONFIG, clusters, members
+from swarmlens.plans.detection_queries import _LEVEL, _STATS, CONFIG, _nested, clusters, members
 from swarmlens.plans.register import query, table
+from swarmlens.plans.similarity_queries import MINHASH_OF_TEXTS, SIMHASH
 from swarmlens.operators.engine import near_clusters
 from swarmlens.sources import sample, sinks
 from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events, parse_stream, posts
@@ -92,23 +93,11 @@ def cluster_accounts(spark, sf_dir):
     return pairs.join(accounts(spark, sf_dir).select(F.col("id").alias("author_id"), "username"), "author_id").select("cluster_id", "author_id", "username")
 
 
-@query("U2_hybrid_union", """WITH a AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS cluster_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY substr(text, 1, 20)) AS cluster_id, count(*) OVER (PARTITION BY substr(text, 1, 20)) AS n FROM documents WHERE text IS NOT NULL),
-a2 AS (SELECT id, cluster_id FROM a WHERE n > 1), b2 AS (SELECT id, cluster_id FROM b WHERE n > 1),
-ok AS (SELECT b2.cluster_id FROM b2 LEFT JOIN a2 ON a2.id = b2.id GROUP BY 1 HAVING count(a2.id) / count(*)::DOUBLE < 0.5)
-SELECT id, cluster_id FROM a2 UNION ALL SELECT id, cluster_id FROM b2 SEMI JOIN ok USING (cluster_id)""")
-def hybrid_union(spark, sf_dir):
-    """J7 and U2 over two exact groupings: equal texts, then equal beginnings that overlap them by less than half."""
-
-    def grouped(key):
-        keyed = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), key.alias("key"))
-        groups = keyed.groupBy("key").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
-        return keyed.join(groups, "key").select("id", "cluster_id")
-
-    return D.hybrid_union(grouped(F.md5("text")), grouped(F.md5(F.substring("text", 1, 20)))).select("id", "cluster_id")
-
-
-@query("U2_near_union")
+@query("U2_near_union", f"""WITH p AS (SELECT doc_id AS id, text FROM documents),
+{_nested('mh', MINHASH_OF_TEXTS, 'me', 2)},
+{_nested('sh', SIMHASH, 'se', 2)},
+few AS (SELECT sh.cluster_id FROM sh LEFT JOIN mh ON mh.id = sh.id GROUP BY sh.cluster_id HAVING count(mh.id) / count(*)::DOUBLE < 0.5)
+SELECT 'minhash' AS algorithm, cluster_id, id FROM mh UNION ALL SELECT 'simhash', cluster_id, id FROM sh SEMI JOIN few USING (cluster_id)""")
 def near_union(spark, sf_dir):
     """J7 and U2: MinHash clusters, and the SimHash clusters that overlap them by less than half."""
     docs = table(spark, sf_dir, "documents")

@@ -11,9 +11,8 @@ def test_query_matches_its_sql(spark, name):
     same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SMALL).count() >= 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
 
 
 def test_entry(spark):
