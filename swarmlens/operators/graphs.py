@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,20 @@ def ready(spark) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphs"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder, read again.
+
+    This cuts the plan as checkpoint() does, and the planner's size estimates as well.
+    A checkpointed frame keeps the estimate of the plan that it came from, and joins
+    multiply estimates: in a loop their digits double with every round, until the
+    driver does nothing but multiply them.
+    """
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hashed_order(node: Column) -> Column:
     """An order that does not depend on how ids were given."""
     return F.struct(F.md5(node.cast("string")), node)
@@ -55,14 +70,13 @@ def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each component, by hooking to the least neighbour and pointer jumping."""
-    ready(edges.sparkSession)
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).checkpoint()
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
         hooked = labels.join(near, "u").select("u", F.least("c", "d").alias("n"))
         jumped = hooked.join(hooked.select(F.col("u").alias("n"), F.col("n").alias("j")), "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("n"))
-        after = labels.join(jumped, "u").select("u", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")).checkpoint()
+        after = written(labels.join(jumped, "u").select("u", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")))
         labels = after.select("u", "c")
         if after.where("moved").isEmpty():
             return labels.select(F.col("u").alias("id"), F.col("c").alias("component"))

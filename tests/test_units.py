@@ -109,6 +109,13 @@ def test_graphs_against_sequential_passes(spark, seed):
     assert {r["id"]: r["component"] for r in graphs.connected_components(df).collect()} == label
 
 
+def test_components_of_a_long_chain_end(spark):
+    """Many rounds: the planner's size estimates must not grow from round to round."""
+    chain = spark.range(40000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graphs.connected_components(chain).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).first()
+    assert tuple(found) == (40001, 0, 0)
+
+
 def test_throttle(spark):
     df = spark.createDataFrame([("r", t, i) for i, t in enumerate([0, 10, 20, 30, 299, 300, 301, 302])], "rule string, t int, id bigint").select("rule", F.timestamp_seconds("t").alias("ts"), "id")
     assert [r["passed"] for r in alerts.throttled(df).orderBy("id").collect()] == [True, True, True, False, False, False, True, True]
