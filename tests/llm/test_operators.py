@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from oracle import connect, same
 from swarmlens.llm import ann, byte_bpe, fingerprints, language_id, lm_scoring, mixing, ngram_join, queries, sharding, substring_dedup, url_filter
+from swarmlens.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
 KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -320,6 +321,15 @@ def test_ngram_join_counts_a_pair_once_beside_empty_blocks(spark):
         assert (found[i]["n_links"], found[i]["class_id"]) == (groups[g] - 1, first.setdefault(g, i))
 
 
+def test_components_of_a_long_chain_end(spark):
+    """Rounds are tables with sizes of their own: on checkpointed frames the planner's estimates grew until it did not come back."""
+    key = F.unhex(F.md5(F.col("id").cast("string")))
+    chain = spark.range(3000).select(key.alias("a"), F.unhex(F.md5((F.col("id") + 1).cast("string"))).alias("b"))
+    found = components(chain).agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots"), F.first("root").alias("root")).first()
+    least = min(hashlib.md5(str(i).encode()).digest() for i in range(3001))
+    assert (found["n"], found["roots"], bytes(found["root"])) == (3000, 1, least)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
