@@ -41,7 +41,9 @@ from swarmlens.operators.graphs import written
 THRESHOLD, TARGET_RECALL, SAMPLE, TRIALS = 0.95, 0.9995, 16384, 4096
 #: Vectors of a bucket whose pairs are listed, and of a tile of a dense region at most.
 BUCKET, TILE = 32, 4096
-_FEWEST_BITS, _MOST_BITS, _SALTS = 10, 24, 32
+_FEWEST_BITS, _MOST_BITS, _SALTS = 2, 24, 32
+#: Rotations that are learned; where still more bits are needed, as of very few vectors, the rest are random.
+LEARNED = 16
 
 
 def units(column) -> np.ndarray:
@@ -62,9 +64,9 @@ def close(x: np.ndarray, y: np.ndarray, near: np.ndarray, threshold: float) -> n
 
 
 def _rotation(v: np.ndarray, turn: int, rounds: int = 30) -> np.ndarray:
-    """An orthogonal matrix after which the signs of ``v`` are close to its values."""
+    """An orthogonal matrix after which the signs of ``v`` are close to its values; without rounds a random one."""
     random = np.random.Generator(np.random.PCG64(turn))
-    r = np.linalg.qr(random.normal(size=(v.shape[1], v.shape[1])))[0]
+    r = np.linalg.qr(random.normal(size=(v.shape[1], v.shape[1])))[0] * random.choice([-1.0, 1.0], v.shape[1])
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
@@ -95,19 +97,21 @@ def fit(x: np.ndarray, rows: int, threshold: float = THRESHOLD, target_recall: f
     length = np.linalg.norm(aside, axis=1, keepdims=True)
     partner = np.where(length > 1e-9, threshold * some + math.sqrt(1 - threshold**2) * aside / np.maximum(length, 1e-9), some)
     width = min(_MOST_BITS, max(_FEWEST_BITS, math.ceil(math.log2(max(rows, 2)))))
-    model, found, tables, turn = {"mean": mean, "project": np.zeros((x.shape[1], 0)), "middle": np.zeros(0)}, np.zeros(len(some), bool), 0, 0
+    model, bits = {"mean": mean, "project": np.zeros((x.shape[1], 0)), "middle": np.zeros(0)}, [np.zeros((len(some), 0), bool)] * 2
+    found, tables, turn = np.zeros(len(some), bool), 0, 0
     while found.mean() < target_recall:
-        while model["project"].shape[1] < width * (tables + 1):
-            turned = v @ (r := _rotation(v, turn))
-            model |= {"project": np.hstack([model["project"], axes @ r]), "middle": np.append(model["middle"], np.median(turned, axis=0))}
+        while bits[0].shape[1] < width * (tables + 1):
+            r = _rotation(v, turn, 30 if turn < LEARNED else 0)
+            new = {"mean": mean, "project": axes @ r, "middle": np.median(v @ r, axis=0)}
+            bits = [np.hstack([known, _bits(new, y)]) for known, y in zip(bits, (some, partner))]
+            model |= {k: np.concatenate([model[k], new[k]], axis=-1) for k in ("project", "middle")}
             turn += 1
-        some_bits, partner_bits = (_bits(model, y)[:, tables * width : (tables + 1) * width] for y in (some, partner))
-        found |= (some_bits == partner_bits).all(axis=1)
+        found |= (bits[0] == bits[1])[:, tables * width : (tables + 1) * width].all(axis=1)
         tables += 1
-        if tables == 96 and width > 2:  # too fine for this threshold: start again with wider buckets
-            width, tables, found = max(2, width - 3), 0, np.zeros(len(some), bool)
+        if tables == 96:  # too fine for this threshold: start again with wider buckets, in the end with one for all
+            width, tables, found = max(0, width - 3), 0, np.zeros(len(some), bool)
     code = min(64, model["project"].shape[1])
-    apart = (_bits(model, some)[:, :code] != _bits(model, partner)[:, :code]).sum(axis=1)
+    apart = (bits[0] != bits[1])[:, :code].sum(axis=1)
     return model | {"width": width, "tables": tables, "code": code, "radius": int(np.sort(apart)[min(len(apart) - 1, math.ceil(0.9999 * len(apart)))])}
 
 
@@ -121,7 +125,7 @@ def _codes(vectors: DataFrame, models: dict) -> DataFrame:
             for size in np.unique(sizes).tolist():
                 m, part = shared.value[size], batch.filter(pa.array(sizes == size))
                 bits = _bits(m, units(part.column("v")))
-                keys = _keys(bits, m["width"], m["tables"]) | (m["number"] * 128 + np.arange(m["tables"])) << _MOST_BITS
+                keys = _keys(bits, m["width"], m["tables"]) | (m["number"] * 65536 + np.arange(m["tables"])) << _MOST_BITS
                 code = np.zeros((len(bits), 8), np.uint8)
                 packed = np.packbits(bits[:, : m["code"]], axis=1)
                 code[:, : packed.shape[1]] = packed
