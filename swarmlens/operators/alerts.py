@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swarmlens.functions.names import matched
 from swarmlens.functions.scores import compare
-from swarmlens.operators.ordering import filled_forward, previous_time
+from swarmlens.operators.graphs import written
+from swarmlens.operators.ordering import filled_forward, ranked
 
 MOST_RULES = 10_000
 
@@ -19,28 +20,51 @@ def matches(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(rules), "metric").where(compare(F.col("value"), F.col("operator"), F.col("threshold")))
 
 
-def throttled(alerts: DataFrame, window_s: int = 300, most: int = 3) -> DataFrame:
-    """(rule, ts, id, passed): a window opens at a rule's first alert, lets the first ``most`` pass, and opens anew after its end.
+def _next_window(numbered: DataFrame, window_s: int) -> DataFrame:
+    """(rule, k, next): the first alert later than a window after alert k; null if there is none.
 
-    Where a window opens depends on the one before it, but one always opens after a gap
-    longer than a window: a rule's alerts (time and id alone) are cut there, and each
-    stretch without such a gap is folded in order.
+    An alert asks in the stretch of a window's length after its own, where its window
+    ends: alerts and questions are sorted together there.  Where none follows in that
+    stretch, the rule's next stretch with alerts begins with the answer.
     """
+    w = window_s * 1_000_000
+    timed = numbered.where("ts IS NOT NULL").select("rule", "k", F.unix_micros("ts").alias("us"))
+    here = timed.select("rule", F.expr(f"us div {w}L").alias("cell"), "us", F.lit(0).alias("asks"), "k")
+    asked = timed.select("rule", F.expr(f"(us + {w}L) div {w}L").alias("cell"), (F.col("us") + w).alias("us"), F.lit(1).alias("asks"), "k")
+    after = Window.partitionBy("rule", "cell").orderBy("us", "asks", "k").rowsBetween(1, Window.unboundedFollowing)
+    both = here.union(asked).withColumn("next", F.first(F.when(F.col("asks") == 0, F.col("k")), ignorenulls=True).over(after))
+    cells = both.groupBy("rule", "cell").agg(F.min(F.when(F.col("asks") == 0, F.col("k"))).alias("first"))
+    later = Window.partitionBy("rule").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    later = cells.select("rule", "cell", F.first("first", ignorenulls=True).over(later).alias("later"))  # one row a cell
+    return matched(both.where("asks = 1"), later, ["rule", "cell"]).select("rule", "k", F.coalesce("next", "later").alias("next"))
+
+
+def _openers(pointers: DataFrame) -> DataFrame:
+    """(rule, k): the alerts that open a window: the first of each rule, and all that its pointers lead to, by doubling the pointers."""
+    reached = written(pointers.groupBy("rule").agg(F.min("k").alias("k")))
+    jumps = written(pointers.where("next IS NOT NULL"))
+    while not jumps.isEmpty():
+        led = matched(reached, jumps, ["rule", "k"]).select("rule", F.col("next").alias("k"))
+        reached = written(reached.union(led))  # a jump of 2^i leads from the first 2^i openers to the next ones, so no opener comes twice
+        onward = jumps.select("rule", F.col("k").alias("next"), F.col("next").alias("far"))
+        jumps = written(matched(jumps, onward, ["rule", "next"]).select("rule", "k", F.col("far").alias("next")))
+    return reached
+
+
+def throttled(alerts: DataFrame, window_s: int = 300, most: int = 3) -> DataFrame:
+    """(rule, ts, id, passed): a window opens at a rule's first alert, lets the first ``most`` pass, and opens anew with the first alert after its end.
+
+    Each alert points to the one that would open the next window if it opened one itself;
+    the openers are found by doubling these pointers, in as many rounds as the number of a
+    rule's windows has bits, so no rule and no stretch of alerts is folded in one task.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "id"])
-        opened, n, passed = None, 0, []
-        for ts in frame["ts"]:
-            if opened is None or (ts - opened).total_seconds() > window_s:
-                opened, n = ts, 0
-            n += 1
-            passed.append(n <= most)
-        return frame.assign(passed=passed)[["rule", "ts", "id", "passed"]]
-
-    timed = previous_time(alerts.select("rule", "ts", "id"), "rule", "ts", ["id"])
-    gap = F.col("previous").isNull() | (F.unix_micros("ts") - F.unix_micros("previous") > window_s * 1_000_000)
-    cut = filled_forward(timed, "rule", "ts", ["id"], F.when(gap, F.struct("ts", "id")), "stretch")
-    return cut.select("rule", "ts", "id", "stretch").groupBy("rule", "stretch").applyInPandas(fold, "rule string, ts timestamp, id bigint, passed boolean")
+    A null rule is a rule like any other; alerts without a time belong to their rule's last window.
+    """
+    numbered = written(ranked(alerts.select("rule", "ts", "id"), "rule", "ts", ["id"]))
+    pointers = matched(numbered.select("rule", "k"), _next_window(numbered, window_s), ["rule", "k"], "left").select("rule", "k", "next")
+    opened = matched(numbered, _openers(pointers).withColumn("opener", F.col("k")), ["rule", "k"], "left")
+    filled = filled_forward(opened, "rule", "ts", ["id"], F.col("opener"), "opener")
+    return filled.select("rule", "ts", "id", (F.col("k") - F.col("opener") < most).alias("passed"))
 
 
 #: Metrics a rule of each kind can read, and the rule (metric, least value) where it names another one.

@@ -72,6 +72,7 @@ def _after(first: Column, a: Column, b: Column, low: Column, high: Column) -> Co
 def fold(events: DataFrame) -> DataFrame:
     """(id, score, effective_weight, n): events (id, ts, factor, impact, confidence) applied in order of time, then factor.
 
+    Events without a time have no age and are left out; a null id is an entity like any other.
     Every update lets the score decay from a day on, appends, and adds the weighted mean
     of the last hundred events of at most thirty days; the score is held to [0, 1].
     One update is a * x + b held to a range, and so is any number of them in a row:
@@ -79,7 +80,7 @@ def fold(events: DataFrame) -> DataFrame:
     row.  A chunk gets the hundred events before it along.
     """
     names = ["factor", "impact", "confidence"]
-    e = ranked(events.select("id", "ts", *names), "id", "ts", names).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
+    e = ranked(events.where("ts IS NOT NULL").select("id", "ts", *names), "id", "ts", names).withColumn("h", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9)
     e = e.withColumn("own", F.floor((F.col("k") - 1) / CHUNK))
     at = F.when(F.pmod(F.col("k") - 1, F.lit(CHUNK)) >= CHUNK - HISTORY, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
     both = e.withColumn("chunk", F.explode(at))

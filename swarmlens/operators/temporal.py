@@ -1,10 +1,15 @@
-"""Temporal analysis of keyed events: sliding rates, bursts, periods, coordination, baselines."""
+"""Temporal analysis of keyed events: sliding rates, bursts, periods, coordination, baselines.
+
+A null key is a key like any other.  Events without a time fall into no window and no
+bucket; they count as events of their key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swarmlens.functions.names import matched
 from swarmlens.functions.scores import p_value, severity
 from swarmlens.operators.ordering import previous_time, ranked
 
@@ -22,9 +27,9 @@ def sliding_rates(events: DataFrame, key: str, ts: str, window_s: int) -> DataFr
     span = us.groupBy(key).agg(F.min("us").alias("first"), F.max("us").alias("last"))
     grid = span.withColumn("m", F.expr(f"(last - first - 1) div {step}")).where("last > first").select(key, "first", F.explode(F.expr("sequence(0L, m)")).alias("i"))
     low, high = f"greatest(0L, (us - first - {w}) div {step} + if(us - first >= {w}, 1, 0))", f"least((us - first + {step - 1}) div {step} - 1, (last - first - 1) div {step})"
-    hits = us.join(span, key).withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).where("low <= high").select(key, F.explode(F.expr("sequence(low, high)")).alias("i"))
+    hits = matched(us, span, [key]).withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).where("low <= high").select(key, F.explode(F.expr("sequence(low, high)")).alias("i"))
     counts = hits.groupBy(key, "i").agg(F.count("*").alias("n"))
-    filled = grid.join(counts, [key, "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    filled = matched(grid, counts, [key, "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(key, "i", (F.col("first") + F.col("i") * step).alias("start_us"), "n", (F.col("n") / (window_s / 60.0)).alias("rate"))
 
 
@@ -32,11 +37,11 @@ def bursts(rates: DataFrame, events: DataFrame, key: str, threshold: float = 2.0
     """Per key: z score of the peak, verdict, confidence, p value, and the first, peak and last start of the burst."""
     count = events.groupBy(key).agg(F.count("*").alias("n_events"))
     stats = rates.groupBy(key).agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("sigma"), F.max("rate").alias("peak"))
-    peak = rates.join(stats.select(key, "peak"), key).where(F.col("rate") == F.col("peak")).groupBy(key).agg(F.min("i").alias("peak_i"))
-    low = rates.join(stats.select(key, "peak"), key).join(peak, key).where(F.col("rate") < 0.3 * F.col("peak"))
+    peak = matched(rates, stats.select(key, "peak"), [key]).where(F.col("rate") == F.col("peak")).groupBy(key).agg(F.min("i").alias("peak_i"))
+    low = matched(matched(rates, stats.select(key, "peak"), [key]), peak, [key]).where(F.col("rate") < 0.3 * F.col("peak"))
     edge = low.groupBy(key).agg(F.max(F.when(F.col("i") <= F.col("peak_i"), F.col("i") + 1)).alias("start_i"), F.min(F.when(F.col("i") >= F.col("peak_i"), F.col("i"))).alias("end_i"))
     z = F.when(F.col("sigma") > 0, (F.col("peak") - F.col("mean")) / F.col("sigma")).otherwise(0.0)
-    out = stats.join(count, key).where(F.col("n_events") >= min_events).join(peak, key).join(edge, key, "left").withColumn("z", z)
+    out = matched(matched(matched(stats, count, [key]).where(F.col("n_events") >= min_events), peak, [key]), edge, [key], "left").withColumn("z", z)
     confidence = F.least(F.lit(1.0), F.abs("z") / 5) * F.least(F.lit(1.0), F.col("n_events") / (2.0 * min_events))
     return out.select(key, "n_events", "z", (F.col("z") > threshold).alias("is_burst"), confidence.alias("confidence"), p_value(F.col("z")).alias("p_value"), "start_i", "peak_i", "end_i")
 
@@ -45,7 +50,7 @@ def autocorrelation(series: DataFrame, keys: list[str], order: str, value: str)
     """Lag-1 autocorrelation; the denominator leaves the last term out; 0 where it is 0."""
     w = Window.partitionBy(*keys).orderBy(order)
     mean = series.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    pairs = series.withColumn("_next", F.lead(value).over(w)).join(mean, keys).where("_next IS NOT NULL")
+    pairs = matched(series.withColumn("_next", F.lead(value).over(w)), mean, keys).where("_next IS NOT NULL")
     x = F.col(value) - F.col("_m")
     return pairs.groupBy(*keys).agg((F.sum(x * (F.col("_next") - F.col("_m")))).alias("_n"), F.sum(x * x).alias("_d")).select(*keys, F.when(F.col("_d") == 0, 0.0).otherwise(F.try_divide(F.col("_n"), F.col("_d"))).alias("correlation"))
 
@@ -56,8 +61,8 @@ def periods(events: DataFrame, key: str, ts: str, low_min: int, high_min: int) -
     span = us.groupBy(key).agg(F.min("us").alias("first"), (F.max("us") - F.min("us")).alias("length"))
     grid = span.withColumn("period_min", F.explode(F.sequence(F.lit(low_min), F.lit(high_min)))).withColumn("buckets", F.expr(f"length div (period_min * {60 * MICRO}L)")).where("buckets >= 2")
     cells = grid.select(key, "period_min", F.explode(F.expr("sequence(0L, buckets - 1)")).alias("bucket"))
-    counts = us.join(grid, key).withColumn("bucket", F.expr(f"(us - first) div (period_min * {60 * MICRO}L)")).where("bucket < buckets").groupBy(key, "period_min", "bucket").agg(F.count("*").alias("n"))
-    series = cells.join(counts, [key, "period_min", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
+    counts = matched(us, grid, [key]).withColumn("bucket", F.expr(f"(us - first) div (period_min * {60 * MICRO}L)")).where("bucket < buckets").groupBy(key, "period_min", "bucket").agg(F.count("*").alias("n"))
+    series = matched(cells, counts, [key, "period_min", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
     return autocorrelation(series, [key, "period_min"], "bucket", "n")
 
 
@@ -77,7 +82,7 @@ def periodic_patterns(events: DataFrame, key: str, ts: str, low_min: int, high_m
     """(key, period_min, correlation, is_periodic, frequency, severity): keys of at least twice ``min_events`` events; frequency is events an hour."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     span = events.groupBy(key).agg(F.count("*").alias("_n"), ((F.max(us) - F.min(us)) / (3600.0 * MICRO)).alias("_hours")).where(F.col("_n") >= 2 * min_events)
-    out = periods(events, key, ts, low_min, high_min).join(span, key)
+    out = matched(periods(events, key, ts, low_min, high_min), span, [key])
     return out.select(key, "period_min", "correlation", (F.col("correlation") > threshold).alias("is_periodic"), F.try_divide(F.col("_n"), F.col("_hours")).alias("frequency"), severity(F.col("correlation"), F.col("_n")).alias("severity"))
 
 
@@ -86,8 +91,8 @@ def enriched(events: DataFrame, key: str, ts: str, account: str, cluster: str, w
     rates = sliding_rates(events, key, ts, window_s).groupBy(key).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("peak_intensity"), F.avg("rate").alias("average_intensity"), F.stddev_pop("rate").alias("variability"))
     accounts = events.groupBy(key, account).agg(F.count("*").alias("_n")).groupBy(key).agg(F.count(account).alias("accounts"), F.sum("_n").alias("events")).withColumn("account_diversity", F.col("accounts") / F.col("events"))
     clusters = events.where(F.coalesce(F.col(cluster).cast("string"), F.lit("")) != "").select(key, cluster).distinct().groupBy(key).agg(F.count("*").alias("clusters"))
-    hours = events.groupBy(key, F.date_format(ts, "HH").alias("_h")).agg(F.count("*").alias("_n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_h", "_n")))).alias("by_hour"))  # 24 rows a key
-    return accounts.join(rates, key, "left").join(clusters, key, "left").join(hours, key).withColumn("clusters", F.coalesce("clusters", F.lit(0)))
+    hours = events.groupBy(key, F.coalesce(F.date_format(ts, "HH"), F.lit("none")).alias("_h")).agg(F.count("*").alias("_n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_h", "_n")))).alias("by_hour"))  # 24 rows a key
+    return matched(matched(matched(accounts, rates, [key], "left"), clusters, [key], "left"), hours, [key]).withColumn("clusters", F.coalesce("clusters", F.lit(0)))
 
 
 def without_old(patterns: DataFrame, end: str, as_of: str, max_age_hours: int) -> DataFrame:
@@ -98,16 +103,19 @@ def without_old(patterns: DataFrame, end: str, as_of: str, max_age_hours: int) -
 def rate_baseline(events: DataFrame, key: str, ts: str, order: str, min_events: int = 10, alpha: float = 0.1) -> DataFrame:
     """(key, average, highest, lowest): after ``min_events`` events, the count of the last hour at each event, smoothed by ``alpha`` from the first one on.
 
+    Events without a time have no last hour and are left out; a key of none but those has no row.
     The smoothed value is a sum weighted by powers of 1 - alpha, so there is no state.
     An event's last hour lies in its own hour of the clock and the one before: each
     row is sent to its own and the next one, where a window counts.
     """
-    numbered = ranked(events.select(key, ts, order), key, ts, [order]).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_hour", F.expr(f"_us div {3600 * MICRO}L"))
-    both = numbered.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_hour", F.when(F.col("_own"), F.col("_hour")).otherwise(F.col("_hour") + 1))
-    inside = Window.partitionBy(key, "_hour")
-    nth, older = F.row_number().over(inside.orderBy("_us", "k")), F.count("*").over(inside.orderBy("_us").rangeBetween(Window.unboundedPreceding, -3600 * MICRO))
-    rates = both.select(key, "k", "_own", (nth - older).cast("double").alias("rate")).where("_own").where(F.col("k") >= min_events)
-    total = numbered.groupBy(key).agg(F.max("k").alias("n"))
+    timed = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(order).alias("order"))
+    numbered = ranked(timed, "key", "ts", ["order"]).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("hour", F.expr(f"us div {3600 * MICRO}L"))
+    both = numbered.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("hour", F.when(F.col("own"), F.col("hour")).otherwise(F.col("hour") + 1))
+    inside = Window.partitionBy("key", "hour")
+    nth, older = F.row_number().over(inside.orderBy("us", "k")), F.count("*").over(inside.orderBy("us").rangeBetween(Window.unboundedPreceding, -3600 * MICRO))
+    rates = both.select("key", "k", "own", (nth - older).cast("double").alias("rate")).where("own").where(F.col("k") >= min_events)
+    total = numbered.groupBy("key").agg(F.max("k").alias("n"))
     weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("k")) * F.when(F.col("k") == min_events, 1.0).otherwise(alpha)
-    found = rates.join(total, key).groupBy(key).agg(F.sum(F.col("rate") * weight).alias("average"), F.max("rate").alias("highest"), F.min("rate").alias("lowest"))
-    return total.select(key).join(found, key, "left").na.fill(0.0, ["average", "highest", "lowest"])
+    found = matched(rates, total, ["key"]).groupBy("key").agg(F.sum(F.col("rate") * weight).alias("average"), F.max("rate").alias("highest"), F.min("rate").alias("lowest"))
+    filled = matched(total.select("key"), found, ["key"], "left").na.fill(0.0, ["average", "highest", "lowest"])
+    return filled.withColumnRenamed("key", key)

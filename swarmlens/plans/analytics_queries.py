@@ -21,7 +21,7 @@ from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events
 _STEP = 360_000_000
 _RATES = f"""sp AS (SELECT event_type, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY event_type),
 gr AS (SELECT event_type, first, unnest(range(0, (last - first - 1) // {_STEP} + 1)) AS i FROM sp WHERE last > first),
-rt AS (SELECT gr.event_type, i, first + i * {_STEP} AS start_us, (SELECT count(*) FROM events e WHERE e.event_type = gr.event_type AND epoch_us(e.ts) > first + i * {_STEP} AND epoch_us(e.ts) < first + i * {_STEP} + {10 * _STEP}) AS n FROM gr)"""
+rt AS (SELECT gr.event_type, i, first + i * {_STEP} AS start_us, (SELECT count(*) FROM events e WHERE e.event_type IS NOT DISTINCT FROM gr.event_type AND epoch_us(e.ts) > first + i * {_STEP} AND epoch_us(e.ts) < first + i * {_STEP} + {10 * _STEP}) AS n FROM gr)"""
 
 
 def rates(spark, sf_dir):
@@ -185,13 +185,13 @@ def indirect_events(spark, sf_dir):
 
 def fold_sql(source: str) -> str:
     """CTEs that fold the events (id, ts, factor, impact, confidence) of ``source``; fd has each update's score and weight."""
-    return f"""od AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, factor, impact, confidence) AS k, count(*) OVER (PARTITION BY id) AS n FROM {source}),
+    return f"""od AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, factor, impact, confidence) AS k, count(*) OVER (PARTITION BY id) AS n FROM {source} WHERE ts IS NOT NULL),
 wt AS (SELECT x.id, x.k, sum(y.confidence * exp(-(epoch_us(x.ts) - epoch_us(y.ts)) / 3.6e9::DOUBLE / 168)) AS w, sum(y.impact * y.confidence * exp(-(epoch_us(x.ts) - epoch_us(y.ts)) / 3.6e9::DOUBLE / 168)) AS wi
- FROM od x JOIN od y ON y.id = x.id AND y.k BETWEEN x.k - 99 AND x.k AND epoch_us(x.ts) - epoch_us(y.ts) <= 720 * 3.6e9::DOUBLE GROUP BY ALL),
-st AS (SELECT od.id, od.k, od.n, od.ts, w, CASE WHEN w > 0 THEN wi / w ELSE 0 END AS mean FROM od JOIN wt ON wt.id = od.id AND wt.k = od.k),
+ FROM od x JOIN od y ON y.id IS NOT DISTINCT FROM x.id AND y.k BETWEEN x.k - 99 AND x.k AND epoch_us(x.ts) - epoch_us(y.ts) <= 720 * 3.6e9::DOUBLE GROUP BY ALL),
+st AS (SELECT od.id, od.k, od.n, od.ts, w, CASE WHEN w > 0 THEN wi / w ELSE 0 END AS mean FROM od JOIN wt ON wt.id IS NOT DISTINCT FROM od.id AND wt.k = od.k),
 fd(id, k, n, ts, w, score) AS (SELECT id, k, n, ts, w, greatest(0, least(1, 0.5::DOUBLE + mean)) FROM st WHERE k = 1
  UNION ALL SELECT st.id, st.k, st.n, st.ts, st.w, greatest(0, least(1, CASE WHEN epoch_us(st.ts) - epoch_us(fd.ts) >= 86400000000 THEN greatest(0, least(1, score * exp(-0.1::DOUBLE * (epoch_us(st.ts) - epoch_us(fd.ts)) / 8.64e10::DOUBLE) + 0.5::DOUBLE * (1 - exp(-0.1::DOUBLE * (epoch_us(st.ts) - epoch_us(fd.ts)) / 8.64e10::DOUBLE)))) ELSE score END + mean))
- FROM fd JOIN st ON st.id = fd.id AND st.k = fd.k + 1)"""
+ FROM fd JOIN st ON st.id IS NOT DISTINCT FROM fd.id AND st.k = fd.k + 1)"""
 
 
 @query("R4_reputation_fold", f"WITH RECURSIVE ev AS (SELECT user_id AS id, ts, event_type AS factor, CASE WHEN event_type = 'error' THEN -0.05::DOUBLE ELSE 0.01::DOUBLE END AS impact, 0.8::DOUBLE AS confidence FROM events), {fold_sql('ev')} SELECT id, round(score, 6) AS score, round(w, 6) AS effective_weight, n FROM fd WHERE k = n")
@@ -357,11 +357,12 @@ def cluster_alerts(spark, sf_dir):
     return A.evaluated(facts, rules, "cluster").select("cluster_id", "rule")
 
 
-@query("M5_throttle", """WITH RECURSIVE e AS (SELECT event_type AS rule, ts, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'signup') AND event_id < 3000),
-f(rule, ts, id, k, opened, n) AS (SELECT rule, ts, id, k, ts, 1 FROM e WHERE k = 1 UNION ALL SELECT e.rule, e.ts, e.id, e.k, CASE WHEN e.ts - f.opened > INTERVAL 1 HOUR THEN e.ts ELSE f.opened END, CASE WHEN e.ts - f.opened > INTERVAL 1 HOUR THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.rule = f.rule AND e.k = f.k + 1)
-SELECT rule, id, n <= 3 AS passed FROM f""".replace(" AND event_id < 3000", ""))
+@query("M5_throttle", """WITH RECURSIVE e AS (SELECT event_type AS rule, ts, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+f(rule, k, opened) AS (SELECT rule, k, ts FROM e WHERE k = 1 UNION ALL SELECT e.rule, min(e.k), min(e.ts) FROM f JOIN e ON e.rule IS NOT DISTINCT FROM f.rule AND e.ts > f.opened + INTERVAL 1 HOUR GROUP BY e.rule),
+w AS (SELECT rule, k, lead(k) OVER (PARTITION BY rule ORDER BY k) AS until FROM f)
+SELECT e.rule, id, e.k - w.k < 3 AS passed FROM e JOIN w ON e.rule IS NOT DISTINCT FROM w.rule AND e.k >= w.k AND (until IS NULL OR e.k < until)""")
 def throttle(spark, sf_dir):
-    alerts = events(spark, sf_dir).where(F.col("event_type").isin("error", "signup")).select(F.col("event_type").alias("rule"), "ts", F.col("event_id").alias("id"))
+    alerts = events(spark, sf_dir).select(F.col("event_type").alias("rule"), "ts", F.col("event_id").alias("id"))
     return A.throttled(alerts, 3600, 3).select("rule", "id", "passed")
 
 

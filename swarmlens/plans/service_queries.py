@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swarmlens.functions import scores
 from swarmlens.functions.text import fnv32, stable_id
 from swarmlens.operators import similarity as S
-from swarmlens.operators.ordering import filled_forward, ranked
+from swarmlens.operators.ordering import running
 from swarmlens.plans.analytics_queries import _MARKED, marked, rates
 from swarmlens.plans.detection_queries import _LEVEL, _STATS, clusters
 from swarmlens.plans.plugins import Registry
@@ -187,10 +187,8 @@ def shown_names(spark, sf_dir):
 def running_totals(spark, sf_dir):
     """Counters of each user as of each event: all events, and errors."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    errors = ranked(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), "user_id", "ts", ["event_id"], "errors")
-    numbered = ranked(e, "user_id", "ts", ["event_id"], "total").join(errors.select("event_id", F.col("errors").alias("_e")), "event_id", "left")
-    out = filled_forward(numbered, "user_id", "ts", ["event_id"], F.col("_e"), "errors")
-    return out.select("event_id", "total", F.coalesce("errors", F.lit(0)).alias("errors"))
+    e = running(e, "user_id", "ts", ["event_id"], F.lit(1).cast("bigint"), "total")
+    return running(e, "user_id", "ts", ["event_id"], F.coalesce((F.col("event_type") == "error").cast("bigint"), F.lit(0)), "errors").select("event_id", "total", "errors")
 
 
 @query("A21_key_stats", "SELECT count(*) AS n, count(*) FILTER (o_orderdate + INTERVAL 365 DAY >= TIMESTAMP '1997-01-01') AS active, count(*) FILTER (o_orderdate + INTERVAL 365 DAY < TIMESTAMP '1997-01-01') AS expired FROM orders")

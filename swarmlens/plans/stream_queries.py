@@ -26,7 +26,7 @@ def microbatch(spark, sf_dir):
     return spark.table(name)
 
 
-@query("T6_ewma_baseline", """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS rate FROM events)
+@query("T6_ewma_baseline", """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS rate FROM events WHERE ts IS NOT NULL)
 SELECT user_id, round(coalesce(sum(rate * pow(0.9::DOUBLE, n - k) * CASE WHEN k = 10 THEN 1 ELSE 0.1::DOUBLE END) FILTER (k >= 10), 0), 6) AS average, coalesce(max(rate) FILTER (k >= 10), 0)::DOUBLE AS highest, coalesce(min(rate) FILTER (k >= 10), 0)::DOUBLE AS lowest FROM r GROUP BY user_id""")
 def baseline(spark, sf_dir):
     return temporal.rate_baseline(events(spark, sf_dir), "user_id", "ts", "event_id").withColumn("average", F.round("average", 6))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.functions.text import extracted
@@ -12,7 +14,7 @@ from swarmlens.functions.scores import account_age, bot_score
 
 #: The wire format of the posts API.
 API_SCHEMA = """data array<struct<id: string, text: string, author_id: string, created_at: string, lang: string,
- public_metrics: struct<retweet_count: int, like_count: int, reply_count: int>,
+ public_metrics: struct<retweet_count: int, like_count: int, reply_count: int>, referenced_tweets: array<struct<type: string>>,
  entities: struct<urls: array<struct<expanded_url: string>>, mentions: array<struct<username: string>>, hashtags: array<struct<tag: string>>>>>,
  includes struct<users: array<struct<id: string, username: string, name: string, created_at: string, description: string, location: string, verified: boolean,
  public_metrics: struct<followers_count: int, following_count: int, tweet_count: int>>>>"""
@@ -72,18 +74,28 @@ def lines(df: DataFrame, text: str = "value") -> DataFrame:
     return cut.select((F.col("at") + 1).alias("line"), F.concat(F.lit("user_"), (F.col("at") + 1).cast("string")).alias("username"), F.btrim("raw", F.lit(WHITE)).alias("text")).where("text <> ''")
 
 
-def parse_stream(df: DataFrame, value: str = "value") -> DataFrame:
-    """Posts of newline-delimited API messages; blank lines (heartbeats) and malformed ones are skipped.  Works on streams too."""
+def _wire_posts(df: DataFrame, value: str = "value") -> DataFrame:
+    """Posts of newline-delimited API messages with their language and what they refer to.
+
+    An author that a message lists twice is who it lists last; a post without a listed author is left out.
+    """
     parsed = df.where(F.btrim(value, F.lit(WHITE)) != "").select(F.from_json(value, API_SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).where("m.data IS NOT NULL")
-    users = F.map_from_entries(F.transform("m.includes.users", lambda u: F.struct(u["id"], u)))
-    each = parsed.select(F.explode("m.data").alias("d"), users.alias("users")).withColumn("u", F.try_element_at("users", F.col("d.author_id"))).where("u IS NOT NULL")
+    each = parsed.select(F.explode("m.data").alias("d"), F.col("m.includes.users").alias("users"))
+    each = each.select("d", F.try_element_at(F.filter("users", lambda u: u["id"] == F.col("d.author_id")), F.lit(-1)).alias("u")).where("u IS NOT NULL")
     names = lambda c, f: F.coalesce(F.transform(c, lambda x: x[f]), F.array().cast("array<string>"))
+    refers = lambda kind: F.coalesce(F.exists("d.referenced_tweets", lambda r: r["type"] == kind), F.lit(False))
     return each.select(
         F.col("d.id").alias("id"), F.col("d.text").alias("text"), F.col("d.author_id").alias("author_id"), F.col("u.username").alias("username"), F.try_to_timestamp("d.created_at").alias("created_at"), F.col("d.public_metrics.retweet_count").alias("retweet_count"),
         names("d.entities.urls", "expanded_url").alias("urls"), names("d.entities.mentions", "username").alias("mentions"), names("d.entities.hashtags", "tag").alias("hashtags"),
+        F.col("d.lang").alias("lang"), refers("retweeted").alias("is_retweet"), refers("replied_to").alias("is_reply"),
     )
 
 
+def parse_stream(df: DataFrame, value: str = "value") -> DataFrame:
+    """Posts of newline-delimited API messages; blank lines (heartbeats) and malformed ones are skipped.  Works on streams too."""
+    return _wire_posts(df, value).drop("lang", "is_retweet", "is_reply")
+
+
 def search_query(keywords=(), hashtags=(), languages=()) -> str:
     """The search string of a watch list: alternatives joined by OR, several words quoted, languages required, reposts and replies left out."""
     terms = [f'"{k}"' if " " in k else k for k in keywords] + [f"#{h}" for h in hashtags]
@@ -107,20 +119,55 @@ def account_rows(users: DataFrame, as_of: str) -> DataFrame:
     return users.select("id", "username", F.coalesce(age, F.lit(0)).alias("account_age_days"), F.coalesce(per_day, F.lit(0.0)).alias("tweets_per_day"), ratio.cast("double").alias("follower_ratio"))
 
 
+def holds(query: str) -> Column:
+    """Whether a post (text, hashtags, username, lang, is_retweet, is_reply) answers a search string, as ``search_query`` and ``stream_rules`` write them.
+
+    Alternatives stand between ORs, and all that stands side by side has to hold; an OR
+    binds its neighbours before that, so what is required or left out counts for every
+    alternative.  Brackets only group.  A word is met in any case and at word ends only,
+    as are quoted words; ``#tag``, ``from:user``, ``lang:code``, ``is:retweet`` and
+    ``is:reply`` read the post's fields, and a minus turns a term round.  Without terms every post answers.
+    """
+
+    def term(t: str) -> Column:
+        if t.startswith("-") and len(t) > 1:
+            return ~term(t[1:])
+        kind, _, rest = t.partition(":")
+        if t.startswith("#"):
+            return F.exists("hashtags", lambda h: F.lower(h) == t[1:].lower())
+        if kind in ("from", "lang") and rest:
+            return F.lower("username" if kind == "from" else "lang") == rest.lower()
+        if t in ("is:retweet", "is:reply"):
+            return F.col(t.replace(":", "_"))
+        return F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{Nd}}]){re.escape(t.strip(chr(34)))}(?![\p{{L}}\p{{Nd}}])")
+
+    groups, joined = [], False
+    for t in re.findall(r'-?"[^"]*"|[^\s()]+', query):
+        if t == "OR":
+            joined = True
+            continue
+        found = F.coalesce(term(t), F.lit(False))
+        groups = [*groups[:-1], groups[-1] | found] if joined and groups else [*groups, found]
+        joined = False
+    return reduce(lambda a, b: a & b, groups, F.lit(True))
+
+
 def search(spark: SparkSession, folder: str, query: str, max_results: int | None = None) -> DataFrame:
-    """Posts of paged search answers (a JSON document a file or line) that hold ``query``; every page is read, and the limit is pushed down.
+    """Posts of paged search answers (a JSON document a file or line) that answer ``query``; every page is read, and the limit is pushed down.
 
     A page with errors and no data fails the scan.
     """
     pages = spark.read.schema(f"{API_SCHEMA}, errors array<struct<title: string, detail: string>>").json(folder)
     wrong = F.raise_error(F.concat(F.lit("the search answered with an error: "), F.to_json("errors")))
     good = pages.withColumn("data", F.when(F.col("data").isNull() & (F.size("errors") > 0), wrong.cast(pages.schema["data"].dataType)).otherwise(F.col("data")))
-    found = parse_stream(good.select(F.to_json(F.struct("data", "includes")).alias("value"))).where(F.lower("text").contains(query.lower()))
+    found = _wire_posts(good.select(F.to_json(F.struct("data", "includes")).alias("value"))).where(holds(query)).drop("lang", "is_retweet", "is_reply")
     return found if max_results is None else found.limit(max_results)
 
 
 class Rules:
-    """The rules of a stream (value, tag): replaced as a whole, added, listed and deleted by id."""
+    """The rules of a stream (value, tag): replaced as a whole, added, listed and deleted by id; more of them than a stream takes are an error."""
+
+    MOST = 1000
 
     def __init__(self):
         self.rows: dict[str, tuple[str, str]] = {}
@@ -130,7 +177,10 @@ class Rules:
         self.add(rules)
 
     def add(self, rules: DataFrame) -> None:
-        for r in rules.limit(1000).collect():  # a stream takes a thousand rules at most
+        found = rules.distinct().limit(self.MOST + 1).collect()
+        if len(found) > self.MOST:
+            raise ValueError(f"a stream takes {self.MOST} rules at most")
+        for r in found:
             self.rows[hashlib.sha256(f"{r['value']}|{r['tag']}".encode()).hexdigest()[:16]] = (r["value"], r["tag"])
 
     def get(self) -> list[tuple[str, str, str]]:
