@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from swarmlens.llm.components import components
 from swarmlens.operators.graphs import written
 
-THRESHOLD, TARGET_RECALL, SAMPLE, TRIALS = 0.95, 0.9995, 16384, 4096
+THRESHOLD, TARGET_RECALL, SAMPLE, TRIALS = 0.95, 0.999, 16384, 4096
 #: Vectors of a bucket whose pairs are listed, and of a tile of a dense region at most.
 BUCKET, TILE = 32, 4096
-_FEWEST_BITS, _MOST_BITS, _SALTS = 2, 24, 32
+_FEWEST_BITS, _MOST_BITS, _TABLES, _SALTS = 2, 24, 1 << 16, 32
 #: Rotations that are learned; where still more bits are needed, as of very few vectors, the rest are random.
 LEARNED = 16
 
@@ -96,7 +96,7 @@ def fit(x: np.ndarray, rows: int, threshold: float = THRESHOLD, target_recall: f
     aside -= (aside * some).sum(axis=1, keepdims=True) * some
     length = np.linalg.norm(aside, axis=1, keepdims=True)
     partner = np.where(length > 1e-9, threshold * some + math.sqrt(1 - threshold**2) * aside / np.maximum(length, 1e-9), some)
-    width = min(_MOST_BITS, max(_FEWEST_BITS, math.ceil(math.log2(max(rows, 2)))))
+    width = min(_MOST_BITS, max(_FEWEST_BITS, math.ceil(math.log2(max(rows, 2))) - 2))  # about four vectors a bucket: fewer tables than with one
     model, bits = {"mean": mean, "project": np.zeros((x.shape[1], 0)), "middle": np.zeros(0)}, [np.zeros((len(some), 0), bool)] * 2
     found, tables, turn = np.zeros(len(some), bool), 0, 0
     while found.mean() < target_recall:
@@ -116,7 +116,7 @@ def fit(x: np.ndarray, rows: int, threshold: float = THRESHOLD, target_recall: f
 
 
 def _codes(vectors: DataFrame, models: dict) -> DataFrame:
-    """(node, code, keys): the first code and the bucket of every table; a key holds length, table and bits."""
+    """(node, code, keys): the first code and the bucket of every table; a key holds the length's number, table and bits."""
     shared = vectors.sparkSession.sparkContext.broadcast(models)  # a few matrices a length
 
     def run(batches):
@@ -125,13 +125,13 @@ def _codes(vectors: DataFrame, models: dict) -> DataFrame:
             for size in np.unique(sizes).tolist():
                 m, part = shared.value[size], batch.filter(pa.array(sizes == size))
                 bits = _bits(m, units(part.column("v")))
-                keys = _keys(bits, m["width"], m["tables"]) | (m["number"] * 65536 + np.arange(m["tables"])) << _MOST_BITS
+                keys = _keys(bits, m["width"], m["tables"]) | (m["number"] * _TABLES + np.arange(m["tables"])) << _MOST_BITS
                 code = np.zeros((len(bits), 8), np.uint8)
                 packed = np.packbits(bits[:, : m["code"]], axis=1)
                 code[:, : packed.shape[1]] = packed
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(code.view(np.int64).ravel()), pa.array(np.full(len(bits), m["radius"]), pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "code", "radius", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(code.view(np.int64).ravel()), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "code", "keys"])
 
-    return vectors.select("node", "v").mapInArrow(run, "node bigint, code bigint, radius int, keys array<bigint>")
+    return vectors.select("node", "v").mapInArrow(run, "node bigint, code bigint, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -239,11 +239,12 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         some = distinct.where(F.size("v") == r["size"]).orderBy("h1", "h2").select("v").limit(sample).toArrow()
         models[r["size"]] = fit(units(some["v"]), r["count"], threshold, target_recall) | {"number": i}
     codes = written(_codes(distinct, models))
-    entries = codes.select(F.explode("keys").alias("key"), "node", "code", "radius")
+    entries = codes.select(F.explode("keys").alias("key"), "node", "code")
+    radius = F.get(F.array(*[F.lit(m["radius"]) for m in models.values()]), F.expr(f"int(key div {_TABLES << _MOST_BITS})")) if models else F.lit(0)
     counts = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = entries.join(counts.where(F.col("n") <= bucket).select(F.col("key").bitwiseXOR(F.lit(0).cast("bigint")).alias("key")), "key")
     other = met.select("key", F.col("node").alias("b"), F.col("code").alias("other"))
-    pairs = met.withColumnRenamed("node", "a").join(other, "key").where("a < b AND bit_count(code ^ other) <= radius").select("a", "b").distinct()
+    pairs = met.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= radius)).select("a", "b").distinct()
     hot = entries.select("key", "node").join(counts.where(F.col("n") > bucket).select(F.col("key").bitwiseXOR(F.lit(0).cast("bigint")).alias("key")), "key")
     dense = not counts.where(F.col("n") > bucket).isEmpty()
     if dense:
@@ -262,7 +263,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     roots = components(edges.select(key("a").alias("a"), key("b").alias("b")))
     nodes = distinct.select("node", "h1", "h2", "w", "least", key("node").alias("at")).join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
     nodes = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component")).select(F.concat("root", F.lit(b"")).alias("root"), "component")  # dealt anew, so that the nodes of a large component can be cut
     labels = written(nodes.join(least, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), "component", "w"))
     told = hashed.drop("v").join(labels, ["h1", "h2"], "left")
     out = told.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce("w", F.lit(1)).cast("bigint").alias("n_copies"))

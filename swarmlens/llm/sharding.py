@@ -9,8 +9,8 @@ directory is read off it ``TIER`` bits at a time from the top, only where the bi
 above did not fit, so at most 2**TIER sums meet in one of its nodes and no level is
 a hot key; further bits are taken from the documents of buckets still too large.
 
-Defined cases: null text has no bytes, a null id is hashed as the empty string;
-documents whose 60 key bits are all the same cannot be parted and keep depth 60
+Defined cases: null text has no bytes; a row without an id has the digest of its text as its key
+(null as the empty text), so different texts are parted; documents whose 60 key bits are all the same cannot be parted and keep depth 60
 (``fits`` is false if they exceed the limit, as for one document over it); an
 empty table gives an empty table; repeated rows share their shard.
 """
@@ -59,7 +59,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", t
     docs = docs.drop("n_bytes", "shard", "depth", "shard_bytes", "fits")
     key, leaf, other, place = fresh(docs, "_key", "_leaf", "_other", "_prefix")
     prefix = lambda depth: F.shiftrightunsigned(key, BITS - depth)
-    keyed = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).withColumn(key, F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("bigint"))
+    keyed = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")).withColumn(key, F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text|"), F.md5(F.coalesce(F.col(text), F.lit("")))))), 1, BITS // 4), 16, 10).cast("bigint"))
     sizes = keyed.select(key, "n_bytes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, max(4, math.ceil(math.log2(max(total / limit, 1))) + 4))
@@ -95,7 +95,7 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = f"""
-WITH k AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+WITH k AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text|' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
 d AS (SELECT r, depth, key >> (60 - depth) AS node, n_bytes FROM k, range(0, 61) AS s(depth)),
 n AS (SELECT depth, node, sum(n_bytes)::BIGINT AS node_bytes FROM d GROUP BY ALL HAVING sum(n_bytes) <= {LIMIT}),
 b AS (SELECT r, min(depth)::INTEGER AS depth, min_by(node_bytes, depth) AS shard_bytes FROM d JOIN n USING (depth, node) GROUP BY r)

@@ -34,6 +34,11 @@ def clashing(docs):
     return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
 
 
+def own_key(doc_id, text):
+    """What a row is drawn and dealt by: its id or, without one, its text's digest."""
+    return str(doc_id) if doc_id is not None else "text|" + hashlib.md5((text or "").encode()).hexdigest()
+
+
 def near_classes(texts):
     """A class number for each distinct text, by all pairs."""
     texts = sorted(set(texts))
@@ -79,7 +84,7 @@ def plain_mixed(rows):
     for r in rows:
         rate = total * mixing.WEIGHTS[r["source"]] / whole / listed[r["source"]] if r["source"] in listed else 1.0
         assert rate <= 16
-        u = int(hashlib.md5(f"{mixing.SEED}|{'' if r['doc_id'] is None else r['doc_id']}|0".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"{mixing.SEED}|{own_key(r['doc_id'], r['text'])}|0".encode()).hexdigest()[:13], 16) / 2**52
         n, term, cdf = 0, math.exp(-rate), math.exp(-rate)
         while cdf <= u:
             n += 1
@@ -312,20 +317,31 @@ def test_mixing_null_ids_and_repeated_rows(spark):
     assert out[5] % 4 == 0 and out[None] % 3 == 0 and 300 < sum(out.values()) < 520
 
 
+def test_rows_without_an_id_are_each_for_itself(spark):
+    """Different texts without an id: the mean rate is met, shards fit, and both equal their SQL."""
+    rows = [(None, "a", f"text {i}") for i in range(400)] + [(i, "a", "x") for i in range(100)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    copies = mixing.mix_sources(docs, {"a": 1}, epochs=2.0)
+    counts = Counter(r["text"] for r in copies.collect() if r["doc_id"] is None)
+    assert len(counts) > 300 and 650 < sum(counts.values()) < 950 and len({r["shuffle_key"] for r in copies.collect()}) == copies.count()
+    shards = sharding.assign_shards(docs, limit=200).collect()
+    assert all(r["fits"] for r in shards) and len({r["shard"] for r in shards}) > 15
+
+
 def test_sharding_like_the_sql_at_any_depth(spark):
     """Many levels: the histogram is deeper than a tier, and one row exceeds the limit."""
     random.seed(5)
     rows = [(i, "x" * random.choice([0, 1, 10, 300])) for i in range(3000)] + [(7, "y" * 5000), (None, "z")]
     found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=400).collect()
-    key = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    key = lambda i, t: int(hashlib.md5(own_key(i, t).encode()).hexdigest()[:15], 16)
     sums = Counter()
     for i, t in rows:
         for d in range(61):
-            sums[d, key(i) >> (60 - d)] += len(t)
+            sums[d, key(i, t) >> (60 - d)] += len(t)
     for r in found:
-        depth = next((d for d in range(61) if sums[d, key(r["doc_id"]) >> (60 - d)] <= 400), None)
+        depth = next((d for d in range(61) if sums[d, key(r["doc_id"], r["text"]) >> (60 - d)] <= 400), None)
         assert (r["depth"], r["fits"]) == (60 if depth is None else depth, depth is not None)
-        assert r["shard_bytes"] == (None if depth is None else sums[depth, key(r["doc_id"]) >> (60 - depth)])
+        assert r["shard_bytes"] == (None if depth is None else sums[depth, key(r["doc_id"], r["text"]) >> (60 - depth)])
 
 
 def test_ngram_join_null_ids_and_chained_blocks(spark):
