@@ -27,7 +27,7 @@ def sliding_rates(events: DataFrame, key: str, ts: str, window_s: int) -> DataFr
     span = us.groupBy(key).agg(F.min("us").alias("first"), F.max("us").alias("last"))
     grid = span.withColumn("m", F.expr(f"(last - first - 1) div {step}")).where("last > first").select(key, "first", F.explode(F.expr("sequence(0L, m)")).alias("i"))
     low, high = f"greatest(0L, (us - first - {w}) div {step} + if(us - first >= {w}, 1, 0))", f"least((us - first + {step - 1}) div {step} - 1, (last - first - 1) div {step})"
-    hits = matched(us, span, [key]).withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).where("low <= high").select(key, F.explode(F.expr("sequence(low, high)")).alias("i"))
+    hits = matched(us.where("us IS NOT NULL"), span, [key]).withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).where("low <= high").select(key, F.explode(F.expr("sequence(low, high)")).alias("i"))
     counts = hits.groupBy(key, "i").agg(F.count("*").alias("n"))
     filled = matched(grid, counts, [key, "i"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(key, "i", (F.col("first") + F.col("i") * step).alias("start_us"), "n", (F.col("n") / (window_s / 60.0)).alias("rate"))

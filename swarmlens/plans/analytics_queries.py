@@ -19,16 +19,19 @@ from swarmlens.plans.register import query, table
 from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events, posts
 
 _STEP = 360_000_000
-_RATES = f"""sp AS (SELECT event_type, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY event_type),
+#: A null type is named while the SQL joins on it.
+_KEY, _OUT = "coalesce(event_type, '(null)') AS event_type", "nullif(event_type, '(null)') AS event_type"
+_RATES = f"""tv AS MATERIALIZED (SELECT {_KEY}, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+sp AS (SELECT {_KEY}, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY ALL),
 gr AS (SELECT event_type, first, unnest(range(0, (last - first - 1) // {_STEP} + 1)) AS i FROM sp WHERE last > first),
-rt AS (SELECT gr.event_type, i, first + i * {_STEP} AS start_us, (SELECT count(*) FROM events e WHERE e.event_type IS NOT DISTINCT FROM gr.event_type AND epoch_us(e.ts) > first + i * {_STEP} AND epoch_us(e.ts) < first + i * {_STEP} + {10 * _STEP}) AS n FROM gr)"""
+rt AS (SELECT gr.event_type, i, first + i * {_STEP} AS start_us, (SELECT count(*) FROM tv WHERE tv.event_type = gr.event_type AND us > first + i * {_STEP} AND us < first + i * {_STEP} + {10 * _STEP}) AS n FROM gr)"""
 
 
 def rates(spark, sf_dir):
     return T.sliding_rates(table(spark, sf_dir, "events"), "event_type", "ts", 3600)
 
 
-@query("T1_sliding_rates", f"WITH {_RATES} SELECT event_type, i, start_us, n, round(n / 60.0::DOUBLE, 9) AS rate FROM rt")
+@query("T1_sliding_rates", f"WITH {_RATES} SELECT {_OUT}, i, start_us, n, round(n / 60.0::DOUBLE, 9) AS rate FROM rt")
 def sliding(spark, sf_dir):
     return rates(spark, sf_dir).withColumn("rate", F.round("rate", 9))
 
@@ -39,9 +42,9 @@ _CDF = "0.3989423::DOUBLE * exp(-z*z/2) * t * (0.3193815::DOUBLE + t*(-0.3565638
 @query("T2_burst", f"""WITH {_RATES}, st AS (SELECT event_type, avg(n / 60.0::DOUBLE) AS mean, stddev_pop(n / 60.0::DOUBLE) AS sigma, max(n) AS mx FROM rt GROUP BY event_type),
 pk AS (SELECT event_type, min(i) AS peak_i FROM rt JOIN st USING (event_type) WHERE n = mx GROUP BY event_type),
 eg AS (SELECT event_type, max(i + 1) FILTER (i <= peak_i) AS start_i, min(i) FILTER (i >= peak_i) AS end_i FROM rt JOIN st USING (event_type) JOIN pk USING (event_type) WHERE n < 0.3 * mx GROUP BY event_type),
-z AS (SELECT event_type, (mx / 60.0::DOUBLE - mean) / sigma AS z FROM st), c AS (SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type),
+z AS (SELECT event_type, (mx / 60.0::DOUBLE - mean) / sigma AS z FROM st), c AS (SELECT {_KEY}, count(*) AS n_events FROM events GROUP BY ALL),
 q AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM z)
-SELECT event_type, n_events, round(z, 6) AS z, z > 2 AS is_burst, round(least(1, abs(z) / 5) * least(1, n_events / 10.0::DOUBLE), 6) AS confidence, round(2 * {_CDF}, 6) AS p_value, start_i, peak_i, end_i FROM q JOIN c USING (event_type) JOIN pk USING (event_type) LEFT JOIN eg USING (event_type)""")
+SELECT {_OUT}, n_events, round(z, 6) AS z, z > 2 AS is_burst, round(least(1, abs(z) / 5) * least(1, n_events / 10.0::DOUBLE), 6) AS confidence, round(2 * {_CDF}, 6) AS p_value, start_i, peak_i, end_i FROM q JOIN c USING (event_type) JOIN pk USING (event_type) LEFT JOIN eg USING (event_type)""")
 def burst(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     out = T.bursts(T.sliding_rates(e, "event_type", "ts", 3600), e, "event_type")
@@ -103,7 +106,7 @@ def coordinated(spark, sf_dir):
     return out.select("event_type", "n", F.round("variance", 3).alias("variance"), F.round("score", 9).alias("score"), "is_coordinated")
 
 
-@query("A13_rate_statistics", f"WITH {_RATES} SELECT event_type, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sigma FROM rt GROUP BY event_type")
+@query("A13_rate_statistics", f"WITH {_RATES} SELECT {_OUT}, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sigma FROM rt GROUP BY ALL")
 def rate_stats(spark, sf_dir):
     return rates(spark, sf_dir).groupBy("event_type").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("sigma"))
 
