@@ -9,8 +9,8 @@ that holds most of its letters; its score is that share of the letters.
 
 Training counts cover every training row: each task adds its n-grams into tables
 of fixed size (``slots`` per order and language), which are summed by slice and
-collected; the model's size depends on ``slots`` and the number of languages
-(at most ``MOST_LANGS``, checked) alone.
+collected; the model's size depends on ``slots`` and the number of languages alone.
+Beyond ``MOST_LANGS`` languages each has as many fewer slots, so that the whole model stays of one size.
 
 Defined cases: null text or text without letters gives ``und`` with score 0 and
 no spans; rows without a language are not learned from; without any training row
@@ -20,12 +20,11 @@ as often as they occur; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
+import math
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +38,7 @@ SWITCH = 12.0
 _SLICES = 16
 
 
-def _characters(kinds: str) -> str:
-    """The characters whose general category starts with one of ``kinds``, as ranges of a pattern's class."""
-    inside = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
-    turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()))
-
-
-_WORDS = re.compile(f"[{_characters('L')}][{_characters('LM')}]*")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: First code points of script ranges (fixed values of the Unicode blocks): Latin, Greek, Cyrillic,
 #: Armenian, Hebrew, Arabic, other South Asian and South-East Asian, Georgian, Hangul, Ethiopic and
 #: others, Latin and Greek additions, kana, Han, Hangul, all else.
@@ -91,6 +83,8 @@ def _script(words: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> dict | None:
     """Log probabilities of n-gram slots by language and the scripts of each language; None without training rows."""
+    n_langs = docs.select(lang).distinct().count()
+    slots = max(64, slots >> max(0, math.ceil(math.log2(max(1, n_langs / MOST_LANGS)))))
     size = len(ORDERS) * slots + len(_SCRIPTS)
     width = -(-size // _SLICES)
 
@@ -124,10 +118,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
 
     kind = "lang string, slice int, counts binary"
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang)).mapInArrow(tidy(count), kind)
-    summed = rows.groupBy("lang", "slice").applyInArrow(add, kind).take(MOST_LANGS * _SLICES + 1)
+    summed = rows.groupBy("lang", "slice").applyInArrow(add, kind).collect()  # the model: rows of one language and slice
     langs = sorted({r["lang"] for r in summed})
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     if not langs:
         return None
     counts = np.zeros((size, len(langs)))
@@ -161,13 +153,13 @@ def viterbi(scores: np.ndarray, ids: list[np.ndarray], switch: float) -> list[np
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     if not len(order):
-        return [np.zeros(0, np.int16) for _ in ids]
+        return [np.zeros(0, np.int32) for _ in ids]
     size = sizes[order]
     flat = np.concatenate([ids[i] for i in order])
     start = np.cumsum(size) - size
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than each step
     stay = np.zeros((len(flat), scores.shape[1]), bool)
-    best = np.zeros(len(flat), np.int16)
+    best = np.zeros(len(flat), np.int32)
     state = scores[flat[start]].astype(np.float64)
     final = np.empty_like(state)
     for t in range(1, size[0]):
@@ -182,15 +174,15 @@ def viterbi(scores: np.ndarray, ids: list[np.ndarray], switch: float) -> list[np
         stay[at] = keep
         state = np.where(keep, state, top - switch) + scores[flat[at]]
     final[: len(state)] = state
-    labels = np.zeros(len(flat), np.int16)
-    now = final.argmax(axis=1).astype(np.int16)
+    labels = np.zeros(len(flat), np.int32)
+    now = final.argmax(axis=1).astype(np.int32)
     for t in range(size[0] - 1, 0, -1):
         k = active[t]
         at = start[:k] + t
         labels[at] = now[:k]
         now[:k] = np.where(stay[at, now[:k]], now[:k], best[at])
     labels[start] = now
-    out: list = [np.zeros(0, np.int16)] * len(ids)
+    out: list = [np.zeros(0, np.int32)] * len(ids)
     for i, a, n in zip(order, start, size):
         out[i] = labels[a : a + n]
     return out
