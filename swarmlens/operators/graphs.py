@@ -51,19 +51,19 @@ def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
     """
     ready(edges.sparkSession)
     order = order or (lambda node: node)
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct().checkpoint()
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct())
     open_, rounds = both, []
     while not open_.isEmpty():
-        fresh = open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u").checkpoint()
-        gone = open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct().checkpoint()
+        fresh = written(open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u"))
+        gone = written(open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct())
         inner = open_.join(gone, "u", "left_anti")
-        kept = inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v").checkpoint()
+        kept = written(inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
         # nodes whose neighbours have all gone are seeds of their own
         rounds += [fresh, inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")]
         open_ = kept
     if not rounds:
         return both.select(F.col("u").alias("id"), F.col("v").alias("seed")).limit(0)
-    seeds = reduce(DataFrame.union, rounds).checkpoint()
+    seeds = written(reduce(DataFrame.union, rounds))
     taken = both.join(seeds.select(F.col("u").alias("v")), "v", "left_semi").join(seeds, "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min_by("v", order(F.col("v"))).alias("seed"))
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +116,14 @@ def maintained(scores: DataFrame, as_of: str) -> DataFrame:
 
 
 class Store:
-    """Reputation scores as a table in buckets by id: a batch of ids reads the buckets it needs."""
+    """Reputation scores as a table in buckets by id: a batch of ids reads the buckets it needs.
+
+    A change is written as files of its own, and then becomes the store by one small file
+    that names, for each bucket, the change that it was last written by.  Files of that
+    kind are numbered and never overwritten: a reader takes the latest, so a
+    change that breaks off leaves the store as it was, and two writers of one number
+    cannot both succeed.  A change reads and writes its own buckets alone.
+    """
 
     BUCKETS = 64
 
@@ -123,22 +133,78 @@ class Store:
     def _placed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.BUCKETS)).cast("int"))
 
+    def _files(self, spark):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self, spark) -> tuple[int, dict[int, str]]:
+        """The latest version's number and the folder of each bucket; -1 and nothing where there is none."""
+        place, files = self._files(spark)
+        numbers = [int(f.getPath().getName()[1:]) for f in files.listStatus(place) if f.getPath().getName().startswith("v")] if files.exists(place) else []
+        if not numbers:
+            return -1, {}
+        line = spark.read.text(f"{self.path}/versions/v{max(numbers)}").first()[0]
+        return max(numbers), {int(k): v for k, v in json.loads(line).items()}
+
+    def _publish(self, spark, number: int, buckets: dict[int, str]) -> None:
+        place, files = self._files(spark)
+        files.mkdirs(place)
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/.draft-{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(json.dumps(buckets).encode())
+        out.close()
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/v{number}")
+        if files.exists(target) or not files.rename(draft, target):
+            files.delete(draft, False)
+            raise RuntimeError(f"version {number} was written by another")
+
+    def _read(self, spark, buckets: dict[int, str]) -> DataFrame | None:
+        folders = [f"{self.path}/data/{change}/bucket={b}" for b, change in buckets.items()]
+        return spark.read.parquet(*folders) if folders else None
+
+    def _change(self, spark, rows: DataFrame, touched: list[int], was: tuple[int, dict[int, str]]) -> None:
+        """``rows`` (with bucket) become the whole of the touched buckets."""
+        change = uuid.uuid4().hex
+        written_ = f"{self.path}/data/{change}"
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(written_)
+        number, before = was
+        there = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most BUCKETS numbers
+        self._publish(spark, number + 1, {b: c for b, c in before.items() if b not in touched} | {b: change for b in there})
+
+    def _buckets_of(self, ids: DataFrame) -> list[int]:
+        return sorted(r["bucket"] for r in ids.select("bucket").distinct().collect())
+
     def save(self, scores: DataFrame) -> None:
-        """Scores (id, ...) replace those that are there, whole."""
-        self._placed(scores).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        """Scores (id, ...) become the store, whole."""
+        spark, placed = scores.sparkSession, self._placed(scores)
+        was = self.version(spark)
+        self._change(spark, placed, list(was[1]), was)
+
+    def merge(self, scores: DataFrame) -> None:
+        """Scores (id, ...) replace those of their ids; all others stay."""
+        spark, placed = scores.sparkSession, self._placed(scores)
+        was, touched = self.version(spark), self._buckets_of(placed)
+        old = self._read(spark, {b: c for b, c in was[1].items() if b in touched})
+        rows = placed if old is None else placed.unionByName(self._placed(old.join(scores.select("id"), "id", "left_anti")))
+        self._change(spark, rows, touched, was)
 
     def load(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path).drop("bucket")
+        return self._read(spark, self.version(spark)[1])
 
     def load_batch(self, ids: DataFrame) -> DataFrame:
-        """The scores of some ids (id)."""
-        wanted = self._placed(ids.select("id").distinct())
-        return ids.sparkSession.read.parquet(self.path).join(wanted, ["bucket", "id"], "left_semi").drop("bucket")
+        """The scores of some ids (id), out of their buckets."""
+        wanted, (_, buckets) = self._placed(ids.select("id").distinct()), self.version(ids.sparkSession)
+        touched = self._buckets_of(wanted)
+        found = self._read(ids.sparkSession, {b: c for b, c in buckets.items() if b in touched})
+        return (self.load(ids.sparkSession).limit(0) if found is None else found).join(wanted.select("id"), "id", "left_semi")
 
     def delete(self, ids: DataFrame) -> None:
-        """Writes the store anew without some ids."""
-        kept = self.load(ids.sparkSession).join(ids.select("id"), "id", "left_anti").checkpoint()
-        self.save(kept)
+        """Takes some ids out of their buckets."""
+        spark, wanted = ids.sparkSession, self._placed(ids.select("id").distinct())
+        was, touched = self.version(spark), self._buckets_of(wanted)
+        old = self._read(spark, {b: c for b, c in was[1].items() if b in touched})
+        if old is not None:
+            self._change(spark, self._placed(old.join(wanted.select("id"), "id", "left_anti")), touched, was)
 
 
 def batch_reputation(known: DataFrame, store: Store, ids: DataFrame, as_of: str) -> DataFrame:
