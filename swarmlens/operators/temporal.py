@@ -119,3 +119,57 @@ def rate_baseline(events: DataFrame, key: str, ts: str, order: str, min_events:
     found = matched(rates, total, ["key"]).groupBy("key").agg(F.sum(F.col("rate") * weight).alias("average"), F.max("rate").alias("highest"), F.min("rate").alias("lowest"))
     filled = matched(total.select("key"), found, ["key"], "left").na.fill(0.0, ["average", "highest", "lowest"])
     return filled.withColumnRenamed("key", key)
+
+
+def hourly(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, hour, n): a row for each hour (number since the epoch) from a key's first to its last one, empty ones with 0."""
+    hours = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.expr(f"unix_micros(cast(`{ts}` AS timestamp)) div {3600 * MICRO}L").alias("hour"))
+    counts = hours.groupBy("key", "hour").agg(F.count("*").alias("n"))
+    grid = counts.groupBy("key").agg(F.min("hour").alias("first"), F.max("hour").alias("last")).select("key", F.explode(F.sequence("first", "last")).alias("hour"))
+    return matched(grid, counts, ["key", "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def ramps(events: DataFrame, key: str, ts: str, slack: float = 0.5, limit: float = 5.0) -> DataFrame:
+    """(key, direction, start_hour, alarm_hour, peak): keys whose hourly counts have risen ("up") or fallen ("down") gradually.
+
+    A cumulative sum adds up how far each hour is above (below) the key's mean by more than
+    ``slack`` deviations, and starts again at 0 where it would be negative.  The
+    first hour in which it is over ``limit`` deviations is the alarm; the ramp began after the last 0
+    before it; ``peak`` is the largest sum, in deviations.  Keys of one rate have no ramp.
+
+    Such a sum is the plain running sum less its least value so far (0 at most), so it is two
+    window aggregates over one row a key and hour, and no loop.
+    """
+    hours = hourly(events, key, ts)
+    stats = hours.groupBy("key").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sigma")).where("sigma > 0")
+    way = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.lit(1).alias("sign")), F.struct(F.lit("down").alias("direction"), F.lit(-1).alias("sign"))))
+    both = matched(hours, stats, ["key"]).withColumn("way", way).select("key", "hour", "sigma", "way.direction", (F.col("way.sign") * (F.col("n") - F.col("mean")) - slack * F.col("sigma")).alias("d"))
+    series = Window.partitionBy("key", "direction").orderBy("hour")
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    summed = both.withColumn("sum", F.sum("d").over(so_far))
+    summed = summed.withColumn("s", F.col("sum") - F.least(F.lit(0.0), F.min("sum").over(so_far)))
+    summed = summed.withColumn("zero", F.last(F.when(F.col("s") == 0, F.col("hour")), ignorenulls=True).over(so_far)).withColumn("first", F.first("hour").over(so_far))
+    alarm = F.when(F.col("s") > limit * F.col("sigma"), F.struct("hour", F.coalesce(F.col("zero") + 1, F.col("first")).alias("start")))
+    found = summed.withColumn("alarm", alarm).groupBy("key", "direction").agg(F.min("alarm").alias("alarm"), (F.max("s") / F.first("sigma")).alias("peak")).where("alarm IS NOT NULL")
+    return found.select(F.col("key").alias(key), "direction", F.col("alarm.start").alias("start_hour"), F.col("alarm.hour").alias("alarm_hour"), "peak")
+
+
+def flash_mobs(events: DataFrame, key: str, ts: str, account: str, sigmas: float = 2.0, min_accounts: int = 5) -> DataFrame:
+    """(key, start_hour, end_hour, n_events, accounts, new_accounts, is_flash_mob) of every burst: neighbouring hours of a key with more than ``sigmas`` deviations over its mean.
+
+    A burst is a flash mob if it has ``min_accounts`` accounts at least and all of them were first
+    seen inside it, over the events of all keys.  Events without an account count as events alone.
+    """
+    hours = hourly(events, key, ts)
+    stats = hours.groupBy("key").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sigma"))
+    hot = matched(hours, stats, ["key"]).where(F.col("n") > F.col("mean") + sigmas * F.col("sigma")).select("key", "hour", "n")
+    island = F.col("hour") - F.row_number().over(Window.partitionBy("key").orderBy("hour"))
+    hot = hot.withColumn("island", island)
+    bursts_ = hot.groupBy("key", "island").agg(F.min("hour").alias("start_hour"), F.max("hour").alias("end_hour"), F.sum("n").alias("n_events"))
+    seen = events.where(F.col(ts).isNotNull() & F.col(account).isNotNull()).select(F.col(key).alias("key"), F.expr(f"unix_micros(cast(`{ts}` AS timestamp)) div {3600 * MICRO}L").alias("hour"), F.col(account).alias("account")).distinct()
+    first = seen.groupBy("account").agg(F.min("hour").alias("first"))
+    inside = matched(seen, hot.select("key", "hour", "island"), ["key", "hour"]).select("key", "island", "account").distinct().join(first, "account")
+    placed = matched(inside, bursts_.select("key", "island", "start_hour"), ["key", "island"])
+    crowd = placed.groupBy("key", "island").agg(F.count("*").alias("accounts"), F.count_if(F.col("first") >= F.col("start_hour")).alias("new_accounts"))
+    out = matched(bursts_, crowd, ["key", "island"], "left").na.fill(0, ["accounts", "new_accounts"])
+    return out.select(F.col("key").alias(key), "start_hour", "end_hour", "n_events", "accounts", "new_accounts", ((F.col("accounts") >= min_accounts) & (F.col("accounts") == F.col("new_accounts"))).alias("is_flash_mob"))

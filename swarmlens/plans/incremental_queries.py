@@ -25,15 +25,15 @@ def _folder(spark, name: str) -> str:
 
 def _top(edges: str) -> str:
     return f"""bo AS (SELECT a AS id, b AS other, similarity FROM {edges} UNION ALL SELECT b, a, similarity FROM {edges})
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::INT AS rank, other, similarity FROM bo WHERE id % 100 = 0 QUALIFY rank <= 10"""
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::INT AS rank, other, similarity FROM bo WHERE id % 10 = 0 QUALIFY rank <= 10"""
 
 
 @query("L20_find_similar", f"WITH {MINHASH}, {_top('me')}")
 def find_similar(spark, sf_dir):
-    """The ten most similar texts of every hundredth id, out of an index on disk."""
+    """The ten most similar texts of every tenth id, out of an index on disk."""
     index = SignatureIndex(spark, _folder(spark, "index"), H, B)
     index.add(texts(spark, sf_dir), 0)
-    return index.find_similar(table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("id")), 10, T)
+    return index.find_similar(table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id")), 10, T)
 
 
 _UPKEPT = "t0 AS (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text),\nt AS (SELECT id, CASE WHEN id % 10 = 3 THEN concat('seen again ', text) ELSE text END AS text FROM t0 WHERE id % 10 <> 7 OR id % 20 = 7)"
@@ -48,7 +48,7 @@ def index_upkeep(spark, sf_dir):
     index.add(docs.where("id % 10 = 3").withColumn("text", F.concat(F.lit("seen again "), "text")), 1)
     index.delete(docs.where("id % 10 = 7").select("id"), 2)
     index.add(docs.where("id % 20 = 7"), 3)
-    found = index.find_similar(table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("id")), 10, T)
+    found = index.find_similar(table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id")), 10, T)
     return found.withColumn("living", F.lit(index.count()).cast("bigint"))
 
 

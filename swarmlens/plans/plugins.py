@@ -1,4 +1,4 @@
-"""Detection plugins: a registry of functions from posts to results, run side by side."""
+"""Detection plugins: a registry of functions from posts to results, run side by side, and plugins as table functions of SQL."""
 
 from __future__ import annotations
 
@@ -66,3 +66,26 @@ class Registry:
 
     def health(self) -> dict[str, int]:
         return {"healthy": len(self.plugins) - len(self.failures), "failed": len(self.failures)}
+
+
+def table_function(spark, name: str, start: Callable, step: Callable, result: Callable, returns: str) -> None:
+    """Make a plugin callable from SQL: ``SELECT * FROM name(TABLE(t) PARTITION BY key)``.
+
+    ``start()`` gives a partition's state, ``step(state, batch)`` takes an Arrow batch of some of
+    its rows and gives the state after them, and ``result(state)`` gives the partition's rows as an
+    Arrow table of the columns ``returns``.  Rows come in batches and only the state is held, so a
+    partition may be of any size; a plugin that raises fails the query that calls it.
+    """
+
+    class Plugin:
+        def __init__(self):
+            self.state = start()
+
+        def eval(self, batch):
+            self.state = step(self.state, batch)
+            return iter(())
+
+        def terminate(self):
+            yield result(self.state)
+
+    spark.udtf.register(name, F.arrow_udtf(Plugin, returnType=returns))

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators and their SQL."""
 
-from swarmlens.plans import analytics_queries, detection_queries, incremental_queries, report_queries, service_queries, similarity_queries, stream_queries  # noqa: F401
+from swarmlens.plans import analytics_queries, detection_queries, extension_queries, incremental_queries, report_queries, service_queries, similarity_queries, stream_queries  # noqa: F401
 from swarmlens.plans.register import ORACLE_SQL, QUERIES, query
 
 #: The queries that stand on clusters of equal texts.
