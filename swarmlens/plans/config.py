@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
+import yaml
+
 
 @dataclass(frozen=True)
 class DetectionConfig:
@@ -39,19 +41,29 @@ class DetectionConfig:
 
 
 def load_config(path: str) -> DetectionConfig:
-    """``name: value`` lines over the defaults; environment variables expand; a missing file is written with the defaults."""
+    """The ``detection`` section of a YAML file (or its top level, if it has none) over the defaults.
+
+    Environment variables expand; other sections are left alone, and a setting that is not
+    known, or of a wrong kind, is an error.  A missing file is written with the defaults.
+    """
     known = {f.name: type(f.default) for f in fields(DetectionConfig)}
     if not os.path.exists(path):
         with open(path, "w") as out:
-            out.writelines(f"{f.name}: {f.default}\n" for f in fields(DetectionConfig))
+            yaml.safe_dump({"detection": {f.name: f.default for f in fields(DetectionConfig)}}, out, sort_keys=False)
         return DetectionConfig()
-    given = {}
     with open(path) as lines:
-        for line in lines:
-            name, colon, value = os.path.expandvars(line.split("#")[0]).partition(":")
-            if colon and name.strip() in known:
-                kind, value = known[name.strip()], value.strip()
-                given[name.strip()] = value.lower() in ("true", "yes", "1") if kind is bool else kind(value)
+        found = yaml.safe_load(os.path.expandvars(lines.read())) or {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no settings")
+    section = found.get("detection", {k: v for k, v in found.items() if not isinstance(v, dict)}) or {}
+    if unknown := sorted(set(section) - set(known)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    given = {}
+    for name, value in section.items():
+        kind = known[name]
+        if isinstance(value, bool) != (kind is bool) or not isinstance(value, (bool, int, float)) or kind is int and value != int(value):
+            raise ValueError(f"{name} must be of type {kind.__name__}")
+        given[name] = kind(value)
     return DetectionConfig(**given)
 
 

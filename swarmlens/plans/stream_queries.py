@@ -13,17 +13,20 @@ from swarmlens.sources.adapters import POSTS_SQL, events, posts
 from swarmlens.streaming import jobs
 
 
+def _latest(spark, counts, name: str, keys: list[str]):
+    """The last count of each key that a stream in update mode gave out, batch by batch."""
+    graphs.ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+    jobs.to_sink(counts, lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"), f"{folder}/checkpoint", mode="update").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 @query("T10_microbatch", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
 def microbatch(spark, sf_dir):
-    """Events as a file stream, drained in complete mode."""
-    graphs.ready(spark)
-    schema = table(spark, sf_dir, "events").schema
-    name = f"drained_{uuid.uuid4().hex}"
+    """Events as a file stream, drained in update mode into a table of the latest counts."""
     # a file source wants a folder: the glob makes one of a single file
-    stream = jobs.stream_events(spark, f"{sf_dir}/events*.parquet", schema)
-    counts = stream.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{spark.sparkContext.getCheckpointDir()}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    stream = jobs.stream_events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
+    return _latest(spark, stream.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")), "drained", ["event_type", "day"])
 
 
 @query("T6_ewma_baseline", """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS rate FROM events WHERE ts IS NOT NULL)
@@ -34,12 +37,9 @@ def baseline(spark, sf_dir):
 
 @query("T7_watermark_counts", "SELECT event_type, epoch_us(ts) // 360000000 * 360000000 - i * 360000000 AS start_us, count(*) AS n FROM events, range(10) AS s(i) GROUP BY ALL")
 def watermark_counts(spark, sf_dir):
-    """Sliding windows under a watermark of ten windows, drained from a stream."""
-    graphs.ready(spark)
-    name = f"windows_{uuid.uuid4().hex}"
+    """Sliding windows under a watermark of ten windows, drained from a stream in update mode: state behind the watermark is let go."""
     counts = jobs.windowed_counts(jobs.stream_events(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{spark.sparkContext.getCheckpointDir()}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("event_type", F.unix_micros("start").alias("start_us"), "n")
+    return _latest(spark, counts, "windows", ["start", "event_type"]).select("event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query("K3_batch_sink", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
