@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def digest(value: Column, salt: str) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(salt), value), 256), 1, 16)
 
 
+def hmac(value: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text under a key, as hex digits: two digests over the key's two pads, in column functions alone.
+
+    Null stays null; a key of more than 64 bytes counts as its own digest.
+    """
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, value.cast("binary")), 256))), 256)
+
+
 def pseudonym(value: Column, salt: str, kind: str) -> Column:
     prefix = {"author_id": "USER", "account_id": "USER", "tweet_id": "TWEET", "cluster_id": "CLUSTER"}.get(kind, "ID")
     return F.concat(F.lit(prefix + "_"), F.upper(F.substring(digest(value, salt), 1, 8)))

@@ -14,8 +14,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swarmlens.functions.names import matched
 from swarmlens.functions.text import hash64, long_words, shingles, token_code, weighted_features
 from swarmlens.operators.graphs import ready
+from swarmlens.operators.ordering import ranked
 
 PRIME = (1 << 31) - 1
 #: Multipliers and offsets of the hash family (fixed: the SQL form repeats them).
@@ -157,3 +159,19 @@ def hybrid(minhash_edges: DataFrame, simhash_edges: DataFrame, strategy: str, th
     w = adaptive_weights() if strategy == "adaptive" else weights
     value = {"weighted": m * w[0] + s * w[1], "adaptive": m * w[0] + s * w[1], "max": F.greatest(m, s), "min": F.least(m, s), "consensus": (m + s) / 2}[strategy]
     return both.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def algorithm_statistics(runs: DataFrame) -> DataFrame:
+    """(algorithm, queries, avg_response, tp, fp, tn, fn, accuracy) of runs (algorithm, ts, id, response, tp, fp, tn, fn).
+
+    The mean response is the half of the mean so far and the new one, run by run, and starts
+    with the first response that is not 0; as a sum it weighs a run by a power of 1/2 of the runs
+    after it.  Counts of judged pairs add up; without any there is no accuracy.
+    """
+    counted = ranked(runs, "algorithm", "ts", ["id"], "k").withColumn("used", F.when(F.col("response") > 0, F.col("k")))
+    first = counted.groupBy("algorithm").agg(F.min("used").alias("first"), F.max("k").alias("last"))
+    each = matched(counted, first, ["algorithm"])
+    weight = F.when(F.col("k") >= F.col("first"), F.pow(F.lit(0.5), F.col("last") - F.col("k") + (F.col("k") != F.col("first")).cast("int"))).otherwise(0.0)
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]
+    out = each.groupBy("algorithm").agg(F.count("*").alias("queries"), F.sum(F.col("response") * weight).alias("avg_response"), *sums)
+    return out.withColumn("accuracy", F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))

@@ -57,11 +57,13 @@ def autocorrelation(series: DataFrame, keys: list[str], order: str, value: str)
 
 def periods(events: DataFrame, key: str, ts: str, low_min: int, high_min: int) -> DataFrame:
     """(key, period_min, correlation): every period of whole minutes over counts in whole buckets, empty ones as 0."""
-    us = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    us = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("us IS NOT NULL")
     span = us.groupBy(key).agg(F.min("us").alias("first"), (F.max("us") - F.min("us")).alias("length"))
+    # a bucket is some whole minutes from the key's first event: events are counted by minute once, whatever the number of periods
+    minutes = matched(us, span, [key]).withColumn("minute", F.expr(f"(us - first) div {60 * MICRO}L")).groupBy(key, "minute").agg(F.count("*").alias("n"))
     grid = span.withColumn("period_min", F.explode(F.sequence(F.lit(low_min), F.lit(high_min)))).withColumn("buckets", F.expr(f"length div (period_min * {60 * MICRO}L)")).where("buckets >= 2")
     cells = grid.select(key, "period_min", F.explode(F.expr("sequence(0L, buckets - 1)")).alias("bucket"))
-    counts = matched(us, grid, [key]).withColumn("bucket", F.expr(f"(us - first) div (period_min * {60 * MICRO}L)")).where("bucket < buckets").groupBy(key, "period_min", "bucket").agg(F.count("*").alias("n"))
+    counts = matched(minutes, grid, [key]).withColumn("bucket", F.expr("minute div period_min")).where("bucket < buckets").groupBy(key, "period_min", "bucket").agg(F.sum("n").alias("n"))
     series = matched(cells, counts, [key, "period_min", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
     return autocorrelation(series, [key, "period_min"], "bucket", "n")
 

@@ -52,7 +52,7 @@ def burst(spark, sf_dir):
 
 
 @query("T3_periodic", """WITH us AS (SELECT event_type, epoch_us(ts) AS us FROM events), sp AS (SELECT event_type, min(us) AS first, max(us) - min(us) AS len FROM us GROUP BY event_type),
-g AS (SELECT event_type, first, p::INT AS period_min, len // (p::BIGINT * 60000000) AS nb FROM sp, range(60, 91) AS s(p) WHERE len // (p::BIGINT * 60000000) >= 2),
+g AS (SELECT event_type, first, p::INT AS period_min, len // (p::BIGINT * 60000000) AS nb FROM sp, range(20, 241) AS s(p) WHERE len // (p::BIGINT * 60000000) >= 2),
 ce AS (SELECT event_type, period_min, unnest(range(0, nb)) AS b FROM g),
 co AS (SELECT event_type, period_min, (us - first) // (period_min::BIGINT * 60000000) AS b, count(*) AS n FROM us JOIN g USING (event_type) GROUP BY ALL),
 se AS (SELECT ce.event_type, ce.period_min, ce.b, coalesce(n, 0)::DOUBLE AS n FROM ce LEFT JOIN co ON ce.event_type = co.event_type AND ce.period_min = co.period_min AND ce.b = co.b),
@@ -62,8 +62,8 @@ c AS (SELECT event_type, period_min, CASE WHEN sum(d * d) = 0 THEN 0 ELSE sum(d
 n AS (SELECT event_type, count(*) AS n, (max(us) - min(us)) / 3.6e9::DOUBLE AS hours FROM us GROUP BY event_type HAVING count(*) >= 10)
 SELECT event_type, period_min, round(r, 6) AS correlation, r > 0.7 AS is_periodic, round(n / hours, 6) AS frequency, CASE WHEN r * n / 100 > 0.8 THEN 'critical' WHEN r * n / 100 > 0.6 THEN 'high' WHEN r * n / 100 > 0.4 THEN 'medium' ELSE 'low' END AS severity FROM c JOIN n USING (event_type)""")
 def periodic(spark, sf_dir):
-    """Every period of 60 to 90 minutes, whether it is one, and how often a key's events come."""
-    out = T.periodic_patterns(table(spark, sf_dir, "events"), "event_type", "ts", 60, 90)
+    """Every period of 20 to 240 minutes, whether it is one, and how often a key's events come."""
+    out = T.periodic_patterns(table(spark, sf_dir, "events"), "event_type", "ts", 20, 240)
     return out.withColumns({c: F.round(c, 6) for c in ("correlation", "frequency")})
 
 

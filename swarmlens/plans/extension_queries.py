@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from swarmlens.operators import audit, graphs, summaries
 from swarmlens.operators import temporal as T
-from swarmlens.operators.privacy import pseudonym
+from swarmlens.operators.privacy import hmac, pseudonym
+from swarmlens.operators.similarity import algorithm_statistics
 from swarmlens.plans.detection_queries import members
 from swarmlens.plans.detection_queries import _MEMBERS
 from swarmlens.plans.plugins import table_function
 from swarmlens.plans.register import query, table
-from swarmlens.sources.adapters import POSTS_SQL, events, posts
+from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, accounts, events, posts
 
 _HOURLY = """hc AS (SELECT {key} AS key, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL),
 hg AS (SELECT key, unnest(range(min(hour), max(hour) + 1)) AS hour FROM hc GROUP BY key),
@@ -121,3 +122,35 @@ def cluster_plugin(spark, sf_dir):
     view = f"members_{uuid.uuid4().hex}"
     members(spark, sf_dir).where("created_at IS NOT NULL").select("cluster_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us")).createOrReplaceTempView(view)
     return spark.sql(f"SELECT * FROM cluster_span(TABLE({view}) PARTITION BY cluster_id)")
+
+
+_PADS = [bytes(b ^ pad for b in b"a key for every field".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query("F7_hmac", f"SELECT c_custkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(c_name)))) AS mac FROM customer")
+def keyed_digests(spark, sf_dir):
+    """HMAC-SHA256 of every customer's name."""
+    return table(spark, sf_dir, "customer").select("c_custkey", hmac(F.col("c_name"), b"a key for every field").alias("mac"))
+
+
+@query("L29_algorithm_stats", """WITH RECURSIVE r AS (SELECT event_type AS algorithm, floor(value)::DOUBLE AS response, (event_id % 5 = 0)::INT AS tp, (event_id % 5 = 1)::INT AS fp, (event_id % 5 > 1)::INT AS tn, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+f(algorithm, k, m) AS (SELECT algorithm, k, response FROM r WHERE k = 1 UNION ALL SELECT r.algorithm, r.k, CASE WHEN f.m = 0 THEN r.response ELSE (f.m + r.response) / 2 END FROM f JOIN r ON r.algorithm = f.algorithm AND r.k = f.k + 1),
+l AS (SELECT algorithm, arg_max(m, k) AS m FROM f GROUP BY algorithm)
+SELECT algorithm, count(*) AS queries, round(any_value(m), 6) AS avg_response, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, 0::BIGINT AS fn, round(sum(tp + tn) / sum(tp + fp + tn)::DOUBLE, 9) AS accuracy FROM r JOIN l USING (algorithm) GROUP BY algorithm""")
+def algorithm_stats(spark, sf_dir):
+    """Events as runs of five algorithms: smoothed response times, and judged counts that add up."""
+    e, n = events(spark, sf_dir), F.col("event_id") % 5
+    runs = e.select(F.col("event_type").alias("algorithm"), "ts", F.col("event_id").alias("id"), F.floor("value").cast("double").alias("response"), (n == 0).cast("int").alias("tp"), (n == 1).cast("int").alias("fp"), (n > 1).cast("int").alias("tn"), F.lit(0).alias("fn"))
+    return algorithm_statistics(runs).withColumns({c: F.round(c, d) for c, d in (("avg_response", 6), ("accuracy", 9))})
+
+
+@query("K2_read_posts", f"WITH {POSTS_SQL} SELECT id, author_id, created_at FROM p ORDER BY created_at DESC, id LIMIT 100")
+def read_posts(spark, sf_dir):
+    """The newest hundred posts, as a reader asks for them; the limit is the feature."""
+    return posts(spark, sf_dir).select("id", "author_id", "created_at").orderBy(F.desc("created_at"), "id").limit(100)
+
+
+@query("K2_read_accounts", f"WITH {ACCOUNTS_SQL} SELECT id, username, bot_score FROM acc WHERE bot_score > 0.5 ORDER BY bot_score DESC, id LIMIT 100")
+def read_accounts(spark, sf_dir):
+    """The hundred most suspicious accounts, as a reader asks for them; the limit is the feature."""
+    return accounts(spark, sf_dir).where("bot_score > 0.5").select("id", "username", "bot_score").orderBy(F.desc("bot_score"), "id").limit(100)

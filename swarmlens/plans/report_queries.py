@@ -27,9 +27,12 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@query("S6_sample_posts", f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in sample.sample_rows())}) AS s(campaign, username, text)")
+@query("S6_sample_posts", f"WITH s AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in sample.sample_rows())}) AS s(campaign, username, text)), d AS (SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT s.*, coalesce(n, 0) AS n_documents FROM s LEFT JOIN d USING (text)")
 def sample_posts(spark, sf_dir):
-    return spark.createDataFrame(sample.sample_rows(), "campaign string, username string, text string")
+    """The sample posts, each with the number of documents of the very same text."""
+    rows = spark.createDataFrame(sample.sample_rows(), "campaign string, username string, text string")
+    same = table(spark, sf_dir, "documents").join(F.broadcast(rows.select("text").distinct()), "text").groupBy("text").agg(F.count("*").alias("n"))  # thirty rows
+    return rows.join(same, "text", "left").select("campaign", "username", "text", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 @query("S8_wire_posts", """SELECT doc_id::VARCHAR AS id, 'u' || source AS username, md5(text) AS text_md5, (doc_id % 7)::INT AS retweet_count FROM documents WHERE text IS NOT NULL""")

@@ -177,10 +177,13 @@ def highest_rate(spark, sf_dir):
     return rates(spark, sf_dir).groupBy("event_type").agg(F.round(F.coalesce(F.max("rate"), F.lit(0.0)), 9).alias("rate"))
 
 
-@query("F28_shown_names", "SELECT * FROM (VALUES ('slack', 'Slack', 'Unknown', 'Unknown'), ('flash_mob', 'Unknown', 'Flash Mob', 'Unknown'), ('low', 'Unknown', 'Unknown', 'LOW'), (NULL, 'Unknown', 'Unknown', 'Unknown')) AS s(value, channel, pattern, severity)")
+@query("F28_shown_names", """SELECT event_id, value, CASE WHEN value = 'slack' THEN 'Slack' ELSE 'Unknown' END AS channel, CASE WHEN value = 'flash_mob' THEN 'Flash Mob' ELSE 'Unknown' END AS pattern, CASE WHEN value = 'low' THEN 'LOW' ELSE 'Unknown' END AS severity
+FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'slack' WHEN 'view' THEN 'flash_mob' WHEN 'error' THEN 'low' WHEN 'signup' THEN NULL ELSE event_type END AS value FROM events)""")
 def shown_names(spark, sf_dir):
-    values = spark.createDataFrame([("slack",), ("flash_mob",), ("low",), (None,)], "value string")
-    return values.select("value", *[scores.shown(k, F.col("value")).alias(k) for k in scores.NAMES])
+    """The shown names of every event's type, three of which stand for a channel, a pattern and a severity."""
+    kind = F.col("event_type")
+    value = F.when(kind == "click", "slack").when(kind == "view", "flash_mob").when(kind == "error", "low").when(kind == "signup", F.lit(None)).otherwise(kind)
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value")).select("event_id", "value", *[scores.shown(k, F.col("value")).alias(k) for k in scores.NAMES])
 
 
 @query("A9_running_totals", "SELECT event_id, count(*) OVER w AS total, count(*) FILTER (event_type = 'error') OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")

@@ -8,7 +8,7 @@ from swarmlens.functions.text import bare, long_words, shingles, weighted_featur
 from swarmlens.operators import graphs
 from swarmlens.operators import similarity as S
 from swarmlens.operators.engine import near_clusters
-from swarmlens.plans.config import DetectionConfig, banding, heuristic_bands
+from swarmlens.plans.config import DetectionConfig, heuristic_bands
 from swarmlens.plans.register import query, table
 
 CONFIG = DetectionConfig()
@@ -84,17 +84,29 @@ def exact_jaccard(spark, sf_dir):
     return both.select("a", "b", F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 9).alias("jaccard"))
 
 
-_TUNED = "SELECT t::DOUBLE AS threshold, min_by(b, (abs(1 - pow(1 - pow(t::DOUBLE, 128 / b), b) - t::DOUBLE), b))::INT AS bands, (128 / min_by(b, (abs(1 - pow(1 - pow(t::DOUBLE, 128 / b), b) - t::DOUBLE), b)))::INT AS rows FROM (VALUES (0.4), (0.5), (0.6), (0.7), (0.8), (0.9)) AS s(t), (VALUES (1), (2), (4), (8), (16), (32), (64), (128)) AS d(b) GROUP BY t"
+_THRESHOLDS = "(SELECT DISTINCT round(l_discount * 10, 1) AS t FROM lineitem WHERE l_discount BETWEEN 0 AND 0.1)"
+_TUNED = f"SELECT t::DOUBLE AS threshold, min_by(b, (abs(1 - pow(1 - pow(t::DOUBLE, 128 / b), b) - t::DOUBLE), b))::INT AS bands, (128 / min_by(b, (abs(1 - pow(1 - pow(t::DOUBLE, 128 / b), b) - t::DOUBLE), b)))::INT AS rows FROM {_THRESHOLDS} AS s(t), (VALUES (1), (2), (4), (8), (16), (32), (64), (128)) AS d(b) GROUP BY t"
+
+
+def _thresholds(spark, sf_dir):
+    """The distinct discounts of line items, ten times as large, as thresholds."""
+    return table(spark, sf_dir, "lineitem").where("l_discount BETWEEN 0 AND 0.1").select(F.round(F.col("l_discount") * 10, 1).cast("double").alias("threshold")).distinct()
 
 
 @query("L7_optimal_params", _TUNED)
 def optimal_params(spark, sf_dir):
-    return spark.createDataFrame([(t, *banding(t, 128)) for t in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)], "threshold double, bands int, rows int")
+    """The best bands and rows of 128 hashes for each threshold of a table."""
+    t = F.col("threshold")
+    tried = F.array(*[F.struct(F.abs(1 - F.pow(1 - F.pow(t, F.lit(128 / b)), F.lit(float(b))) - t).alias("off"), F.lit(b).alias("bands"), F.lit(128 // b).alias("rows")) for b in (1, 2, 4, 8, 16, 32, 64, 128)])
+    return _thresholds(spark, sf_dir).withColumn("best", F.array_min(tried)).select("threshold", "best.bands", "best.rows")
 
 
-@query("L8_heuristic_params", "SELECT t::DOUBLE AS threshold, (CASE WHEN t >= 0.8 THEN 32 WHEN t >= 0.6 THEN 16 ELSE 8 END)::INT AS bands FROM (VALUES (0.4), (0.6), (0.8), (0.9)) AS s(t)")
+@query("L8_heuristic_params", f"SELECT t::DOUBLE AS threshold, (CASE WHEN t >= 0.8 THEN 32 WHEN t >= 0.6 THEN 16 ELSE 8 END)::INT AS bands FROM {_THRESHOLDS} AS s(t)")
 def heuristic_params(spark, sf_dir):
-    return spark.createDataFrame([(t, heuristic_bands(t)) for t in (0.4, 0.6, 0.8, 0.9)], "threshold double, bands int")
+    """The rule of thumb for each threshold of a table."""
+    t = F.col("threshold")
+    bands = F.when(t >= 0.8, heuristic_bands(0.8)).when(t >= 0.6, heuristic_bands(0.6)).otherwise(heuristic_bands(0.0))
+    return _thresholds(spark, sf_dir).select("threshold", bands.alias("bands"))
 
 
 @query("L9_simhash_features", f"WITH {_TEXTS},\n{_FEATURES} SELECT id, count(*) AS n_occurrences, count(DISTINCT feature) AS n_features FROM f GROUP BY id")
