@@ -89,6 +89,9 @@ def followers(keys: DataFrame, parts: int) -> DataFrame:
 def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Per document (doc_id, text): its edited text's digest, both fingerprints and their likeness, and that to the next document.
 
+    A fingerprint is the list of its distinct hashes in order of position, joined by one
+    space, so that any two rows can be compared by it; ``fingerprints`` keeps the positions.
+
     Texts and hashes are shuffled once by document; that exchange serves both as each
     document's own row and as its predecessor's next document.
     """
@@ -104,9 +107,9 @@ def compare_with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     both = whole.hint("merge").join(heads, ["id", "none", "th"])
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), "head"))
     both = _winnowed(both, "edited", "e_sel", k, window).withColumn("e_fp", _hashes("e_sel"))
-    digest = lambda fp: F.sha2(F.col(fp).cast("string"), 256)
+    listed = lambda fp: F.array_join(F.col(fp).cast("array<string>"), " ")
     return both.select(
-        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("fp").alias("fingerprint"), digest("e_fp").alias("edited_fingerprint"),
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), listed("fp").alias("fingerprint"), listed("e_fp").alias("edited_fingerprint"),
         _likeness("fp", "e_fp").alias("near_edited"), _likeness("fp", "n_fp").alias("near_next"),
     )
 
