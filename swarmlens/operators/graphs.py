@@ -21,8 +21,21 @@ def ready(spark) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphs"))
 
 
+#: The tables that ``written`` made, for ``forget``.
+_TABLES: list[str] = []
+
+
+def forget(spark) -> int:
+    """Delete the tables that ``written`` made in this process, once the results that stand on them are written; how many there were."""
+    gone = 0
+    while _TABLES:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return gone
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder, read again.
+    """The rows as a table in the checkpoint folder, read again; ``forget`` removes such tables.
 
     This cuts the plan as checkpoint() does, and the planner's size estimates as well.
     A checkpointed frame keeps the estimate of the plan that it came from, and joins
@@ -32,6 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     ready(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from swarmlens.functions.names import matched
 from swarmlens.functions.text import hash64, long_words, shingles, token_code, weighted_features
-from swarmlens.operators.graphs import ready
+from swarmlens.operators.graphs import connected_components, ready, written
 from swarmlens.operators.ordering import ranked
 
 PRIME = (1 << 31) - 1
@@ -80,6 +80,32 @@ def minhash_pairs(docs: DataFrame, hashes: int = 128, count: int = 16, threshold
     return near.where(batch(F.col("a")) == batch(F.col("b"))) if batch is not None else near
 
 
+def minhash_links(docs: DataFrame, hashes: int = 128, count: int = 16, threshold: float = 0.7) -> DataFrame:
+    """(a, b) of pairs that ``minhash_pairs`` would give, fewer of them, with the same components.
+
+    Every text is tied to the least text of each of its buckets, and ties that hold are
+    links.  Only where a bucket still has texts of several components are its pairs
+    between those compared, so n near copies cost n ties in a bucket and no pair more.
+    """
+    signatures = kept(minhash(docs, hashes))
+    keyed = bands(signatures, hashes, count)
+    hubs = keyed.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        return both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z)) / F.lit(float(hashes)) >= threshold).select("a", "b")
+
+    ties = keyed.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(near(ties))
+    labels = connected_components(links).select("id", F.col("component").alias("label"))
+    shared = keyed.join(hubs, ["band", "key"]).join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
+    several = shared.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
+    open_ = written(shared.join(several, ["band", "key"]))
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
+    return links.union(near(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+
+
 def simhash(docs: DataFrame) -> DataFrame:
     """(id, simhash): signed sums of the feature hashes' bits; 0 without features."""
     occurrences = weighted_features(docs, "text").select("id", F.explode_outer("features").alias("feature")).select("id", hash64(F.col("feature")).alias("h"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -229,18 +231,20 @@ def cluster_plugins(spark, sf_dir):
 
 
 @query("X10_sql_functions", f"""WITH t AS (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
-{SIMHASH} SELECT x.id, bit_count(xor(x.v, y.v))::INT AS distance FROM sim x, sim y WHERE y.id = 0""")
+{SIMHASH} SELECT x.id, bit_count(xor(x.v, y.v))::INT AS distance FROM sim x, sim y WHERE y.id = (SELECT min(id) FROM sim)""")
 def sql_functions(spark, sf_dir):
     """The engine's functions in plain SQL: the distance of every text's SimHash from the first text's."""
     register(spark)
     hashes = S.simhash(texts(spark, sf_dir))
-    first = hashes.where("id = 0").select(F.col("simhash").alias("h0"))  # one row
-    hashes.join(F.broadcast(first), F.lit(True)).createOrReplaceTempView("_hashes")
-    return spark.sql("SELECT id, simhash_distance(simhash, h0) AS distance FROM _hashes")
+    first = hashes.agg(F.min_by("simhash", "id").alias("h0"))  # one row
+    view = f"hashes_{uuid.uuid4().hex}"
+    hashes.join(F.broadcast(first), F.lit(True)).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT id, simhash_distance(simhash, h0) AS distance FROM {view}")
 
 
 @query("X10_sql_scores", f"WITH {POSTS_SQL} SELECT id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: true)) AS n_words, round(exp(-0.1::DOUBLE * (id % 30)) * 0.9 + 0.5::DOUBLE * (1 - exp(-0.1::DOUBLE * (id % 30))), 9) AS decayed, CASE WHEN strlen(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS short FROM p WHERE text IS NOT NULL")
 def sql_scores(spark, sf_dir):
     register(spark)
-    posts(spark, sf_dir).where("text IS NOT NULL").createOrReplaceTempView("_posts")
-    return spark.sql("SELECT id, cast(word_count(text) AS bigint) AS n_words, round(decayed_score(0.9D, cast(id % 30 AS double)), 9) AS decayed, shortened(text) AS short FROM _posts")
+    view = f"posts_{uuid.uuid4().hex}"
+    posts(spark, sf_dir).where("text IS NOT NULL").createOrReplaceTempView(view)
+    return spark.sql("SELECT id, cast(word_count(text) AS bigint) AS n_words, round(decayed_score(0.9D, cast(id % 30 AS double)), 9) AS decayed, shortened(text) AS short FROM " + view)

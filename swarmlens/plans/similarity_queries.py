@@ -165,7 +165,8 @@ def either_algorithm(spark, sf_dir):
 
 @query("X2_connected_components", f"WITH RECURSIVE {MINHASH}, e AS (SELECT a, b FROM me UNION ALL SELECT b, a FROM me), c(id, r) AS (SELECT a, a FROM e UNION SELECT c.id, e.b FROM c JOIN e ON c.r = e.a) SELECT id, min(r) AS component FROM c GROUP BY id")
 def components(spark, sf_dir):
-    return graphs.connected_components(S.minhash_pairs(texts(spark, sf_dir), H, B, T))
+    """Components of near-duplicate texts, out of links to the least text of each bucket."""
+    return graphs.connected_components(S.minhash_links(texts(spark, sf_dir), H, B, T))
 
 
 def leaders_sql(edges: str, prefix: str = "") -> str:

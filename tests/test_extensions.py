@@ -117,3 +117,36 @@ def test_nested_settings(tmp_path, monkeypatch):
         path.write_text(wrong)
         with pytest.raises(ValueError):
             load_config(str(path))
+
+
+def test_links_have_the_components_of_all_pairs(spark):
+    from swarmlens.operators import graphs, similarity
+
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        base = r.choices(words, k=20)
+        rows += [" ".join([*base[: r.randint(14, 20)], *r.choices(words, k=r.randint(0, 3))]) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(dict.fromkeys(rows))), "id bigint, text string")
+    parts = lambda edges: {(x["id"], x["component"]) for x in graphs.connected_components(edges).collect()}
+    pairs, links = (f(docs, 16, 8, 0.5) for f in (similarity.minhash_pairs, similarity.minhash_links))
+    assert parts(pairs) == parts(links) and links.count() < pairs.count()
+    same = spark.range(20_000).select("id", F.concat(F.lit(" ".join(words)), F.lit(" extra"), F.col("id").cast("string")).alias("text"))
+    found = graphs.connected_components(similarity.minhash_links(same, 16, 8, 0.5))  # two hundred million pairs
+    assert found.where("component = 0").count() == 20_000
+    assert graphs.forget(spark) > 0 and graphs.forget(spark) == 0
+
+
+def test_hmac_and_algorithm_statistics(spark):
+    import hashlib
+    import hmac
+
+    from swarmlens.operators import privacy, similarity
+
+    for key in (b"k", b"x" * 64, b"y" * 100):
+        for row in spark.createDataFrame([("",), ("text",), ("\u00fc\u65e5",), (None,)], "t string").select("t", privacy.hmac(F.col("t"), key).alias("m")).collect():
+            assert row["m"] == (None if row["t"] is None else hmac.new(key, row["t"].encode(), hashlib.sha256).hexdigest())
+    runs = spark.createDataFrame([("a", i, i, v, 1, 0, 0, 1) for i, v in enumerate([0.0, 8.0, 4.0, 0.0, 2.0])] + [("b", 0, 0, 0.0, 0, 0, 0, 0)], "algorithm string, s long, id long, response double, tp int, fp int, tn int, fn int").withColumn("ts", F.timestamp_seconds("s"))
+    found = {x["algorithm"]: (x["queries"], x["avg_response"], x["tp"], x["fn"], x["accuracy"]) for x in similarity.algorithm_statistics(runs).collect()}
+    assert found == {"a": (5, 2.5, 5, 5, 0.5), "b": (1, 0.0, 0, 0, None)}
