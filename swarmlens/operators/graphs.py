@@ -82,6 +82,32 @@ def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 
 
+def bucket_leaders(keyed: DataFrame, near, order=hashed_order) -> DataFrame:
+    """(id, seed): what ``leader_clusters`` gives for the pairs that share a bucket (slot, key) of ``keyed`` (id, slot, key) and are near; ids that share no bucket are left out.
+
+    ``near`` takes candidate pairs (a, b), a a seed, and gives back those that are.  No pair is
+    listed but those of seeds: in each round a node that comes first of the undecided ones in all
+    of its buckets is a seed, as nobody undecided that it could be near to comes before it, and is compared with its
+    buckets.  A bucket has one seed a round at most, so a round looks at each row of
+    ``keyed`` once, and n nodes that are all near each other take one round and n pairs a bucket.
+    """
+    counts = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1").select("slot", "key")
+    every = written(keyed.select("id", "slot", "key").join(counts, ["slot", "key"]))
+    open_, seeds, held = every, [], []
+    while not open_.isEmpty():
+        firsts = open_.groupBy("slot", "key").agg(F.min_by("id", order(F.col("id"))).alias("least"))
+        fresh = written(open_.join(firsts, ["slot", "key"]).groupBy("id").agg(F.bool_and(F.col("id") == F.col("least")).alias("first")).where("first").select("id"))
+        asked = every.join(fresh, "id", "left_semi").withColumnRenamed("id", "a")
+        ties = written(near(asked.join(every.withColumnRenamed("id", "b"), ["slot", "key"]).where("a <> b").select("a", "b").distinct()))
+        seeds.append(fresh)
+        held.append(ties)
+        open_ = written(open_.join(fresh.union(ties.select("b")).distinct(), "id", "left_anti"))
+    if not seeds:
+        return every.select("id", F.col("id").alias("seed"))
+    taken = reduce(DataFrame.union, held).groupBy(F.col("b").alias("id")).agg(F.min_by("a", order(F.col("a"))).alias("seed"))
+    return taken.union(reduce(DataFrame.union, seeds).select("id", F.col("id").alias("seed")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each component, by hooking to the least neighbour and pointer jumping."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())

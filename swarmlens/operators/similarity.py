@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from swarmlens.functions.names import matched
 from swarmlens.functions.text import hash64, long_words, shingles, token_code, weighted_features
-from swarmlens.operators.graphs import connected_components, ready, written
+from swarmlens.operators.graphs import bucket_leaders, connected_components, ready, written
 from swarmlens.operators.ordering import ranked
 
 PRIME = (1 << 31) - 1
@@ -80,6 +80,34 @@ def minhash_pairs(docs: DataFrame, hashes: int = 128, count: int = 16, threshold
     return near.where(batch(F.col("a")) == batch(F.col("b"))) if batch is not None else near
 
 
+def _agreeing(signatures: DataFrame, hashes: int, threshold: float):
+    """A function that keeps the pairs (a, b) whose signatures agree on enough."""
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        return both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z)) / F.lit(float(hashes)) >= threshold).select("a", "b")
+
+    return near
+
+
+def minhash_leaders(docs: DataFrame, hashes: int = 128, count: int = 16, threshold: float = 0.7) -> DataFrame:
+    """(id, seed): leader clusters of the pairs of ``minhash_pairs``, which are not listed."""
+    signatures = kept(minhash(docs, hashes))
+    return bucket_leaders(bands(signatures, hashes, count).withColumnRenamed("band", "slot"), _agreeing(signatures, hashes, threshold))
+
+
+def simhash_leaders(docs: DataFrame, tables: int = 4, distance: int = 3) -> DataFrame:
+    """(id, seed): leader clusters of the pairs of ``simhash_pairs``, which are not listed."""
+    hashes = kept(simhash(docs))
+    keyed = simhash_blocks(hashes, distance) if distance < tables and 64 % tables == 0 else simhash_tables(hashes, tables)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(hashes.select(F.col("id").alias("a"), F.col("simhash").alias("x")), "a").join(hashes.select(F.col("id").alias("b"), F.col("simhash").alias("y")), "b")
+        return both.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance).select("a", "b")
+
+    return bucket_leaders(keyed, near)
+
+
 def minhash_links(docs: DataFrame, hashes: int = 128, count: int = 16, threshold: float = 0.7) -> DataFrame:
     """(a, b) of pairs that ``minhash_pairs`` would give, fewer of them, with the same components.
 
@@ -91,10 +119,7 @@ def minhash_links(docs: DataFrame, hashes: int = 128, count: int = 16, threshold
     keyed = bands(signatures, hashes, count)
     hubs = keyed.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z)) / F.lit(float(hashes)) >= threshold).select("a", "b")
-
+    near = _agreeing(signatures, hashes, threshold)
     ties = keyed.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(near(ties))
     labels = connected_components(links).select("id", F.col("component").alias("label"))

@@ -132,9 +132,16 @@ def test_links_have_the_components_of_all_pairs(spark):
     parts = lambda edges: {(x["id"], x["component"]) for x in graphs.connected_components(edges).collect()}
     pairs, links = (f(docs, 16, 8, 0.5) for f in (similarity.minhash_pairs, similarity.minhash_links))
     assert parts(pairs) == parts(links) and links.count() < pairs.count()
+    for table in ("minhash", "simhash"):  # leaders without listed pairs
+        make, lead, args = (similarity.minhash_pairs, similarity.minhash_leaders, (16, 8, 0.5)) if table == "minhash" else (similarity.simhash_pairs, similarity.simhash_leaders, (4, 20))
+        expected = {(x["id"], x["seed"]) for x in graphs.leader_clusters(make(docs, *args), graphs.hashed_order).collect()}
+        got = {(x["id"], x["seed"]) for x in lead(docs, *args).collect()}
+        assert expected <= got and all(i == seed for i, seed in got - expected) and len(expected) > 20
     same = spark.range(20_000).select("id", F.concat(F.lit(" ".join(words)), F.lit(" extra"), F.col("id").cast("string")).alias("text"))
     found = graphs.connected_components(similarity.minhash_links(same, 16, 8, 0.5))  # two hundred million pairs
     assert found.where("component = 0").count() == 20_000
+    leaders = similarity.minhash_leaders(same, 16, 8, 0.5)
+    assert leaders.select("seed").distinct().count() < 20 and leaders.count() == 20_000
     assert graphs.forget(spark) > 0 and graphs.forget(spark) == 0
 
 
