@@ -53,23 +53,28 @@ def extracted(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit({"urls": URL, "mentions": r"@[A-Za-z0-9_]+", "hashtags": r"#[A-Za-z0-9_]+"}[kind]), F.lit(0))
 
 
+def feature_parts(df, text: str):
+    """``df`` with what similarity features are made of: links (_links), mentions (_m) and hashtags (_h) once each, words (_w) and runs of three letters or more (_r)."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_links", F.regexp_extract_all(low, F.lit(URL), F.lit(0))).withColumn("_t", F.regexp_replace(low, URL, " "))
+    df = df.withColumn("_m", F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"@(\S+)"), F.lit(1)), lambda m: F.concat(F.lit("@"), m))))
+    df = df.withColumn("_h", F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"#(\S+)"), F.lit(1)), lambda m: F.concat(F.lit("#"), m))))
+    df = df.withColumn("_b", F.regexp_replace(F.regexp_replace("_t", MENTION, " "), HASHTAG, " "))
+    return df.withColumn("_w", word_runs(F.col("_b"))).withColumn("_r", F.regexp_extract_all("_b", F.lit(r"\p{L}{3,}"), F.lit(0))).drop("_t", "_b")
+
+
 def weighted_features(df, text: str):
     """``df`` with features: every occurrence of a similarity feature.
 
     A count of links; mentions and hashtags once each; words of three bytes or more;
     pairs of neighbouring words that are both that long; letter trigrams.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_links", F.regexp_extract_all(low, F.lit(URL), F.lit(0))).withColumn("_t", F.regexp_replace(low, URL, " "))
-    df = df.withColumn("_m", F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"@(\S+)"), F.lit(1)), lambda m: F.concat(F.lit("@"), m))))
-    df = df.withColumn("_h", F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"#(\S+)"), F.lit(1)), lambda m: F.concat(F.lit("#"), m))))
-    df = df.withColumn("_b", F.regexp_replace(F.regexp_replace("_t", MENTION, " "), HASHTAG, " "))
-    df = df.withColumn("_w", word_runs(F.col("_b"))).withColumn("_r", F.regexp_extract_all("_b", F.lit(r"\p{L}{3,}"), F.lit(0)))
+    df = feature_parts(df, text)
     pairs = F.when(F.size("_w") > 1, F.filter(F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.when((F.octet_length(F.get("_w", i)) >= 3) & (F.octet_length(F.get("_w", i + 1)) >= 3), F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     letters = F.flatten(F.transform("_r", lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda i: F.concat(F.lit("__CHAR__"), F.substr(r, i, F.lit(3))))))
     words = F.filter("_w", lambda w: F.octet_length(w) >= 3)
     links = F.array_repeat(F.lit("__HAS_URL__"), F.size("_links"))
-    return df.withColumn("features", F.concat(links, "_m", "_h", words, pairs, letters)).drop("_links", "_t", "_m", "_h", "_b", "_w", "_r")
+    return df.withColumn("features", F.concat(links, "_m", "_h", words, pairs, letters)).drop("_links", "_m", "_h", "_w", "_r")
 
 
 def byte_values(text: Column) -> Column:

@@ -285,3 +285,21 @@ def test_leader_clusters_of_a_long_chain(spark):
     out = {r["id"]: r["seed"] for r in graphs.leader_clusters(df, graphs.hashed_order).collect()}
     seeds = {s for s in out.values()}
     assert len(out) == 301 and all(abs(i - s) <= 1 for i, s in out.items()) and not any(s + 1 in seeds for s in seeds)
+
+
+def test_signatures_are_made_without_exploding_shingles(spark):
+    """A text's shingles and features never become rows, and the signatures are those of plain Python."""
+    from hashlib import md5
+
+    texts = ["Aé bb1cc Ünïts ünïts 12345 x", "one two three four five six", "#tag @who https://a.b/c word", "", "12 34", " ".join(f"w{i % 700}x{i}" for i in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    for made in (similarity.minhash(docs, 128), similarity.simhash(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "HashAggregate" not in plan
+    words = [w for w in texts[5].split() if len(w) > 2]
+    tokens = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    codes = [int(md5(t.encode()).hexdigest()[:7], 16) for t in tokens]
+    found = {r["id"]: r["sig"] for r in similarity.minhash(docs, 128).collect()}
+    assert found[5] == [min((x * a + b) % similarity.PRIME for x in codes) for a, b in similarity.FAMILY[:128]]
+    assert 3 not in found and 4 not in found
+    assert {r["id"]: r["simhash"] for r in similarity.simhash(docs).collect()}[3] == 0
