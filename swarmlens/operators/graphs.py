@@ -82,30 +82,46 @@ def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 
 
-def bucket_leaders(keyed: DataFrame, near, order=hashed_order) -> DataFrame:
-    """(id, seed): what ``leader_clusters`` gives for the pairs that share a bucket (slot, key) of ``keyed`` (id, slot, key) and are near; ids that share no bucket are left out.
-
-    ``near`` takes candidate pairs (a, b), a a seed, and gives back those that are.  No pair is
-    listed but those of seeds: in each round a node that comes first of the undecided ones in all
-    of its buckets is a seed, as nobody undecided that it could be near to comes before it, and is compared with its
-    buckets.  A bucket has one seed a round at most, so a round looks at each row of
-    ``keyed`` once, and n nodes that are all near each other take one round and n pairs a bucket.
+def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, listed=None) -> DataFrame:
+    """(id, seed): what ``leader_clusters`` gives for the pairs that share a bucket (slot, key) of ``keyed`` (id, slot, key) and are near; ids that share no bucket are left out, those that are near to none are seeds.
+
+    ``near`` takes candidate pairs (a, b) and gives back those that are.  Buckets of up to
+    ``most`` ids list their near pairs (``listed`` of the buckets' rows, where it is given), at most
+    ``most`` for each row, so that a node waits only for nodes that it is near to.  Larger buckets list no pair
+    but those of seeds: in each round a node that comes before all undecided ones of its large buckets and before
+    all undecided ones that it is listed with is a seed, as nobody undecided that it could be near to comes before it, and
+    is compared with its large buckets.  Such a bucket has one seed a round at most, so a round looks at each of its rows
+    once, and n nodes that are all near each other take one round and n pairs a bucket.
     """
-    counts = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1").select("slot", "key")
-    every = written(keyed.select("id", "slot", "key").join(counts, ["slot", "key"]))
-    open_, seeds, held = every, [], []
-    while not open_.isEmpty():
-        firsts = open_.groupBy("slot", "key").agg(F.min_by("id", order(F.col("id"))).alias("least"))
-        fresh = written(open_.join(firsts, ["slot", "key"]).groupBy("id").agg(F.bool_and(F.col("id") == F.col("least")).alias("first")).where("first").select("id"))
+    counts = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.join(counts, ["slot", "key"]))
+    small, every = shared.where(F.col("n") <= most).drop("n"), shared.where(F.col("n") > most).select("id", "slot", "key")
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    edges = written(listed(met) if listed else near(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+    if every.isEmpty():
+        placed = leader_clusters(edges, order)
+        return placed.union(shared.select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed")))
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    nodes, open_, rows, seeds, held = written(shared.select("id").distinct()), both, every, [], []
+    while not nodes.isEmpty():
+        later = open_.groupBy(F.col("u").alias("id")).agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("id")) > F.col("m")).select("id")
+        firsts = rows.groupBy("slot", "key").agg(F.min_by("id", order(F.col("id"))).alias("least"))
+        behind = rows.join(firsts, ["slot", "key"]).where("id <> least").select("id")
+        fresh = written(nodes.join(later.union(behind).distinct(), "id", "left_anti"))
         asked = every.join(fresh, "id", "left_semi").withColumnRenamed("id", "a")
         ties = written(near(asked.join(every.withColumnRenamed("id", "b"), ["slot", "key"]).where("a <> b").select("a", "b").distinct()))
         seeds.append(fresh)
         held.append(ties)
-        open_ = written(open_.join(fresh.union(ties.select("b")).distinct(), "id", "left_anti"))
-    if not seeds:
-        return every.select("id", F.col("id").alias("seed"))
-    taken = reduce(DataFrame.union, held).groupBy(F.col("b").alias("id")).agg(F.min_by("a", order(F.col("a"))).alias("seed"))
-    return taken.union(reduce(DataFrame.union, seeds).select("id", F.col("id").alias("seed")))
+        gone = written(fresh.union(ties.select("b")).union(open_.join(fresh.withColumnRenamed("id", "u"), "u", "left_semi").select("v")).distinct())
+        nodes = written(nodes.join(gone, "id", "left_anti"))
+        rows = written(rows.join(gone, "id", "left_anti"))
+        u, v = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
+        open_ = written(open_.join(u, "u", "left_anti").join(v, "v", "left_anti").select("u", "v"))
+    chosen = written(reduce(DataFrame.union, seeds))
+    near_seeds = reduce(DataFrame.union, held).union(both.join(chosen.withColumnRenamed("id", "u"), "u", "left_semi").select("u", "v"))
+    taken = near_seeds.groupBy(F.col("b").alias("id")).agg(F.min_by("a", order(F.col("a"))).alias("seed"))
+    return taken.union(chosen.select("id", F.col("id").alias("seed")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -303,3 +303,25 @@ def test_signatures_are_made_without_exploding_shingles(spark):
     assert found[5] == [min((x * a + b) % similarity.PRIME for x in codes) for a, b in similarity.FAMILY[:128]]
     assert 3 not in found and 4 not in found
     assert {r["id"]: r["simhash"] for r in similarity.simhash(docs).collect()}[3] == 0
+
+
+def test_leaders_wait_for_near_nodes_only(spark):
+    """Texts that share buckets in a chain, but are near to none, are seeds without a round for each link of the chain; large buckets give the same clusters."""
+    from swarmlens.operators import graphs
+
+    chain = spark.range(40).select("id", F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("key")).withColumn("slot", F.lit(0))
+    calls = []
+
+    def near(apart):
+        def keep(pairs):
+            calls.append(1)
+            return pairs.where(F.abs(F.col("a") - F.col("b")) <= apart)
+
+        return keep
+
+    found = graphs.bucket_leaders(chain, near(0), order=lambda node: node)
+    assert {(r["id"], r["seed"]) for r in found.collect()} == {(i, i) for i in range(40)} and len(calls) == 1
+    wide = spark.range(24).select("id", F.explode(F.array(F.floor(F.col("id") / 6), F.floor((F.col("id") + 3) / 6))).alias("key")).withColumn("slot", F.col("key") % 2)
+    wide = wide.distinct()
+    some, none, all_ = ({(r["id"], r["seed"]) for r in graphs.bucket_leaders(wide, near(2), most=m).collect()} for m in (6, 1, 64))
+    assert some == none == all_ and len(all_) == 24 and len({s for _, s in all_}) < 24
