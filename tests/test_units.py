@@ -325,3 +325,12 @@ def test_leaders_wait_for_near_nodes_only(spark):
     wide = wide.distinct()
     some, none, all_ = ({(r["id"], r["seed"]) for r in graphs.bucket_leaders(wide, near(2), most=m).collect()} for m in (6, 1, 64))
     assert some == none == all_ and len(all_) == 24 and len({s for _, s in all_}) < 24
+
+
+def test_exact_jaccard_joins_no_shingles(spark):
+    """What the joins of L5 carry are words of texts in pairs, not the shingles of every text."""
+    from swarmlens.plans import registry
+
+    plan = registry.QUERIES["L5_exact_jaccard_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "array_intersect" in plan[: plan.index("Join")] and "array_distinct" not in below and "documents" not in below
