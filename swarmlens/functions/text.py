@@ -27,6 +27,28 @@ def long_words(text: Column) -> Column:
     return F.filter(word_runs(bare(text)), lambda w: F.octet_length(w) >= 3)
 
 
+def words_apart(low: Column) -> Column:
+    """The words of a lower-case text without links, mentions and hashtags, parted by spaces.
+
+    One pass: a link, mention or hashtag goes on to the next white space, whichever of
+    them begins first, so that taking them out one after the other leaves the same words.
+    """
+    return F.regexp_replace(low, r"https?://\S+|[@#]\S*|[^\p{L}\p{Nd}@#]+", " ")
+
+
+def sketch_parts(df, text: str):
+    """(id, links, mentions, hashtags, words): what ``feature_parts`` finds, as a number and as strings parted by spaces; patterns run where a text can have what they find."""
+    df = df.select("id", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    bare_of_links = F.when(F.contains("_low", F.lit("://")), F.regexp_replace("_low", URL, " ")).otherwise(F.col("_low"))
+
+    def tags(sign: str) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(bare_of_links, F.lit(sign + r"(\S+)"), F.lit(1)))
+        return F.when(F.contains("_low", F.lit(sign)), F.array_join(F.transform(names, lambda x: F.concat(F.lit(sign), x)), " ")).otherwise("")
+
+    links = F.when(F.contains("_low", F.lit("://")), F.size(F.regexp_extract_all("_low", F.lit(URL), F.lit(0)))).otherwise(0)
+    return df.select("id", links.alias("links"), tags("@").alias("mentions"), tags("#").alias("hashtags"), words_apart(F.col("_low")).alias("words"))
+
+
 def grams(words: str | Column, n: int) -> Column:
     """Runs of n words, joined by a space."""
     words = F.col(words) if isinstance(words, str) else words

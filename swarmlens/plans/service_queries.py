@@ -85,7 +85,7 @@ def recorded(spark, sf_dir, minhash, simhash):
 @query("L28_accuracies", f"WITH {_JUDGED} SELECT algorithm, tp, fp, tn, fn, round(accuracy, 9) AS accuracy FROM ac")
 def accuracies(spark, sf_dir):
     docs = texts(spark, sf_dir)
-    return recorded(spark, sf_dir, S.minhash_pairs(docs, H, B, T), S.simhash_pairs(docs)).withColumn("accuracy", F.round("accuracy", 9))
+    return recorded(spark, sf_dir, *S.both_pairs(docs, H, B, T)).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("L24_recorded_weights", f"""WITH {_JUDGED}, r AS (SELECT max(accuracy) FILTER (algorithm = 'minhash') AS m, max(accuracy) FILTER (algorithm = 'simhash') AS s FROM ac), wg AS (SELECT m / (m + s) * 0.6::DOUBLE AS m, s / (m + s) * 0.4::DOUBLE AS s FROM r),
@@ -94,7 +94,7 @@ SELECT a, b, round(j.m * wg.m / (wg.m + wg.s) + j.s * wg.s / (wg.m + wg.s), 6) A
 def recorded_weights(spark, sf_dir):
     """Adaptive weights by the accuracies that the labels give."""
     docs = texts(spark, sf_dir)
-    m, s = S.minhash_pairs(docs, H, B, T).checkpoint(), S.simhash_pairs(docs).checkpoint()
+    m, s = (x.checkpoint() for x in S.both_pairs(docs, H, B, T))
     found = {r["algorithm"]: r["accuracy"] for r in recorded(spark, sf_dir, m, s).collect()}  # two rows
     weights = S.adaptive_weights(found.get("minhash", 0.0), found.get("simhash", 0.0))
     return S.hybrid(m, s, "weighted", 0.3, weights).withColumn("similarity", F.round("similarity", 6))
@@ -107,7 +107,7 @@ SELECT a, b, round(m * wm / (wm + ws) + s * ws / (wm + ws), 9) AS similarity FRO
 def length_weights(spark, sf_dir):
     """Weights by the length of the first text of a pair."""
     docs = texts(spark, sf_dir)
-    m, s = S.minhash_pairs(docs, H, B, T), S.simhash_pairs(docs)
+    m, s = S.both_pairs(docs, H, B, T)
     both = m.select("a", "b", F.col("similarity").alias("m")).join(s.select("a", "b", F.col("similarity").alias("s")), ["a", "b"], "full")
     sized = both.join(docs.select(F.col("id").alias("a"), F.length("text").alias("n")), "a")
     wm, ws = S.length_weights(F.col("n"))

@@ -144,7 +144,7 @@ def _hybrid(name, strategy, join, value, threshold):
     @query(name, f"WITH {MINHASH},\n{SIMHASH},\n{join}, v AS (SELECT a, b, {value} AS similarity FROM j) SELECT a, b, round(similarity, 9) AS similarity FROM v WHERE similarity >= {threshold}")
     def run(spark, sf_dir):
         docs = texts(spark, sf_dir)
-        edges = S.hybrid(S.minhash_pairs(docs, H, B, T), S.simhash_pairs(docs), strategy, threshold)
+        edges = S.hybrid(*S.both_pairs(docs, H, B, T), strategy, threshold)
         return edges.withColumn("similarity", F.round("similarity", 9))
 
 
@@ -159,13 +159,15 @@ _hybrid("L25_hybrid_consensus", "consensus", _INNER, "(m + s) / 2", 0.7)
 @query("U3_intersection", f"WITH {MINHASH},\n{SIMHASH} SELECT a, b FROM me INTERSECT SELECT a, b FROM se")
 def both_algorithms(spark, sf_dir):
     docs = texts(spark, sf_dir)
-    return S.minhash_pairs(docs, H, B, T).select("a", "b").intersect(S.simhash_pairs(docs).select("a", "b"))
+    m, s = S.both_pairs(docs, H, B, T)
+    return m.select("a", "b").intersect(s.select("a", "b"))
 
 
 @query("U1_union_distinct", f"WITH {MINHASH},\n{SIMHASH} SELECT a, b FROM me UNION SELECT a, b FROM se")
 def either_algorithm(spark, sf_dir):
     docs = texts(spark, sf_dir)
-    return S.minhash_pairs(docs, H, B, T).select("a", "b").union(S.simhash_pairs(docs).select("a", "b")).distinct()
+    m, s = S.both_pairs(docs, H, B, T)
+    return m.select("a", "b").union(s.select("a", "b")).distinct()
 
 
 @query("X2_connected_components", f"WITH RECURSIVE {MINHASH}, e AS (SELECT a, b FROM me UNION ALL SELECT b, a FROM me), c(id, r) AS (SELECT a, a FROM e UNION SELECT c.id, e.b FROM c JOIN e ON c.r = e.a) SELECT id, min(r) AS component FROM c GROUP BY id")

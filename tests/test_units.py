@@ -2,11 +2,12 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swarmlens.functions import scores
-from swarmlens.functions.text import shingles, long_words
+from swarmlens.functions import scores, sketches
+from swarmlens.functions.text import shingles, long_words, weighted_features
 from swarmlens.operators import alerts, graphs, privacy, reputation, similarity, temporal
 from swarmlens.plans.config import DetectionConfig, banding, load_config
 from swarmlens.plans.plugins import Registry
@@ -334,3 +335,36 @@ def test_exact_jaccard_joins_no_shingles(spark):
     plan = registry.QUERIES["L5_exact_jaccard_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join") :]
     assert "array_intersect" in plan[: plan.index("Join")] and "array_distinct" not in below and "documents" not in below
+
+
+def test_heads_of_slices_and_fractions_of_hashes():
+    data = np.random.default_rng(7).integers(0, 256, 4000, dtype=np.uint8)
+    starts, sizes = np.arange(3000), np.arange(3000) % 90
+    made = [hashlib.md5(data[i : i + n].tobytes()).digest()[:8] for i, n in zip(starts, sizes)]
+    assert sketches.heads(data, starts, sizes).astype(">u4").tobytes() == b"".join(made)
+    codes = np.concatenate([[0, 1, (1 << 28) - 1], np.random.default_rng(8).integers(0, 1 << 28, 3000)]).astype(np.uint32)
+    ends = np.array([1, 2, 3, 40, 41, 2000, 3003])
+    # b such that code 1 has the hash 0, and code 0 the greatest one
+    family = [*similarity.FAMILY, (5, sketches.PRIME - 5), (1, sketches.PRIME - 1)]
+    least = [[min((int(x) * a + b) % sketches.PRIME for x in run) for a, b in family] for run in np.split(codes, ends[:-1])]
+    assert sketches.Family(family).least(codes, ends).tolist() == least
+
+
+def test_sketches_out_of_one_reading(spark):
+    texts = ["See  HTTP://a.b/c#d and @Ann@bob, #win! #win the réeux 12ab3cd", "ment.### réeuxan @ # x@y #@z", "a bc", "", "https:// #", "w" * 300 + " ab " + "é" * 40 + " cde", "same words here", "same\twords, here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    signatures, hashes = similarity.sketched(docs, 64)
+    assert {tuple(r) for r in hashes.collect()} == {tuple(r) for r in similarity.simhash(docs).collect()}
+    found = {r["id"]: r["sig"] for r in signatures.collect()}
+    words = {r["id"]: r["w"] for r in docs.select("id", long_words(F.col("text")).alias("w")).collect()}
+    made = {}
+    for i, w in words.items():
+        grams = [" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+        codes = [int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in grams]
+        made |= {i: [min((x * a + b) % sketches.PRIME for x in codes) for a, b in similarity.FAMILY[:64]]} if codes else {}
+    assert found == made and found[6] == found[7]
+    features = {r["id"]: r["features"] for r in weighted_features(docs, "text").select("id", "features").collect()}
+    votes = {i: [sum(1 if int(hashlib.md5(f.encode()).hexdigest()[:16], 16) >> k & 1 else -1 for f in fs) for k in range(64)] for i, fs in features.items()}
+    assert {r["id"]: r["simhash"] & (1 << 64) - 1 for r in hashes.collect()} == {i: sum(1 << k for k in range(64) if v[k] > 0) for i, v in votes.items()}
+    m, s = similarity.both_pairs(docs, 64, 16, 0.5)
+    assert [sorted(map(tuple, x.collect())) for x in (m, s)] == [sorted(map(tuple, x.collect())) for x in (similarity.minhash_pairs(docs, 64, 16, 0.5), similarity.simhash_pairs(docs))]
