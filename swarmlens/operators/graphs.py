@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,40 +55,76 @@ def hashed_order(node: Column) -> Column:
     return F.struct(F.md5(node.cast("string")), node)
 
 
-def leader_clusters(edges: DataFrame, order=None) -> DataFrame:
+#: So many directed edges are left to one task.
+LAST = 1 << 17
+
+
+def _greedy(batches):
+    """The nodes u of batches (u, vs), in their order, that are no neighbour of one given before."""
+    seeds = set()
+    for batch in batches:
+        fresh = []
+        for u, vs in zip(batch.column("u").to_pylist(), batch.column("vs").to_pylist()):
+            if seeds.isdisjoint(vs):
+                seeds.add(u)
+                fresh.append(u)
+        yield pa.RecordBatch.from_arrays([pa.array(fresh, batch.schema.field("u").type)], names=["u"])
+
+
+def _seeds(open_: DataFrame, order, last: int) -> list[DataFrame]:
+    """Tables (u) of the first maximal independent set of directed edges (u, v): rounds, until no more than ``last`` edges are undecided; one task decides those."""
+    rounds = []
+    while (left := open_.count()) > last:
+        fresh = written(open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u"))
+        gone = written(open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct())
+        inner = open_.join(gone, "u", "left_anti")
+        kept = written(inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
+        # nodes whose neighbours have all gone are seeds of their own
+        rounds += [fresh, inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")]
+        open_ = kept
+    if left:
+        nodes = open_.groupBy("u").agg(F.collect_list("v").alias("vs")).repartition(1).sortWithinPartitions(order(F.col("u")))
+        rounds.append(nodes.mapInArrow(_greedy, open_.select("u").schema))
+    return rounds
+
+
+def leader_clusters(edges: DataFrame, order=None, last: int = LAST) -> DataFrame:
     """(id, seed): seeds are the first maximal independent set in the order of the nodes; others join their first seed neighbour.
 
     ``order`` is a function of the node column, by default the node itself.  In each
     round every undecided node without an undecided neighbour before it becomes a seed
     and takes its undecided neighbours out.  By ascending ids a chain takes as many
     rounds as it has nodes; by ``hashed_order`` any graph takes some multiple of the
-    logarithm of its size.  Rounds write their state to the checkpoint folder.
+    logarithm of its size.  Rounds write their state to the checkpoint folder; they end
+    when ``last`` edges or fewer, each counted from both ends, are undecided.
     """
     ready(edges.sparkSession)
     order = order or (lambda node: node)
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct())
-    open_, rounds = both, []
-    while not open_.isEmpty():
-        fresh = written(open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u"))
-        gone = written(open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct())
-        inner = open_.join(gone, "u", "left_anti")
-        kept = written(inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
-        # nodes whose neighbours have all gone are seeds of their own
-        rounds += [fresh, inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")]
-        open_ = kept
-    if not rounds:
+    if not (rounds := _seeds(both, order, last)):
         return both.select(F.col("u").alias("id"), F.col("v").alias("seed")).limit(0)
     seeds = written(reduce(DataFrame.union, rounds))
     taken = both.join(seeds.select(F.col("u").alias("v")), "v", "left_semi").join(seeds, "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min_by("v", order(F.col("v"))).alias("seed"))
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 
 
-def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, listed=None) -> DataFrame:
+def _listable(shared: DataFrame, most: int) -> int:
+    """The greatest size, ``most`` at least, up to which the buckets of rows (n) have together no more pairs than ``most`` / 2 for each row."""
+    sizes = sorted((r["n"], r["count"]) for r in shared.groupBy("n").count().collect())  # a row for each size, under the root of twice the rows
+    left, upto = sum(rows for _, rows in sizes) * most / 2, most
+    for n, rows in sizes:
+        if (left := left - rows * (n - 1) / 2) < 0:
+            break
+        upto = max(upto, n)
+    return upto
+
+
+def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, listed=None, last: int = LAST) -> DataFrame:
     """(id, seed): what ``leader_clusters`` gives for the pairs that share a bucket (slot, key) of ``keyed`` (id, slot, key) and are near; ids that share no bucket are left out, those that are near to none are seeds.
 
     ``near`` takes candidate pairs (a, b) and gives back those that are.  Buckets of up to
-    ``most`` ids list their near pairs (``listed`` of the buckets' rows, where it is given), at most
-    ``most`` for each row, so that a node waits only for nodes that it is near to.  Larger buckets list no pair
+    ``most`` ids list their near pairs (``listed`` of the buckets' rows, where it is given), and larger ones while
+    all listed have no more than ``most`` / 2 pairs for each row, so that a node waits only for nodes that it is near to.  Still larger buckets list no pair
     but those of seeds: in each round a node that comes before all undecided ones of its large buckets and before
     all undecided ones that it is listed with is a seed, as nobody undecided that it could be near to comes before it, and
     is compared with its large buckets.  Such a bucket has one seed a round at most, so a round looks at each of its rows
@@ -95,16 +132,17 @@ def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, l
     """
     counts = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(counts, ["slot", "key"]))
+    most = _listable(shared, most)
     small, every = shared.where(F.col("n") <= most).drop("n"), shared.where(F.col("n") > most).select("id", "slot", "key")
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     edges = written(listed(met) if listed else near(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
     if every.isEmpty():
-        placed = leader_clusters(edges, order)
+        placed = leader_clusters(edges, order, last)
         return placed.union(shared.select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed")))
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     nodes, open_, rows, seeds, held = written(shared.select("id").distinct()), both, every, [], []
-    while not nodes.isEmpty():
+    while not rows.isEmpty():
         later = open_.groupBy(F.col("u").alias("id")).agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("id")) > F.col("m")).select("id")
         firsts = rows.groupBy("slot", "key").agg(F.min_by("id", order(F.col("id"))).alias("least"))
         behind = rows.join(firsts, ["slot", "key"]).where("id <> least").select("id")
@@ -118,6 +156,8 @@ def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, l
         rows = written(rows.join(gone, "id", "left_anti"))
         u, v = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
         open_ = written(open_.join(u, "u", "left_anti").join(v, "v", "left_anti").select("u", "v"))
+    # what is undecided is in no large bucket any more
+    seeds += [nodes.join(open_.select(F.col("u").alias("id")).distinct(), "id", "left_anti"), *[found.withColumnRenamed("u", "id") for found in _seeds(open_, order, last)]]
     chosen = written(reduce(DataFrame.union, seeds))
     near_seeds = reduce(DataFrame.union, held).union(both.join(chosen.withColumnRenamed("id", "u"), "u", "left_semi").select("u", "v"))
     taken = near_seeds.groupBy(F.col("b").alias("id")).agg(F.min_by("a", order(F.col("a"))).alias("seed"))

@@ -368,3 +368,44 @@ def test_sketches_out_of_one_reading(spark):
     assert {r["id"]: r["simhash"] & (1 << 64) - 1 for r in hashes.collect()} == {i: sum(1 << k for k in range(64) if v[k] > 0) for i, v in votes.items()}
     m, s = similarity.both_pairs(docs, 64, 16, 0.5)
     assert [sorted(map(tuple, x.collect())) for x in (m, s)] == [sorted(map(tuple, x.collect())) for x in (similarity.minhash_pairs(docs, 64, 16, 0.5), similarity.simhash_pairs(docs))]
+
+
+def test_last_edges_of_leader_clusters_take_no_rounds(spark):
+    """A chain by ascending ids had a round for each other node; with and without rounds the seeds are those of one pass in order."""
+    chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    tables = len(graphs._TABLES)
+    found = {(r["id"], r["seed"]) for r in graphs.leader_clusters(chain).collect()}
+    assert found == {(i, i - i % 2) for i in range(61)} and len(graphs._TABLES) - tables <= 2
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    order = {i: (hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(60)}
+    near, seeds = {i: {x + y - i for x, y in pairs if i in (x, y)} for i in order}, set()
+    for i in sorted(order, key=order.get):
+        if near[i] and not near[i] & seeds:
+            seeds.add(i)
+    made = {(i, i if i in seeds else min(near[i] & seeds, key=order.get)) for i in order if near[i]}
+    for last in (0, 40, 1000):
+        assert {(r["id"], r["seed"]) for r in graphs.leader_clusters(edges, graphs.hashed_order, last).collect()} == made
+    keyed = edges.select((F.col("a") * 100 + F.col("b")).alias("key"), F.explode(F.array("a", "b")).alias("id")).withColumn("slot", F.lit(0))
+    keyed = keyed.union(spark.range(9).select(F.lit(-1), "id", F.lit(0)))  # one large bucket, whose ids are near as the edges say
+    both = edges.union(edges.select("b", "a"))
+    for last in (0, 1000):
+        placed = graphs.bucket_leaders(keyed.select("id", "slot", "key"), lambda met: met.join(both, ["a", "b"], "left_semi"), most=2, last=last)
+        assert {(r["id"], r["seed"]) for r in placed.collect()} == made
+
+
+def test_larger_buckets_are_listed_while_pairs_are_few(spark):
+    """A bucket of 90 beside many small ones is listed in one pass; alone it has too many pairs for its rows."""
+    calls = []
+
+    def near(pairs):
+        calls.append(1)
+        return pairs.where("b % 90 = a % 90 + 1")
+
+    large = spark.range(90).select("id", F.lit(0).alias("slot"), F.lit(-1).cast("bigint").alias("key"))
+    small = spark.range(100, 500).select("id", F.lit(0), F.floor(F.col("id") / 2))
+    some = graphs.bucket_leaders(large.union(small), near, order=lambda node: node, most=20).collect()
+    assert len(calls) == 1 and len(some) == 490 and len({r["seed"] for r in some if r["id"] < 90}) == 45
+    alone = spark.range(90).select(F.lit(90).cast("bigint").alias("n"))
+    assert graphs._listable(alone, 20) == 20 and graphs._listable(alone.union(spark.range(400).select(F.lit(2).cast("bigint"))), 20) == 90
