@@ -32,8 +32,10 @@ def words_apart(low: Column) -> Column:
 
     One pass: a link, mention or hashtag goes on to the next white space, whichever of
     them begins first, so that taking them out one after the other leaves the same words.
+    Texts that can have none of them take the shorter pattern.
     """
-    return F.regexp_replace(low, r"https?://\S+|[@#]\S*|[^\p{L}\p{Nd}@#]+", " ")
+    signs = F.contains(low, F.lit("@")) | F.contains(low, F.lit("#")) | F.contains(low, F.lit("://"))
+    return F.when(signs, F.regexp_replace(low, r"https?://\S+|[@#]\S*|[^\p{L}\p{Nd}@#]+", " ")).otherwise(F.regexp_replace(low, r"[^\p{L}\p{Nd}]+", " "))
 
 
 def sketch_parts(df, text: str):
@@ -70,9 +72,19 @@ def hash64(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("bigint")
 
 
+#: What a post's links, mentions and hashtags look like, and what a text without it cannot have.
+ENTITIES = {"urls": (URL, "://"), "mentions": (r"@[A-Za-z0-9_]+", "@"), "hashtags": (r"#[A-Za-z0-9_]+", "#")}
+
+
 def extracted(text: Column, kind: str) -> Column:
     """Links, mentions or hashtags of a post, as written."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit({"urls": URL, "mentions": r"@[A-Za-z0-9_]+", "hashtags": r"#[A-Za-z0-9_]+"}[kind]), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITIES[kind][0]), F.lit(0))
+
+
+def has(text: Column, kind: str) -> Column:
+    """Whether ``extracted`` finds any; patterns run where a text can have what they find."""
+    pattern, sign = ENTITIES[kind]
+    return F.coalesce(F.contains(text, F.lit(sign)) & text.rlike(pattern), F.lit(False))
 
 
 def feature_parts(df, text: str):

@@ -52,11 +52,14 @@ def included(posts: DataFrame, as_of: str, min_retweets: int = 0, max_age_hours:
 def cluster_stats(members: DataFrame) -> DataFrame:
     """Per cluster_id of (cluster_id, id, text, author_id, created_at, urls, mentions, hashtags, bot_score): all aggregates in one shuffle.
 
+    Members may have ``adapters.text_facts`` in place of the last but author, time and score.
     Accounts are told apart before the averages, so an author's score counts once.
     """
+    if "text" in members.columns:
+        members = members.withColumns({"_bytes": F.octet_length("text"), "_short": shortened(F.col("text")), **{f"_has_{k}": (F.size(k) > 0).cast("int") for k in ("urls", "mentions", "hashtags")}})
     by = members.groupBy("cluster_id").agg(
-        F.count("*").alias("size"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), (F.sum(F.octet_length("text")) / F.count("*")).alias("_length"), F.min(F.struct(F.octet_length("text"), "id", "text")).getField("text").alias("_shortest"),
-        *[F.avg((F.size(k) > 0).cast("int")).alias(f"_{k}") for k in ("urls", "mentions", "hashtags")],
+        F.count("*").alias("size"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), (F.sum("_bytes") / F.count("*")).alias("_length"), F.min(F.struct("_bytes", "id", "_short")).getField("_short").alias("template"),
+        *[F.avg(f"_has_{k}").alias(f"_{k}") for k in ("urls", "mentions", "hashtags")],
     )
     authors = members.groupBy("cluster_id", "author_id").agg(F.max("bot_score").alias("bot_score")).groupBy("cluster_id").agg(F.count("author_id").alias("unique_accounts"), F.avg("bot_score").alias("avg_bot_score"))
     out = by.join(authors, "cluster_id").withColumn("duration_s", F.unix_micros(F.col("last_seen").cast("timestamp")) / 1e6 - F.unix_micros(F.col("first_seen").cast("timestamp")) / 1e6)
@@ -65,7 +68,7 @@ def cluster_stats(members: DataFrame) -> DataFrame:
 
 
 def scored(clusters: DataFrame) -> DataFrame:
-    """Confidence, coordination, suspicion level, pattern and template."""
+    """Confidence, coordination, suspicion level and pattern."""
     size, unique, tpm = F.col("size"), F.col("unique_accounts"), F.col("tweets_per_minute")
     quick = F.when((F.col("duration_s") < 3600) & (size > 5), 0.3).when((F.col("duration_s") < 3600) & (size > 3), 0.2).otherwise(0.0)
     confidence = 0.3 * F.least(F.lit(1.0), size / 100.0) + quick + 0.2 * (1 - unique / size) + 0.2 * F.coalesce("avg_bot_score", F.lit(0.0))
@@ -74,8 +77,8 @@ def scored(clusters: DataFrame) -> DataFrame:
     notes = [F.when(F.col(f"_{k}") > 0.5, F.lit(f", contains {n}")).otherwise("") for k, n in (("urls", "URLs"), ("mentions", "mentions"), ("hashtags", "hashtags"))]
     out = clusters.withColumn("confidence", F.round(confidence, 9)).withColumn("is_coordinated", swarm | few)
     out = out.withColumn("suspicion_level", F.when(swarm, "high").when(few, "critical").otherwise(level))
-    out = out.withColumn("pattern", F.concat(F.lit("Text similarity cluster (avg length: "), F.floor("_length").cast("string"), F.lit(" chars)"), *notes)).withColumn("template", shortened(F.col("_shortest")))
-    return out.drop("_length", "_shortest", "_urls", "_mentions", "_hashtags")
+    out = out.withColumn("pattern", F.concat(F.lit("Text similarity cluster (avg length: "), F.floor("_length").cast("string"), F.lit(" chars)"), *notes))
+    return out.drop("_length", "_urls", "_mentions", "_hashtags")
 
 
 def hybrid_union(minhash: DataFrame, simhash: DataFrame) -> DataFrame:

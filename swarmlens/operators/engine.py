@@ -13,11 +13,14 @@ from swarmlens.operators import similarity as S
 from swarmlens.plans.config import DetectionConfig
 
 
-def near_clusters(docs: DataFrame, algorithm: str, doc_id: str = "doc_id", config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """(id, cluster_id) of clusters of near duplicates: leader clusters of distinct texts, whose pairs are not listed, and all copies by membership."""
-    texts = S.distinct_texts(docs, doc_id)
+def near_clusters(docs: DataFrame, algorithm: str, doc_id: str = "doc_id", config: DetectionConfig = DetectionConfig(), keyed: DataFrame | None = None) -> DataFrame:
+    """(id, cluster_id) of clusters of near duplicates: leader clusters of distinct texts, whose pairs are not listed, and all copies by membership.
+
+    ``keyed``: ``similarity.keys`` of the documents that count, where they are kept already.
+    """
+    texts = S.distinct_texts(docs, doc_id, keyed=keyed)
     seeds = S.minhash_leaders(texts, config.minhash_hashes, config.minhash_bands, config.minhash_threshold) if algorithm == "minhash" else S.simhash_leaders(texts, config.simhash_tables, config.simhash_threshold)
-    placed = S.membership(docs, doc_id).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
+    placed = S.membership(docs, doc_id, keyed=keyed).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
     return placed.join(placed.groupBy("cluster_id").count().where("count > 1"), "cluster_id", "left_semi")
 
 

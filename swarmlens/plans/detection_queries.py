@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from swarmlens.operators import detection as D
 from swarmlens.operators.engine import Engine, near_clusters, posts_of_cluster
+from swarmlens.operators.graphs import written
 from swarmlens.plans.register import query, table
 from swarmlens.plans.similarity_queries import CONFIG, MINHASH_OF_TEXTS, SIMHASH, leaders_sql, placed_sql
-from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, WHITE, accounts, posts
+from swarmlens.sources.adapters import ACCOUNTS_SQL, POSTS_SQL, WHITE, accounts, posts, text_facts
 
 _MEMBERS = f"""{ACCOUNTS_SQL},
 {POSTS_SQL},
@@ -52,12 +53,17 @@ def near_sql(sql: str) -> str:
 NEAR = ContextVar("NEAR", default=False)
 
 
-def members(spark, sf_dir):
-    """Posts of clusters of equal texts (of near-duplicate texts under NEAR), with their authors' scores."""
-    all_posts = posts(spark, sf_dir)
+def members(spark, sf_dir, facts=None):
+    """Posts of clusters of equal texts (of near-duplicate texts under NEAR), with their authors' scores.
+
+    Under NEAR the posts are met with their events once and kept as ``text_facts``
+    (``facts``, where that is done already); a text is read again for its signature alone.
+    """
     if NEAR.get():
-        placed = near_clusters(all_posts, "minhash", "id")
+        all_posts = facts or written(text_facts(spark, sf_dir))
+        placed = near_clusters(table(spark, sf_dir, "documents"), "minhash", keyed=all_posts.where("key IS NOT NULL").select("id", "key"))
     else:
+        all_posts = posts(spark, sf_dir)
         keyed = all_posts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("key"))
         groups = keyed.groupBy("key").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
         placed = keyed.join(groups, "key").select("id", "cluster_id")
@@ -191,7 +197,8 @@ def app_stats(spark, sf_dir):
 
 @query("A11_account_activity", f"WITH {_MEMBERS} SELECT p.author_id, count(*) AS total, count(m.id) AS spam, round(count(m.id) / count(*)::DOUBLE, 9) AS spam_rate, count(DISTINCT m.cluster_id) AS clusters FROM p LEFT JOIN m ON m.id = p.id GROUP BY p.author_id")
 def account_activity(spark, sf_dir):
-    marked = posts(spark, sf_dir).select("id", "author_id").join(members(spark, sf_dir).select("id", "cluster_id"), "id", "left")
+    facts = written(text_facts(spark, sf_dir)) if NEAR.get() else None
+    marked = (facts or posts(spark, sf_dir)).select("id", "author_id").join(members(spark, sf_dir, facts).select("id", "cluster_id"), "id", "left")
     return marked.groupBy("author_id").agg(F.count("*").alias("total"), F.count("cluster_id").alias("spam"), F.round(F.count("cluster_id") / F.count("*"), 9).alias("spam_rate"), F.count_distinct("cluster_id").alias("clusters"))
 
 

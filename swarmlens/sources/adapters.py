@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmlens.functions.text import extracted
-from swarmlens.functions.scores import account_age, bot_score
+from swarmlens.functions.text import ENTITIES, extracted, has
+from swarmlens.functions.scores import account_age, bot_score, shortened
 
 #: The wire format of the posts API.
 API_SCHEMA = """data array<struct<id: string, text: string, author_id: string, created_at: string, lang: string,
@@ -39,6 +39,14 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts with the digest of their text (null without one) and what clusters are summed up by in its stead: no text meets the events, as a join would shuffle and sort it."""
+    docs, e = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.col("text")
+    facts = docs.select(F.col("doc_id").alias("id"), F.md5(text).alias("key"), F.octet_length(text).alias("_bytes"), shortened(text).alias("_short"), *[has(text, k).cast("int").alias(f"_has_{k}") for k in ENTITIES])
+    return facts.join(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("author_id"), F.col("ts").alias("created_at")), "id")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as accounts, with bot_score and is_suspicious."""
     c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
