@@ -28,14 +28,15 @@ def long_words(text: Column) -> Column:
 
 
 def words_apart(low: Column) -> Column:
-    """The words of a lower-case text without links, mentions and hashtags, parted by spaces.
+    """The words of a lower-case text without links, mentions and hashtags, parted by spaces or whatever else of ASCII is no letter or digit.
 
     One pass: a link, mention or hashtag goes on to the next white space, whichever of
     them begins first, so that taking them out one after the other leaves the same words.
-    Texts that can have none of them take the shorter pattern.
+    Texts that can have none of them take a shorter pattern, and ASCII ones none.
     """
     signs = F.contains(low, F.lit("@")) | F.contains(low, F.lit("#")) | F.contains(low, F.lit("://"))
-    return F.when(signs, F.regexp_replace(low, r"https?://\S+|[@#]\S*|[^\p{L}\p{Nd}@#]+", " ")).otherwise(F.regexp_replace(low, r"[^\p{L}\p{Nd}]+", " "))
+    apart = r"[^\x00-\x7F\p{L}\p{Nd}]+"
+    return F.when(signs, F.regexp_replace(low, rf"https?://\S+|[@#]\S*|{apart}", " ")).when(F.octet_length(low) > F.length(low), F.regexp_replace(low, apart, " ")).otherwise(low)
 
 
 def sketch_parts(df, text: str):

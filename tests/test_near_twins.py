@@ -1,11 +1,13 @@
 """The twins over near-duplicate clusters read each text for its digest and its signature, and join none with the events."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
-from swarmlens.functions.sketches import PRIME, Family
+from swarmlens.functions.sketches import PRIME, Family, _cut
 from swarmlens.functions.text import extracted, has, words_apart
 from swarmlens.operators import detection as D
 from swarmlens.operators.similarity import FAMILY
@@ -40,10 +42,19 @@ def test_facts_give_what_texts_give(spark):
 
 
 def test_texts_without_signs_have_the_same_words(spark):
-    texts = ["plain, words  here", "ünï–cødé 12½ x٣", "at@you me", "#tag #", "see http://x.y z", "https:/x a://b", "", "  "]
+    texts = ["plain, words  here", "ünï–cødé 12½ x٣", "at@you me", "#tag #", "see http://x.y z", "https:/x a://b", "", "  ", "tab\there: x_y-z"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     full = F.regexp_replace("t", r"https?://\S+|[@#]\S*|[^\p{L}\p{Nd}@#]+", " ")
-    assert all(r["a"] == r["b"] for r in df.select(words_apart(F.col("t")).alias("a"), full.alias("b")).collect())
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t)
+    assert all(cut(r["a"]) == r["b"].split() for r in df.select(words_apart(F.col("t")).alias("a"), full.alias("b")).collect())
+    plain = df.select(words_apart(F.col("t")).alias("a"), "t").where("octet_length(t) = length(t) AND NOT contains(t, '@') AND NOT contains(t, '#') AND NOT contains(t, '://')")
+    assert plain.count() == 4 and plain.where("a <> t").count() == 0  # no pattern ran
+
+
+def test_words_end_at_any_other_byte_of_ascii():
+    data = "one,two\x00dreï\tx9\x7f".encode()
+    starts, sizes, rows = _cut(np.frombuffer(data + bytes(64), np.uint8), np.array([0, 5, len(data)]))
+    assert [data[a : a + n].decode() for a, n in zip(starts, sizes)] == ["one", "t", "wo", "dreï", "x9"] and rows.tolist() == [0, 0, 1, 1, 1]
 
 
 def test_least_hashes_are_exact():
