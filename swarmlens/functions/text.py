@@ -39,9 +39,13 @@ def words_apart(low: Column) -> Column:
     return F.when(signs, F.regexp_replace(low, rf"https?://\S+|[@#]\S*|{apart}", " ")).when(F.octet_length(low) > F.length(low), F.regexp_replace(low, apart, " ")).otherwise(low)
 
 
-def sketch_parts(df, text: str):
-    """(id, links, mentions, hashtags, words): what ``feature_parts`` finds, as a number and as strings parted by spaces; patterns run where a text can have what they find."""
-    df = df.select("id", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+def sketch_parts(df, text: str, size: str | None = None):
+    """(id, links, mentions, hashtags, words): what ``feature_parts`` finds, as a number and as strings parted by spaces; patterns run where a text can have what they find.
+
+    ``size`` names a column that goes along, as size.
+    """
+    more = [F.col(size).alias("size")] if size else []
+    df = df.select("id", *more, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     bare_of_links = F.when(F.contains("_low", F.lit("://")), F.regexp_replace("_low", URL, " ")).otherwise(F.col("_low"))
 
     def tags(sign: str) -> Column:
@@ -49,7 +53,7 @@ def sketch_parts(df, text: str):
         return F.when(F.contains("_low", F.lit(sign)), F.array_join(F.transform(names, lambda x: F.concat(F.lit(sign), x)), " ")).otherwise("")
 
     links = F.when(F.contains("_low", F.lit("://")), F.size(F.regexp_extract_all("_low", F.lit(URL), F.lit(0)))).otherwise(0)
-    return df.select("id", links.alias("links"), tags("@").alias("mentions"), tags("#").alias("hashtags"), words_apart(F.col("_low")).alias("words"))
+    return df.select("id", links.alias("links"), tags("@").alias("mentions"), tags("#").alias("hashtags"), words_apart(F.col("_low")).alias("words"), *(["size"] if size else []))
 
 
 def grams(words: str | Column, n: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from swarmlens.functions import scores
 from swarmlens.functions.text import fnv32, stable_id
 from swarmlens.operators import similarity as S
+from swarmlens.operators.graphs import written
 from swarmlens.operators.ordering import running
 from swarmlens.plans.analytics_queries import _MARKED, marked, rates
 from swarmlens.plans.detection_queries import _LEVEL, _STATS, clusters
@@ -94,10 +95,11 @@ SELECT a, b, round(j.m * wg.m / (wg.m + wg.s) + j.s * wg.s / (wg.m + wg.s), 6) A
 def recorded_weights(spark, sf_dir):
     """Adaptive weights by the accuracies that the labels give."""
     docs = texts(spark, sf_dir)
-    m, s = (x.checkpoint() for x in S.both_pairs(docs, H, B, T))
+    both = written(S.joint_pairs(docs, H, B, T))
+    m, s = (both.where(f"{x} IS NOT NULL").select("a", "b") for x in ("m", "s"))
     found = {r["algorithm"]: r["accuracy"] for r in recorded(spark, sf_dir, m, s).collect()}  # two rows
     weights = S.adaptive_weights(found.get("minhash", 0.0), found.get("simhash", 0.0))
-    return S.hybrid(m, s, "weighted", 0.3, weights).withColumn("similarity", F.round("similarity", 6))
+    return S.combined(both, "weighted", 0.3, weights).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("L26_length_weights", f"""WITH {MINHASH},
@@ -107,10 +109,8 @@ SELECT a, b, round(m * wm / (wm + ws) + s * ws / (wm + ws), 9) AS similarity FRO
 def length_weights(spark, sf_dir):
     """Weights by the length of the first text of a pair."""
     docs = texts(spark, sf_dir)
-    m, s = S.both_pairs(docs, H, B, T)
-    both = m.select("a", "b", F.col("similarity").alias("m")).join(s.select("a", "b", F.col("similarity").alias("s")), ["a", "b"], "full")
-    sized = both.join(docs.select(F.col("id").alias("a"), F.length("text").alias("n")), "a")
-    wm, ws = S.length_weights(F.col("n"))
+    sized = S.joint_pairs(docs.withColumn("n", F.length("text")), H, B, T, size="n")
+    wm, ws = S.length_weights(F.col("size"))
     value = F.coalesce("m", F.lit(0.0)) * wm + F.coalesce("s", F.lit(0.0)) * ws
     return sized.select("a", "b", value.alias("similarity")).where("similarity >= 0.3").withColumn("similarity", F.round("similarity", 9))
 

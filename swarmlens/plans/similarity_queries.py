@@ -144,7 +144,7 @@ def _hybrid(name, strategy, join, value, threshold):
     @query(name, f"WITH {MINHASH},\n{SIMHASH},\n{join}, v AS (SELECT a, b, {value} AS similarity FROM j) SELECT a, b, round(similarity, 9) AS similarity FROM v WHERE similarity >= {threshold}")
     def run(spark, sf_dir):
         docs = texts(spark, sf_dir)
-        edges = S.hybrid(*S.both_pairs(docs, H, B, T), strategy, threshold)
+        edges = S.combined(S.joint_pairs(docs, H, B, T, common=strategy in ("min", "consensus")), strategy, threshold)
         return edges.withColumn("similarity", F.round("similarity", 9))
 
 
