@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmlens.functions.scores import shortened
+from swarmlens.operators.graphs import shuffled
 
 #: Fixed phrases of obvious spam.
 OBVIOUS = ["follow for follow", "f4f", "followback", "crypto deal", "make money", "click here", "limited time", "urgent", "verify account", "account suspension"]
@@ -84,8 +85,8 @@ def scored(clusters: DataFrame) -> DataFrame:
 def hybrid_union(minhash: DataFrame, simhash: DataFrame) -> DataFrame:
     """(algorithm, cluster_id, id): MinHash clusters, and the SimHash clusters of which less than half is in those."""
     taken = minhash.select("id").distinct().withColumn("taken", F.lit(1))
-    share = simhash.join(taken, "id", "left").groupBy("cluster_id").agg((F.sum(F.coalesce("taken", F.lit(0))) / F.count("*")).alias("share")).where("share < 0.5")
-    new = simhash.join(share.select("cluster_id"), "cluster_id", "left_semi")
+    share = simhash.join(shuffled(taken), "id", "left").groupBy("cluster_id").agg((F.sum(F.coalesce("taken", F.lit(0))) / F.count("*")).alias("share")).where("share < 0.5")
+    new = simhash.join(shuffled(share.select("cluster_id")), "cluster_id", "left_semi")
     return minhash.select(F.lit("minhash").alias("algorithm"), "cluster_id", "id").union(new.select(F.lit("simhash"), "cluster_id", "id"))
 
 

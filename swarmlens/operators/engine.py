@@ -20,13 +20,13 @@ def near_clusters(docs: DataFrame, algorithm: str, doc_id: str = "doc_id", confi
     """
     texts = S.distinct_texts(docs, doc_id, keyed=keyed)
     seeds = S.minhash_leaders(texts, config.minhash_hashes, config.minhash_bands, config.minhash_threshold) if algorithm == "minhash" else S.simhash_leaders(texts, config.simhash_tables, config.simhash_threshold)
-    placed = S.membership(docs, doc_id, keyed=keyed).join(seeds.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
-    return placed.join(placed.groupBy("cluster_id").count().where("count > 1"), "cluster_id", "left_semi")
+    placed = S.membership(docs, doc_id, keyed=keyed).join(graphs.shuffled(seeds.withColumnRenamed("id", "rep")), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("seed", "rep").alias("cluster_id")).checkpoint()
+    return placed.join(graphs.shuffled(placed.groupBy("cluster_id").count().where("count > 1")), "cluster_id", "left_semi")
 
 
 def at_least(placed: DataFrame, size: int) -> DataFrame:
     """The members of clusters of at least ``size`` rows."""
-    return placed.join(placed.groupBy("cluster_id").count().where(F.col("count") >= size).select("cluster_id"), "cluster_id", "left_semi")
+    return placed.join(graphs.shuffled(placed.groupBy("cluster_id").count().where(F.col("count") >= size).select("cluster_id")), "cluster_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Engine:
             raise ValueError(f"posts lack {sorted(missing)}")
         placed = self.placed(posts).checkpoint()
         scores = accounts.select(F.col("id").alias("author_id"), "bot_score")
-        members = posts.join(placed, "id").join(scores, "author_id", "left").withColumn("bot_score", F.coalesce("bot_score", F.lit(0.0)))
+        members = posts.join(graphs.shuffled(placed), "id").join(graphs.shuffled(scores), "author_id", "left").withColumn("bot_score", F.coalesce("bot_score", F.lit(0.0)))
         spam = F.col("confidence") >= self.config.spam_score_threshold
         clusters = D.scored(D.cluster_stats(members)).withColumns({"detection_method": F.lit(self.algorithm), "lsh_threshold": F.lit(self.config.minhash_threshold), "is_spam": spam}).checkpoint()
         kept = clusters.where("is_spam").select("cluster_id", F.col("confidence").alias("spam_score"), "size", "is_coordinated")

@@ -55,6 +55,11 @@ def hashed_order(node: Column) -> Column:
     return F.struct(F.md5(node.cast("string")), node)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that is not to be broadcast: files of ids are small for their rows, and the driver would hold the rows as objects."""
+    return df.hint("merge")
+
+
 #: So many directed edges are left to one task.
 LAST = 1 << 17
 
@@ -76,11 +81,11 @@ def _seeds(open_: DataFrame, order, last: int) -> list[DataFrame]:
     rounds = []
     while (left := open_.count()) > last:
         fresh = written(open_.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("u")) < F.col("m")).select("u"))
-        gone = written(open_.join(fresh, "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct())
-        inner = open_.join(gone, "u", "left_anti")
-        kept = written(inner.join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
+        gone = written(open_.join(shuffled(fresh), "u", "left_semi").select(F.col("v").alias("u")).union(fresh).distinct())
+        inner = open_.join(shuffled(gone), "u", "left_anti")
+        kept = written(inner.join(shuffled(gone.select(F.col("u").alias("v"))), "v", "left_anti").select("u", "v"))
         # nodes whose neighbours have all gone are seeds of their own
-        rounds += [fresh, inner.select("u").distinct().join(kept.select("u").distinct(), "u", "left_anti")]
+        rounds += [fresh, inner.select("u").distinct().join(shuffled(kept.select("u").distinct()), "u", "left_anti")]
         open_ = kept
     if left:
         nodes = open_.groupBy("u").agg(F.collect_list("v").alias("vs")).repartition(1).sortWithinPartitions(order(F.col("u")))
@@ -104,7 +109,7 @@ def leader_clusters(edges: DataFrame, order=None, last: int = LAST) -> DataFrame
     if not (rounds := _seeds(both, order, last)):
         return both.select(F.col("u").alias("id"), F.col("v").alias("seed")).limit(0)
     seeds = written(reduce(DataFrame.union, rounds))
-    taken = both.join(seeds.select(F.col("u").alias("v")), "v", "left_semi").join(seeds, "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min_by("v", order(F.col("v"))).alias("seed"))
+    taken = both.join(shuffled(seeds.select(F.col("u").alias("v"))), "v", "left_semi").join(shuffled(seeds), "u", "left_anti").groupBy(F.col("u").alias("id")).agg(F.min_by("v", order(F.col("v"))).alias("seed"))
     return taken.union(seeds.select(F.col("u").alias("id"), F.col("u").alias("seed")))
 
 
@@ -131,35 +136,35 @@ def bucket_leaders(keyed: DataFrame, near, order=hashed_order, most: int = 64, l
     once, and n nodes that are all near each other take one round and n pairs a bucket.
     """
     counts = keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(counts, ["slot", "key"]))
+    shared = written(keyed.join(shuffled(counts), ["slot", "key"]))
     most = _listable(shared, most)
     small, every = shared.where(F.col("n") <= most).drop("n"), shared.where(F.col("n") > most).select("id", "slot", "key")
     x, y = small.alias("x"), small.alias("y")
-    met = x.join(y, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    met = x.join(shuffled(y), (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     edges = written(listed(met) if listed else near(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
     if every.isEmpty():
         placed = leader_clusters(edges, order, last)
-        return placed.union(shared.select("id").distinct().join(placed.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed")))
+        return placed.union(shared.select("id").distinct().join(shuffled(placed.select("id")), "id", "left_anti").select("id", F.col("id").alias("seed")))
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     nodes, open_, rows, seeds, held = written(shared.select("id").distinct()), both, every, [], []
     while not rows.isEmpty():
         later = open_.groupBy(F.col("u").alias("id")).agg(F.min(order(F.col("v"))).alias("m")).where(order(F.col("id")) > F.col("m")).select("id")
         firsts = rows.groupBy("slot", "key").agg(F.min_by("id", order(F.col("id"))).alias("least"))
-        behind = rows.join(firsts, ["slot", "key"]).where("id <> least").select("id")
-        fresh = written(nodes.join(later.union(behind).distinct(), "id", "left_anti"))
-        asked = every.join(fresh, "id", "left_semi").withColumnRenamed("id", "a")
-        ties = written(near(asked.join(every.withColumnRenamed("id", "b"), ["slot", "key"]).where("a <> b").select("a", "b").distinct()))
+        behind = rows.join(shuffled(firsts), ["slot", "key"]).where("id <> least").select("id")
+        fresh = written(nodes.join(shuffled(later.union(behind).distinct()), "id", "left_anti"))
+        asked = every.join(shuffled(fresh), "id", "left_semi").withColumnRenamed("id", "a")
+        ties = written(near(asked.join(shuffled(every.withColumnRenamed("id", "b")), ["slot", "key"]).where("a <> b").select("a", "b").distinct()))
         seeds.append(fresh)
         held.append(ties)
-        gone = written(fresh.union(ties.select("b")).union(open_.join(fresh.withColumnRenamed("id", "u"), "u", "left_semi").select("v")).distinct())
-        nodes = written(nodes.join(gone, "id", "left_anti"))
-        rows = written(rows.join(gone, "id", "left_anti"))
+        gone = written(fresh.union(ties.select("b")).union(open_.join(shuffled(fresh.withColumnRenamed("id", "u")), "u", "left_semi").select("v")).distinct())
+        nodes = written(nodes.join(shuffled(gone), "id", "left_anti"))
+        rows = written(rows.join(shuffled(gone), "id", "left_anti"))
         u, v = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
-        open_ = written(open_.join(u, "u", "left_anti").join(v, "v", "left_anti").select("u", "v"))
+        open_ = written(open_.join(shuffled(u), "u", "left_anti").join(shuffled(v), "v", "left_anti").select("u", "v"))
     # what is undecided is in no large bucket any more
-    seeds += [nodes.join(open_.select(F.col("u").alias("id")).distinct(), "id", "left_anti"), *[found.withColumnRenamed("u", "id") for found in _seeds(open_, order, last)]]
+    seeds += [nodes.join(shuffled(open_.select(F.col("u").alias("id")).distinct()), "id", "left_anti"), *[found.withColumnRenamed("u", "id") for found in _seeds(open_, order, last)]]
     chosen = written(reduce(DataFrame.union, seeds))
-    near_seeds = reduce(DataFrame.union, held).union(both.join(chosen.withColumnRenamed("id", "u"), "u", "left_semi").select("u", "v"))
+    near_seeds = reduce(DataFrame.union, held).union(both.join(shuffled(chosen.withColumnRenamed("id", "u")), "u", "left_semi").select("u", "v"))
     taken = near_seeds.groupBy(F.col("b").alias("id")).agg(F.min_by("a", order(F.col("a"))).alias("seed"))
     return taken.union(chosen.select("id", F.col("id").alias("seed")))
 
@@ -169,10 +174,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
-        hooked = labels.join(near, "u").select("u", F.least("c", "d").alias("n"))
-        jumped = hooked.join(hooked.select(F.col("u").alias("n"), F.col("n").alias("j")), "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("n"))
-        after = written(labels.join(jumped, "u").select("u", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")))
+        near = both.join(shuffled(labels.select(F.col("u").alias("v"), F.col("c").alias("d"))), "v").groupBy("u").agg(F.min("d").alias("d"))
+        hooked = labels.join(shuffled(near), "u").select("u", F.least("c", "d").alias("n"))
+        jumped = hooked.join(shuffled(hooked.select(F.col("u").alias("n"), F.col("n").alias("j"))), "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("n"))
+        after = written(labels.join(shuffled(jumped), "u").select("u", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")))
         labels = after.select("u", "c")
         if after.where("moved").isEmpty():
             return labels.select(F.col("u").alias("id"), F.col("c").alias("component"))

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from swarmlens.operators import similarity
+from swarmlens.operators import graphs, similarity
 
 
 def near_texts():
@@ -49,3 +49,16 @@ def test_no_pair_meets_another(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and "Join" not in plan.split("MapInArrow")[0]
     assert not re.search(r"Aggregate \[a#\d+L?, b#", plan)
+
+
+@pytest.mark.parametrize("most", [4, 512])
+def test_leader_rounds_send_no_table_to_the_driver(spark, monkeypatch, most):
+    """Files of ids are under the limit of broadcasts while their rows are more than a driver holds."""
+    plans, written = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or written(df))
+    monkeypatch.setattr(similarity, "bucket_leaders", lambda keyed, near, most_=most, **rest: graphs.bucket_leaders(keyed, near, **{**rest, "most": most_, "last": 8}))
+    docs = spark.createDataFrame(near_texts(), "id bigint, text string")
+    leaders = similarity.simhash_leaders(docs)
+    assert leaders.count() and plans
+    plans.append(leaders._jdf.queryExecution().sparkPlan().toString())
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)
