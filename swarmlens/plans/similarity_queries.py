@@ -77,15 +77,8 @@ def text_membership(spark, sf_dir):
 
 @query("L5_exact_jaccard_pairs", f"WITH {MINHASH}, n AS (SELECT id, count(*) AS n FROM k GROUP BY id), i AS (SELECT a, b, count(*) AS n_both FROM me JOIN k x ON x.id = a JOIN k y ON y.id = b AND y.token = x.token GROUP BY ALL) SELECT a, b, round(n_both / (x.n + y.n - n_both)::DOUBLE, 9) AS jaccard FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b")
 def exact_jaccard(spark, sf_dir):
-    """Jaccard similarity of the pairs' shingles; the joins carry the words of texts that are in a pair, and shingles are made of them pair by pair."""
-    docs = texts(spark, sf_dir)
-    pairs = graphs.written(S.minhash_pairs(docs, H, B, T).select("a", "b"))
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = graphs.written(docs.join(paired, "id", "left_semi").select("id", F.array_join(long_words(F.col("text")), " ").alias("words")))
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    cut = both.select("a", "b", F.split("wa", " ").alias("wa"), F.split("wb", " ").alias("wb"))
-    sets = cut.select("a", "b", shingles("wa").alias("sa"), shingles("wb").alias("sb"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))
+    """Jaccard similarity of the pairs' shingles, which are numbered where the pairs were found."""
+    shared = S.exact_pairs(texts(spark, sf_dir), H, B, T)
     return shared.select("a", "b", F.round(F.col("n") / (F.col("all") - F.col("n")), 9).alias("jaccard"))
 
 

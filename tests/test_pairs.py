@@ -62,3 +62,14 @@ def test_leader_rounds_send_no_table_to_the_driver(spark, monkeypatch, most):
     assert leaders.count() and plans
     plans.append(leaders._jdf.queryExecution().sparkPlan().toString())
     assert any("SortMergeJoin" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("part", [3, 256])
+def test_exact_pairs_against_brute_force(spark, part):
+    rows = near_texts()
+    words = {i: [w for w in re.findall(r"\w+", t.lower()) if len(w) > 2] for i, t in rows}
+    sets = {i: {" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)} for i, w in words.items()}
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    pairs = {(r["a"], r["b"]) for r in similarity.minhash_pairs(docs, 64, 16, 0.5).collect()}
+    found = list(map(tuple, similarity.exact_pairs(docs, 64, 16, 0.5, part).collect()))
+    assert pairs and sorted(found) == sorted((a, b, len(sets[a] & sets[b]), len(sets[a]) + len(sets[b])) for a, b in pairs)
